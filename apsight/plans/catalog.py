@@ -176,3 +176,144 @@ from (select sum(count) over (order by count desc, vendor_clean rows between unb
       from (select vendor_clean, count(*) as count from mlf group by 1))""")
 def q_vendors_for_95pct(spark, sf_dir):
     return profile.values_for_share(ml_rows(Fixtures(spark, sf_dir)), "vendor_clean", 0.95)
+
+
+# ------------------------------------------------- geocode enrichment
+
+def raw_text(fx: Fixtures) -> DataFrame:
+    """Raw sightings as text columns (the TSV layout); every 101st sighting has
+    a point without a comma, so it is a bad row."""
+    r = fx.raw
+    latlong = F.when(F.col("ap_id") % 101 == 0, F.col("lat").cast("string")).otherwise(
+        F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")))
+    return r.select(F.col("epochtime").cast("string").alias("epochtime"), "bssid", latlong.alias("latlong"),
+                    F.lit(None).cast("string").alias("c3"), F.lit(None).cast("string").alias("c4"), "altitude")
+
+
+def tagged(fx: Fixtures) -> DataFrame:
+    from apsight.operators import geocode
+    return geocode.enrich(raw_text(fx), fx.oui, fx.geocode_responses)
+
+
+_GEO_CTE = [
+    ("rawo", O.vendor_oracle("raw")),
+    ("tag", """
+select r.*, g.status, g.body,
+  case when r.ap_id % 101 = 0 then 'bad_row'
+       when g.status is null then 'no_response'
+       when g.status <> 200 then 'http_' || cast(g.status as varchar)
+       when coalesce(g.body, '') = '' then 'empty_body'
+       when not json_valid(g.body) then 'bad_json' end as reason
+from rawo r left join geocode_responses g on r.lat = g.lat and r.lon = g.lon"""),
+]
+
+_JSON_SELECT = """
+  try_cast(json_extract_string(body, '$.place_id') as bigint) as place_id,
+  json_extract_string(body, '$.osm_type') as osm_type,
+  try_cast(json_extract_string(body, '$.osm_id') as bigint) as osm_id,
+  json_extract_string(body, '$.class') as class,
+  json_extract_string(body, '$.type') as type,
+  try_cast(json_extract_string(body, '$.place_rank') as integer) as place_rank,
+  try_cast(json_extract_string(body, '$.importance') as double) as importance,
+  json_extract_string(body, '$.addresstype') as addresstype,
+  json_extract_string(body, '$.name') as name,
+  json_extract_string(body, '$.display_name') as display_name,
+  json_extract_string(body, '$.address.road') as add_road,
+  json_extract_string(body, '$.address.neighbourhood') as add_neighbourhood,
+  json_extract_string(body, '$.address.town') as add_town,
+  json_extract_string(body, '$.address.county') as add_county,
+  json_extract_string(body, '$.address.state') as add_state,
+  json_extract_string(body, '$.address."ISO3166-2-lvl4"') as add_ISO3166v14,
+  json_extract_string(body, '$.address.postcode') as add_postcode,
+  json_extract_string(body, '$.address.country') as add_country,
+  json_extract_string(body, '$.address.country_code') as add_country_code"""
+
+
+def _geo_oracle(body: str) -> str:
+    return O.with_integrated("raw", "geocode_responses", extra=_GEO_CTE) + body
+
+
+@query("geocode_join", _geo_oracle("""
+select epochtime, bssid, lat, lon, altitude, vendor, mac_flags, vendor_src,""" + _JSON_SELECT + """
+from tag where reason is null"""))
+def q_geocode_join(spark, sf_dir):
+    from apsight.operators import geocode
+    return geocode.integrated_rows(tagged(Fixtures(spark, sf_dir)))
+
+
+@query("geocode_dead_letter", _geo_oracle("""
+select cast(epochtime as varchar) as epochtime, bssid, altitude,
+  case when status <> 200 and reason <> 'bad_row' then status end as error_code, reason
+from tag where reason is not null"""))
+def q_geocode_dead_letter(spark, sf_dir):
+    from apsight.operators import geocode
+    dl = geocode.dead_letter_rows(tagged(Fixtures(spark, sf_dir)))
+    return dl.select("epochtime", "bssid", "altitude",
+                     F.when(F.col("reason") != "bad_row", F.col("error_code")).alias("error_code"), "reason")
+
+
+@query("geocode_json_fields", O.oracle_with(["geocode_responses"]) + """
+select lat, lon, status, (status = 200 and coalesce(body, '') <> '' and not json_valid(body)) as bad_json,""" +
+       _JSON_SELECT.replace("body", "(case when json_valid(body) then body end)") + """
+from geocode_responses""")
+def q_geocode_json_fields(spark, sf_dir):
+    from apsight.operators import geocode
+    r = Fixtures(spark, sf_dir).geocode_responses
+    j = geocode.parse_body(F.col("body"))
+    return r.select("lat", "lon", "status",
+                    ((F.col("status") == 200) & (F.coalesce("body", F.lit("")) != "")
+                     & j.getField("_corrupt_record").isNotNull()).alias("bad_json"),
+                    *geocode.json_fields(F.when(j.getField("_corrupt_record").isNull(), j)))
+
+
+@query("failed_counters", _geo_oracle("""
+select count(*) as processed,
+  count(*) filter (where reason is not null and reason <> 'bad_row') as failed_geo,
+  count(*) filter (where reason = 'bad_row') as bad_rows,
+  count(*) filter (where vendor = 'NaN') as failed_vendor
+from tag"""))
+def q_failed_counters(spark, sf_dir):
+    from apsight.operators import geocode
+    return geocode.run_counters(tagged(Fixtures(spark, sf_dir)))
+
+
+# --------------------------------------------------- file round trips
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from apsight.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("raw_scan_roundtrip", O.oracle_with(["raw"]) + """
+select epochtime, bssid,
+  case when ap_id % 101 = 0 then null else lat end as lat,
+  case when ap_id % 101 = 0 then null else lon end as lon, altitude
+from raw""")
+def q_raw_scan_roundtrip(spark, sf_dir):
+    """Derived sightings written as a '#'-headed TSV, then read with the S1 reader."""
+    from apsight.operators import geocode
+    from apsight.sources import readers
+    path = _scratch(spark, "raw-tsv")
+    (raw_text(Fixtures(spark, sf_dir)).write.mode("overwrite").option("sep", "\t")
+     .option("header", False).csv(path))
+    parsed = geocode.parse_sightings(readers.read_raw_sightings(spark, path))
+    return parsed.select(F.col("_epoch").alias("epochtime"), "bssid", "lat", "lon", "altitude")
+
+
+_STR_COLS = [n for n, t in __import__("apsight.schemas", fromlist=["x"]).INTEGRATED_FIELDS
+             if t.typeName() == "string"]
+
+
+@query("integrated_tsv_roundtrip", _geo_oracle("""
+, good as (select epochtime, bssid, lat, lon, altitude, vendor, mac_flags, vendor_src,""" + _JSON_SELECT + """
+from tag where reason is null)
+select * replace (""" + ", ".join(f"nullif({c}, '') as {c}" for c in _STR_COLS) + """) from good""")
+    .replace("\n, good as", ", good as"))
+def q_integrated_tsv_roundtrip(spark, sf_dir):
+    """Integrated rows written with the TSV sink and read back with the S4 reader."""
+    from apsight.operators import geocode
+    from apsight.sources import readers, sinks
+    path = _scratch(spark, "integrated-tsv")
+    sinks.write_integrated(geocode.integrated_rows(tagged(Fixtures(spark, sf_dir))), path, fmt="tsv")
+    return readers.read_integrated_tsv(spark, path)

@@ -15,7 +15,12 @@ select upper(prefix) as prefix, arg_max(vendor, line_no) as vendor
 from oui where vendor is not null and vendor <> 'NaN' group by 1
 """
 
-INTEGRATED_ORACLE = """
+def vendor_oracle(src: str) -> str:
+    """Brute-force vendor lookup over the rows of ``src`` (needs ``registry``)."""
+    return VENDOR_ORACLE.replace("__SRC__", src)
+
+
+VENDOR_ORACLE = """
 select a.*, coalesce(r0.vendor, r1.vendor, r2.vendor, r3.vendor, 'NaN') as vendor,
   cast(case when a.n_parts < 3 then 0 else a.f & 3 end as integer) as mac_flags,
   cast(case when r0.vendor is not null then 1 when r1.vendor is not null then 2
@@ -24,7 +29,7 @@ from (
   select ap.*, len(p) as n_parts,
     case when len(p) >= 3 then ('0x' || p[1])::BIGINT end as f,
     case when len(p) >= 3 then '-' || p[2] || '-' || p[3] end as tail
-  from (select *, string_split(replace(upper(trim(bssid)), '-', ':'), ':') as p from ap) ap
+  from (select *, string_split(replace(upper(trim(bssid)), '-', ':'), ':') as p from __SRC__) ap
 ) a
 left join registry r0 on r0.prefix = printf('%02X', xor(a.f, 0)) || a.tail
 left join registry r1 on r1.prefix = printf('%02X', xor(a.f, 1)) || a.tail
@@ -32,6 +37,8 @@ left join registry r2 on r2.prefix = printf('%02X', xor(a.f, 2)) || a.tail
 left join registry r3 on r3.prefix = printf('%02X', xor(a.f, 3)) || a.tail
 """
 
+INTEGRATED_ORACLE = VENDOR_ORACLE.replace("__SRC__", "ap")
+
 ALIAS_ORACLE = """
 select key, arg_max(canonical, ord) as canonical from (
   select trim(regexp_replace(lower(coalesce(alias, '')), '\\s+', ' ', 'g')) as key, canonical,
