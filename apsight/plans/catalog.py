@@ -317,3 +317,254 @@ def q_integrated_tsv_roundtrip(spark, sf_dir):
     path = _scratch(spark, "integrated-tsv")
     sinks.write_integrated(geocode.integrated_rows(tagged(Fixtures(spark, sf_dir))), path, fmt="tsv")
     return readers.read_integrated_tsv(spark, path)
+
+
+# ------------------------------------------------------------ splits (X*, A10-A11, A16, P14, P16, P17)
+
+def _h(key: str, salt: str) -> str:
+    """DuckDB twin of ``hash32``."""
+    return f"('0x' || substr(md5(cast({key} as varchar) || '-{salt}'), 1, 8))::BIGINT"
+
+
+@query("drop_unknown", O.with_ml() + """
+select row_id, label_target_main from mlf where label_target_main <> 'unknown'""")
+def q_drop_unknown(spark, sf_dir):
+    from apsight.operators import splits
+    return splits.drop_unknown(ml_rows(Fixtures(spark, sf_dir))).select("row_id", "label_target_main")
+
+
+EXCLUDED = ("row_id", "label_target_main", "label_sensitive_binary", "label_sensitive_subtype", "score")
+OSM_SCORES = ("place_rank", "importance")
+
+
+def feature_columns(df: DataFrame, mode: str = "full") -> list[str]:
+    """All columns except the excluded set; ``no_osm_scores`` also drops the OSM scores."""
+    drop = set(EXCLUDED) | (set(OSM_SCORES) if mode == "no_osm_scores" else set())
+    return [c for c in df.columns if c not in drop]
+
+
+@query("ablation_select", O.with_ml() + """
+select row_id, vendor_clean, add_state from mlf""")
+def q_ablation_select(spark, sf_dir):
+    df = ml_rows(Fixtures(spark, sf_dir))
+    return df.select("row_id", *feature_columns(df, "no_osm_scores"))
+
+
+@query("sample_fixed", O.with_ml() + f"""
+select row_id from (select row_id, row_number() over (order by {_h('row_id', 'sample42')}, row_id) as rn from mlf)
+where rn <= 10000""")
+def q_sample_fixed(spark, sf_dir):
+    from apsight.operators import splits
+    return splits.sample_fixed(ml_rows(Fixtures(spark, sf_dir)), 10000, "row_id", 42).select("row_id")
+
+
+_STRAT_ORACLE = f"""
+select row_id, label_sensitive_binary,
+  rn <= (2 * n_c + 5) // 10 as is_test
+from (select row_id, label_sensitive_binary,
+        row_number() over (partition by label_sensitive_binary order by {_h('row_id', 'strat42')}, row_id) as rn,
+        count(*) over (partition by label_sensitive_binary) as n_c from mlf)"""
+
+
+@query("split_stratified", O.with_ml() + _STRAT_ORACLE)
+def q_split_stratified(spark, sf_dir):
+    from apsight.operators import splits
+    df = ml_rows(Fixtures(spark, sf_dir))
+    return splits.stratified_holdout(df, "label_sensitive_binary", "row_id").select(
+        "row_id", "label_sensitive_binary", "is_test")
+
+
+@query("split_plain", O.with_ml() + f"""
+select row_id, {_h('row_id', 'plain42')} < {int(0.2 * (1 << 32))} as is_test from mlf""")
+def q_split_plain(spark, sf_dir):
+    from apsight.operators import splits
+    return splits.plain_holdout(ml_rows(Fixtures(spark, sf_dir)), "row_id").select("row_id", "is_test")
+
+
+@query("split_val", O.with_ml(), )
+def q_split_val(spark, sf_dir):
+    from apsight.operators import splits
+    df = ml_rows(Fixtures(spark, sf_dir))
+    s = splits.stratified_holdout(df, "label_sensitive_binary", "row_id")
+    train = s.where(~F.col("is_test"))
+    v = splits.stratified_holdout(train, "label_sensitive_binary", "row_id", test_size=0.1, seed=7, out="is_val")
+    return v.select("row_id", "label_sensitive_binary", "is_val")
+
+
+ORACLES["split_val"] = O.with_ml() + f"""
+, tr as (select * from ({_STRAT_ORACLE}) where not is_test)
+select row_id, label_sensitive_binary, rn <= (n_c + 5) // 10 as is_val
+from (select row_id, label_sensitive_binary,
+        row_number() over (partition by label_sensitive_binary order by {_h('row_id', 'strat7')}, row_id) as rn,
+        count(*) over (partition by label_sensitive_binary) as n_c from tr)"""
+
+
+@query("group_folds_shuffled", O.with_ml() + f"""
+select add_state, cast(case when i < r * (q + 1) then i // (q + 1) else r + (i - r * (q + 1)) // q end as integer) as fold
+from (select add_state, row_number() over (order by {_h("coalesce(cast(add_state as varchar), '<null>')", 'groups42')}, add_state) - 1 as i,
+        count(*) over () // 5 as q, count(*) over () % 5 as r
+      from (select distinct add_state from ml))""")
+def q_group_folds_shuffled(spark, sf_dir):
+    from apsight.operators import splits
+    return splits.shuffled_group_folds(Fixtures(spark, sf_dir).ml, "add_state", k=5)
+
+
+@query("small_group_filter", O.with_ml() + """
+select row_id, add_state from mlf where add_state in
+  (select add_state from mlf group by add_state having count(*) >= 500)""")
+def q_small_group_filter(spark, sf_dir):
+    from apsight.operators import splits
+    return splits.small_group_filter(ml_rows(Fixtures(spark, sf_dir)), "add_state", 500).select("row_id", "add_state")
+
+
+@query("class_weights", O.with_ml() + f"""
+, s as ({_STRAT_ORACLE})
+select label_sensitive_binary, count(*) as n_c,
+  sum(count(*)) over () / (count(*) over () * count(*)) as weight
+from s where not is_test group by 1""")
+def q_class_weights(spark, sf_dir):
+    from apsight.operators import encode, splits
+    s = splits.stratified_holdout(ml_rows(Fixtures(spark, sf_dir)), "label_sensitive_binary", "row_id")
+    return encode.balanced_class_weights(s.where(~F.col("is_test")), "label_sensitive_binary")
+
+
+@query("pos_weight", O.with_ml() + f"""
+, s as ({_STRAT_ORACLE})
+select count(*) filter (where label_sensitive_binary = 1) as n_pos,
+  count(*) filter (where label_sensitive_binary = 0) as n_neg,
+  count(*) filter (where label_sensitive_binary = 1) / count(*) as pos_share,
+  count(*) filter (where label_sensitive_binary = 0) / count(*) filter (where label_sensitive_binary = 1) as neg_pos_ratio
+from s where not is_test""")
+def q_pos_weight(spark, sf_dir):
+    from apsight.operators import encode, splits
+    s = splits.stratified_holdout(ml_rows(Fixtures(spark, sf_dir)), "label_sensitive_binary", "row_id")
+    return encode.class_balance(s.where(~F.col("is_test")), "label_sensitive_binary")
+
+
+@query("label_index", O.with_ml() + """
+select row_id, label_target_main,
+  cast(dense_rank() over (order by label_target_main) - 1 as double) as label_idx
+from mlf where label_target_main <> 'unknown'""")
+def q_label_index(spark, sf_dir):
+    from apsight.operators import encode, splits
+    df = splits.drop_unknown(ml_rows(Fixtures(spark, sf_dir)))
+    return encode.index_labels(df, "label_target_main", "label_idx").select("row_id", "label_target_main", "label_idx")
+
+
+@query("group_folds_stratified")
+def q_group_folds_stratified(spark, sf_dir):
+    from apsight.operators import splits
+    df = splits.clean_group_key(ml_rows(Fixtures(spark, sf_dir)), "add_state")
+    return splits.stratified_group_folds(df, "_group", "label_sensitive_binary", k=5)
+
+
+# ------------------------------------------------------------ encoders
+
+def split_frames(fx: Fixtures, label: str = "label_sensitive_binary"):
+    """Stratified 80/20 split of the modelling rows: (train, test)."""
+    from apsight.operators import splits
+    s = splits.stratified_holdout(ml_rows(fx), label, "row_id")
+    return s.where(~F.col("is_test")).drop("is_test"), s.where("is_test").drop("is_test")
+
+
+_TRAIN_TEST = [("s", f"""select *, rn <= (2 * n_c + 5) // 10 as is_test
+from (select *, row_number() over (partition by label_sensitive_binary order by {_h('row_id', 'strat42')}, row_id) as rn,
+        count(*) over (partition by label_sensitive_binary) as n_c from mlf)"""),
+               ("train", "select * exclude (is_test, rn, n_c) from s where not is_test"),
+               ("test", "select * exclude (is_test, rn, n_c) from s where is_test")]
+
+
+def _te_sql(n: str, s: str, n_all: str, s_all: str) -> str:
+    mean_c, mean = f"({s} / {n})", f"({s_all} / {n_all})"
+    var_c, tau2 = f"({mean_c} * (1 - {mean_c}))", f"({mean} * (1 - {mean}))"
+    lam = f"(({n} * {tau2}) / ({var_c} + {n} * {tau2}))"
+    return (f"case when {n} is null or {n} = 0 then {mean} when {var_c} + {n} * {tau2} = 0 then {mean_c} "
+            f"else {lam} * {mean_c} + (1 - {lam}) * {mean} end")
+
+
+OHE_MAX = 50
+
+_VOCAB_SQL = f"""select vendor_clean as value, count,
+  (count(*) over () < {OHE_MAX} or row_number() over (order by count desc, vendor_clean desc) <= {OHE_MAX - 1}) as kept
+from (select vendor_clean, count(*) as count from train group by 1)"""
+
+
+@query("ohe_vocab", O.with_ml() + "".join(f", {n} as ({q})\n" for n, q in _TRAIN_TEST) + _VOCAB_SQL)
+def q_ohe_vocab(spark, sf_dir):
+    from apsight.operators import encode
+    train, _ = split_frames(Fixtures(spark, sf_dir))
+    return encode.ohe_vocabulary(train, "vendor_clean", OHE_MAX)
+
+
+@query("ohe_bucketed_counts", O.with_ml() + "".join(f", {n} as ({q})\n" for n, q in _TRAIN_TEST) + f"""
+, vocab as ({_VOCAB_SQL})
+select case when v.value is not null then t.vendor_clean
+            when (select count(*) from vocab where not kept) > 0 then '__infrequent__' end as bucket,
+  count(*) as count
+from test t left join (select value from vocab where kept) v on t.vendor_clean = v.value group by 1""")
+def q_ohe_bucketed_counts(spark, sf_dir):
+    from apsight.operators import encode
+    train, test = split_frames(Fixtures(spark, sf_dir))
+    vocab = encode.ohe_vocabulary(train, "vendor_clean", OHE_MAX)
+    return (encode.ohe_bucket(test, "vendor_clean", vocab).groupBy("bucket")
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
+@query("target_encode_binary", O.with_ml() + "".join(f", {n} as ({q})\n" for n, q in _TRAIN_TEST) + f"""
+, per as (select vendor_clean as v, count(*) as n, sum(label_sensitive_binary) as s from train group by 1)
+, tot as (select count(*) as n_all, sum(label_sensitive_binary) as s_all from train)
+select t.row_id, coalesce({_te_sql('per.n', 'per.s', 'tot.n_all', 'tot.s_all')}, tot.s_all / tot.n_all) as te_vendor
+from test t cross join tot left join per on per.v = t.vendor_clean""")
+def q_target_encode_binary(spark, sf_dir):
+    from apsight.operators import encode
+    train, test = split_frames(Fixtures(spark, sf_dir))
+    return encode.target_encode_apply(test, train, "vendor_clean", "label_sensitive_binary",
+                                      "te_vendor").select("row_id", "te_vendor")
+
+
+@query("target_encode_crossfit", O.with_ml() + "".join(f", {n} as ({q})\n" for n, q in _TRAIN_TEST) + f"""
+, tr as (select *, cast(({_h('row_id', 'cf42')}) % 5 as integer) as cf_fold from train)
+, pf as (select vendor_clean as v, cf_fold as f, count(*) as n_vf, sum(label_sensitive_binary) as s_vf from tr group by 1, 2)
+, oof as (select v, f, sum(n_vf) over (partition by v) - n_vf as n, sum(s_vf) over (partition by v) - s_vf as s from pf)
+, ft as (select f, sum(sum(n_vf)) over () - sum(n_vf) as n_all, sum(sum(s_vf)) over () - sum(s_vf) as s_all from pf group by f)
+select tr.row_id, tr.cf_fold, {_te_sql('oof.n', 'oof.s', 'ft.n_all', 'ft.s_all')} as te_vendor
+from tr join oof on oof.v = tr.vendor_clean and oof.f = tr.cf_fold join ft on ft.f = tr.cf_fold""")
+def q_target_encode_crossfit(spark, sf_dir):
+    from apsight.operators import encode
+    train, _ = split_frames(Fixtures(spark, sf_dir))
+    tr = encode.cross_fit_fold(train, "row_id", 5, 42)
+    return encode.target_encode_crossfit(tr, "vendor_clean", "label_sensitive_binary", "te_vendor").select(
+        "row_id", "cf_fold", "te_vendor")
+
+
+_CLASSES = ["high", "low", "medium", "urgent"]
+
+
+@query("target_encode_multiclass", O.with_ml() + "".join(
+        f", {n} as ({q.replace('from s where', 'from s where label_target_main <> ' + repr('unknown') + ' and')})\n"
+        for n, q in _TRAIN_TEST) + ", tot as (select count(*) as n_all, " + ", ".join(
+        f"sum(case when label_target_main = '{c}' then 1 else 0 end) as s_{c}" for c in _CLASSES) + " from train)\n"
+        + ", per as (select vendor_clean as v, count(*) as n, " + ", ".join(
+        f"sum(case when label_target_main = '{c}' then 1 else 0 end) as s_{c}" for c in _CLASSES)
+        + " from train group by 1)\nselect t.row_id, " + ", ".join(
+        f"coalesce({_te_sql('per.n', f'per.s_{c}', 'tot.n_all', f'tot.s_{c}')}, tot.s_{c} / tot.n_all) as te_vendor_{c}"
+        for c in _CLASSES) + "\nfrom test t cross join tot left join per on per.v = t.vendor_clean")
+def q_target_encode_multiclass(spark, sf_dir):
+    from apsight.operators import encode, splits
+    train, test = split_frames(Fixtures(spark, sf_dir))
+    train, test = splits.drop_unknown(train), splits.drop_unknown(test)
+    classes = sorted(r[0] for r in train.select("label_target_main").distinct().collect())
+    out = encode.target_encode_multiclass(test, train, "vendor_clean", "label_target_main", classes, "te_vendor")
+    return out.select("row_id", *[f"te_vendor_{c}" for c in classes])
+
+
+@query("scale_std", O.with_ml() + "".join(f", {n} as ({q})\n" for n, q in _TRAIN_TEST) + """
+select row_id, round(place_rank / (select stddev_pop(place_rank) from train), 9) as place_rank_scaled,
+  round(importance / (select stddev_pop(importance) from train), 9) as importance_scaled
+from test""")
+def q_scale_std(spark, sf_dir):
+    from apsight.operators import encode
+    train, test = split_frames(Fixtures(spark, sf_dir))
+    out = encode.scale_by_std(test, train, ["place_rank", "importance"])
+    return out.select("row_id", F.round("place_rank_scaled", 9).alias("place_rank_scaled"),
+                      F.round("importance_scaled", 9).alias("importance_scaled"))
