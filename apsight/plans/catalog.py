@@ -568,3 +568,251 @@ def q_scale_std(spark, sf_dir):
     out = encode.scale_by_std(test, train, ["place_rank", "importance"])
     return out.select("row_id", F.round("place_rank_scaled", 9).alias("place_rank_scaled"),
                       F.round("importance_scaled", 9).alias("importance_scaled"))
+
+
+# --------------------------------------------------- evaluation (M*, T*, A12-A15, J5, J8, S12)
+
+MODELS = ("uniform", "blend", "rank")
+
+
+def scored_long(fx: Fixtures) -> DataFrame:
+    """(model, row_id, add_state, y, score): one row per model and modelling row."""
+    stack = "stack(3, " + ", ".join(f"'{m}', s_{m}" for m in MODELS) + ") as (model, score)"
+    return fx.scored.selectExpr("row_id", "add_state", "y", stack)
+
+
+def multiclass(fx: Fixtures) -> DataFrame:
+    return fx.scored.where(F.col("label_target_main") != "unknown")
+
+
+_LONG = ("scored_long", " union all ".join(
+    f"select '{m}' as model, row_id, add_state, y, s_{m} as score from scored" for m in MODELS))
+_MC = ("mc", "select * from scored where label_target_main <> 'unknown'")
+
+
+def _with_eval(*extra) -> str:
+    return O.oracle_with(["scored"], extra=[_LONG, _MC, *extra])
+
+
+def _grid_values(spec, digits=None) -> str:
+    from apsight.operators.thresholds import arange
+    return "select * from (values " + ", ".join(
+        f"({i}, cast('{t!r}' as double), cast('{(round(t, digits) if digits is not None else t)!r}' as double))"
+        for i, t in enumerate(arange(*spec))) + ") as g(t_idx, threshold_raw, threshold)"
+
+
+_CONF_ORACLE = ("conf", """
+select a.l as label_target_main, p.l as pred_target, coalesce(c.n, 0) as n
+from (select label_target_main as l from mc union select pred_target from mc) a
+cross join (select label_target_main as l from mc union select pred_target from mc) p
+left join (select label_target_main, pred_target, count(*) as n from mc group by 1, 2) c
+  on c.label_target_main = a.l and c.pred_target = p.l""")
+
+_CLASS_STATS = ("cs", """
+select cls, tp, n_pred - tp as fp, support - tp as fn, support, n_pred,
+  coalesce(tp / nullif(n_pred, 0), 0.0) as precision, coalesce(tp / nullif(support, 0), 0.0) as recall,
+  coalesce(2 * tp / nullif(2 * tp + (n_pred - tp) + (support - tp), 0), 0.0) as f1
+from (select l as cls,
+        (select coalesce(sum(n), 0) from conf where label_target_main = l) as support,
+        (select coalesce(sum(n), 0) from conf where pred_target = l) as n_pred,
+        (select coalesce(sum(n), 0) from conf where label_target_main = l and pred_target = l) as tp
+      from (select label_target_main as l from conf union select pred_target from conf))
+where support + n_pred > 0""")
+
+
+@query("confusion_matrix", _with_eval(_CONF_ORACLE) + "select * from conf")
+def q_confusion_matrix(spark, sf_dir):
+    from apsight.operators import metrics
+    return metrics.confusion(multiclass(Fixtures(spark, sf_dir)), "label_target_main", "pred_target")
+
+
+@query("accuracy_f1", _with_eval(_CONF_ORACLE, _CLASS_STATS) + """
+select cast(sum(support) as bigint) as n, round(sum(tp) / sum(support), 9) as accuracy,
+  round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1 from cs""")
+def q_accuracy_f1(spark, sf_dir):
+    from apsight.operators import metrics
+    conf = metrics.confusion(multiclass(Fixtures(spark, sf_dir)), "label_target_main", "pred_target")
+    s = metrics.summary(conf, "label_target_main", "pred_target")
+    return s.select("n", *[F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
+
+
+@query("classification_report", _with_eval(_CONF_ORACLE, _CLASS_STATS) + """
+select cls as class, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1,
+  cast(support as double) as support from cs
+union all select 'accuracy', round(sum(tp) / sum(support), 9), round(sum(tp) / sum(support), 9),
+  round(sum(tp) / sum(support), 9), round(sum(tp) / sum(support), 9) from cs
+union all select 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9),
+  cast(sum(support) as double) from cs
+union all select 'weighted avg', round(sum(precision * support) / sum(support), 9),
+  round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9),
+  cast(sum(support) as double) from cs""")
+def q_classification_report(spark, sf_dir):
+    from apsight.operators import metrics
+    conf = metrics.confusion(multiclass(Fixtures(spark, sf_dir)), "label_target_main", "pred_target")
+    r = metrics.report(conf, "label_target_main", "pred_target")
+    return r.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+_RANK_ORACLE = ("rk", """
+select model, sum(pos) as P, sum(neg) as N,
+  sum(cast(pos as double) * cum_pos / cum_cnt) as ap_sum,
+  sum(cast(neg as hugeint) * cast(2 * (cum_pos - pos) + pos as hugeint)) as auc_sum
+from (select model, score, pos, neg,
+        sum(pos) over (partition by model order by score desc rows between unbounded preceding and current row) as cum_pos,
+        sum(pos + neg) over (partition by model order by score desc rows between unbounded preceding and current row) as cum_cnt
+      from (select model, score, sum(y) as pos, sum(1 - y) as neg from scored_long group by 1, 2))
+group by model""")
+
+_RANK_SELECT = """case when P > 0 and N > 0 then round(ap_sum / P, 9) end as pr_auc,
+  case when P > 0 and N > 0 then cast(auc_sum as double) / (2.0 * cast(P as double) * cast(N as double)) end as roc_auc"""
+
+
+@query("average_precision", _with_eval(_RANK_ORACLE) + "select model, " + _RANK_SELECT.split(",\n")[0] + " from rk")
+def q_average_precision(spark, sf_dir):
+    from apsight.operators import metrics
+    return metrics.rank_metrics(scored_long(Fixtures(spark, sf_dir)), "y", "score", ["model"]).select("model", "pr_auc")
+
+
+@query("roc_auc", _with_eval(_RANK_ORACLE) + "select model, " + _RANK_SELECT.split(",\n")[1].strip() + " from rk")
+def q_roc_auc(spark, sf_dir):
+    from apsight.operators import metrics
+    return metrics.rank_metrics(scored_long(Fixtures(spark, sf_dir)), "y", "score", ["model"]).select("model", "roc_auc")
+
+
+def _rates_sql(grid_sql: str) -> tuple[str, str]:
+    return ("rates", f"""
+select model, t_idx, threshold, tp, fp, fn, tn,
+  coalesce(tp / nullif(tp + fp, 0), 0.0) as precision,
+  coalesce(tp / nullif(tp + fn, 0), 0.0) as recall,
+  coalesce(((case when tp + fn + fp > 0 then coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) else 0.0 end)
+          + (case when tn + fp + fn > 0 then coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0.0) else 0.0 end))
+         / nullif((case when tp + fn + fp > 0 then 1 else 0 end) + (case when tn + fp + fn > 0 then 1 else 0 end), 0), 0.0) as macro_f1,
+  coalesce(fn / nullif(fn + tp, 0), 0.0) as fnr,
+  coalesce(fp / nullif(fp + tn, 0), 0.0) as fpr
+from (select s.model, g.t_idx, g.threshold,
+        count(*) filter (where s.score >= g.threshold_raw and s.y = 1) as tp,
+        count(*) filter (where s.score >= g.threshold_raw and s.y = 0) as fp,
+        count(*) filter (where s.score < g.threshold_raw and s.y = 1) as fn,
+        count(*) filter (where s.score < g.threshold_raw and s.y = 0) as tn
+      from scored_long s cross join ({grid_sql}) g group by 1, 2, 3)""")
+
+
+def _tuning_oracle(body: str) -> str:
+    from apsight.operators.thresholds import TUNING_GRID
+    return _with_eval(_rates_sql(_grid_values(TUNING_GRID))) + body
+
+
+@query("threshold_best_f1", _tuning_oracle("""
+select model, threshold as best_threshold, macro_f1 as best_macro_f1
+from (select *, row_number() over (partition by model order by macro_f1 desc, t_idx) as rn from rates) where rn = 1"""))
+def q_threshold_best_f1(spark, sf_dir):
+    from apsight.operators import thresholds
+    return thresholds.best_macro_f1(scored_long(Fixtures(spark, sf_dir)), "y", "score", ["model"])
+
+
+@query("threshold_precision_floor", _tuning_oracle("""
+, fl as (select * from (select *, row_number() over (partition by model order by recall desc, t_idx) as rn
+                        from rates where tp + fp > 0 and precision >= 0.70) where rn = 1)
+, bf as (select * from (select *, row_number() over (partition by model order by macro_f1 desc, t_idx) as rn from rates) where rn = 1)
+select bf.model, coalesce(fl.threshold, bf.threshold) as best_threshold, coalesce(fl.macro_f1, bf.macro_f1) as best_macro_f1,
+  case when fl.threshold is not null then 'precision_floor' else 'macro_f1' end as rule
+from bf left join fl on bf.model = fl.model""".replace("\n, fl as", ", fl as")))
+def q_threshold_precision_floor(spark, sf_dir):
+    from apsight.operators import thresholds
+    return thresholds.best_under_precision_floor(scored_long(Fixtures(spark, sf_dir)), "y", "score", 0.70, ["model"])
+
+
+def evaluate_scored(df: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """T4: confusion-derived metrics at ``score >= threshold`` plus AP/AUC, per group."""
+    from apsight.operators import metrics
+    pred = df.withColumn("pred", metrics.predict_at(F.col("score"), threshold))
+    conf = metrics.confusion(pred, "y", "pred", by, labels=[0, 1])
+    s = metrics.summary(conf, "y", "pred", by)
+    r = metrics.rank_metrics(df, "y", "score", by)
+    return s.join(r, by).select(*by, F.col("n").alias("n_test"), *[F.round(c, 9).alias(c) for c in (
+        "accuracy", "macro_f1", "weighted_f1")], "pr_auc", "roc_auc")
+
+
+def _eval_oracle_ctes(by: str, src: str, t: float) -> list[tuple[str, str]]:
+    """Binary evaluation per ``by`` group in SQL (labels fixed to 0 and 1)."""
+    return [
+        ("ev_c", f"""select {by}, count(*) filter (where score >= {t!r} and y = 1) as tp1,
+            count(*) filter (where score >= {t!r} and y = 0) as fp1,
+            count(*) filter (where score < {t!r} and y = 1) as fn1,
+            count(*) filter (where score < {t!r} and y = 0) as tn1 from {src} group by {by}"""),
+        ("ev_cls", f"""select {by}, tp1 as tp, fp1 as fp, fn1 as fn, tp1 + fn1 as support, tp1 + fp1 as n_pred from ev_c
+            union all select {by}, tn1, fn1, fp1, tn1 + fp1, tn1 + fn1 from ev_c"""),
+        ("ev_s", f"""select {by}, cast(sum(support) as bigint) as n_test, round(sum(tp) / sum(support), 9) as accuracy,
+            round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1
+            from (select *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) as f1 from ev_cls where support + n_pred > 0)
+            group by {by}"""),
+        ("ev_r", f"""select {by}, sum(pos) as P, sum(neg) as N,
+            sum(cast(pos as double) * cum_pos / cum_cnt) as ap_sum,
+            sum(cast(neg as hugeint) * cast(2 * (cum_pos - pos) + pos as hugeint)) as auc_sum
+            from (select {by}, score, pos, neg,
+                  sum(pos) over (partition by {by} order by score desc rows between unbounded preceding and current row) as cum_pos,
+                  sum(pos + neg) over (partition by {by} order by score desc rows between unbounded preceding and current row) as cum_cnt
+                  from (select {by}, score, sum(y) as pos, sum(1 - y) as neg from {src} group by {by}, score))
+            group by {by}"""),
+        ("ev", f"""select ev_s.*, {_RANK_SELECT} from ev_s join ev_r using ({by})"""),
+    ]
+
+
+@query("evaluate_at_threshold", _with_eval(*_eval_oracle_ctes("model", "scored_long", 0.5)) + "select * from ev")
+def q_evaluate_at_threshold(spark, sf_dir):
+    return evaluate_scored(scored_long(Fixtures(spark, sf_dir)), 0.5, ["model"])
+
+
+def _curve_oracle(body: str) -> str:
+    from apsight.operators.thresholds import CURVE_GRID
+    return _with_eval(_rates_sql(_grid_values(CURVE_GRID, 3)), ("curve", """
+select model, threshold, precision, recall, macro_f1 as f1_macro, fnr, fpr from rates
+where tp + fp > 0 and tp + fp < tp + fp + fn + tn""")) + body
+
+
+@query("operating_curve", _curve_oracle("select * from curve"))
+def q_operating_curve(spark, sf_dir):
+    from apsight.operators import thresholds
+    return thresholds.operating_curve(scored_long(Fixtures(spark, sf_dir)), "y", "score", ["model"])
+
+
+@query("plateau_width", _curve_oracle("""
+select model, max(peak) as peak_f1, max(threshold) - min(threshold) as plateau_width, count(*) as n_points
+from (select *, max(f1_macro) over (partition by model) as peak from curve) where f1_macro >= peak - 0.001
+group by model"""))
+def q_plateau_width(spark, sf_dir):
+    from apsight.operators import thresholds
+    curve = thresholds.operating_curve(scored_long(Fixtures(spark, sf_dir)), "y", "score", ["model"])
+    return thresholds.plateau_width(curve, ["model"])
+
+
+@query("score_bands", _with_eval() + """
+select model, count(*) filter (where score < 0.05) / count(*) as share_low,
+  count(*) filter (where score >= 0.05 and score <= 0.95) / count(*) as share_mid,
+  count(*) filter (where score > 0.95) / count(*) as share_high
+from scored_long group by model""")
+def q_score_bands(spark, sf_dir):
+    from apsight.operators import metrics
+    return metrics.score_bands(scored_long(Fixtures(spark, sf_dir)), "score", ["model"])
+
+
+@query("score_histogram", _with_eval() + """
+select model, label, bin, count, count / (sum(count) over (partition by model, label) * case when w > 0 then w else 1.0 end) as density
+from (select s.model, s.y as label,
+        cast(case when r.hi = r.lo then 1 else least(floor((s.score - r.lo) / (r.hi - r.lo) * 100) + 1, 100) end as integer) as bin,
+        (r.hi - r.lo) / 100 as w, count(*) as count
+      from scored_long s join (select model, min(score) as lo, max(score) as hi from scored_long group by 1) r using (model)
+      group by 1, 2, 3, 4)""")
+def q_score_histogram(spark, sf_dir):
+    from apsight.operators import metrics
+    return metrics.score_histogram(scored_long(Fixtures(spark, sf_dir)), "y", "score", ["model"])
+
+
+@query("model_agreement", _with_eval() + " union all ".join(
+    f"select '{a}' as model_a, '{b}' as model_b, avg(case when (s_{a} >= 0.5) = (s_{b} >= 0.5) then 1 else 0 end) as agreement from scored"
+    for i, a in enumerate(MODELS) for b in MODELS[i + 1:]))
+def q_model_agreement(spark, sf_dir):
+    from apsight.operators import metrics
+    sc = Fixtures(spark, sf_dir).scored
+    preds = sc.select(*[metrics.predict_at(F.col(f"s_{m}"), 0.5).alias(m) for m in MODELS])
+    return metrics.pairwise_agreement(preds, list(MODELS))

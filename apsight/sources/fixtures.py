@@ -128,6 +128,20 @@ from (select p.*, case when p_size % 2 = 0 then 'building' else 'road' end as p_
 where p_partkey % 19 <> 0
 """
 
+# Scored rows for the evaluation operators: three deterministic scorers of the
+# binary label (uninformative, blended with the price, place rank) and a
+# multiclass prediction that is right on every third row.
+SCORED_SQL = """
+select row_id, add_state, label_sensitive_binary as y, label_target_main,
+  score as s_uniform,
+  (importance + score) / 2 as s_blend,
+  cast(place_rank as double) / 30 as s_rank,
+  case when row_id % 3 = 0 then label_target_main
+       else case cast(row_id % 4 as int) when 0 then 'high' when 1 then 'low' when 2 then 'medium' else 'urgent' end
+  end as pred_target
+from {ml} where vendor_clean is not null and add_state is not null
+"""
+
 # name -> (sql text, dependencies in the order they must be defined)
 FIXTURE_SQL = {
     "oui": (OUI_SQL, ["supplier"]),
@@ -136,6 +150,7 @@ FIXTURE_SQL = {
     "alias": (ALIAS_SQL, []),
     "raw": (RAW_SQL, ["ap"]),
     "geocode_responses": (GEOCODE_SQL, ["part", "nation", "region"]),
+    "scored": (SCORED_SQL, ["ml"]),
 }
 
 
