@@ -399,11 +399,14 @@ from (select row_id, label_sensitive_binary,
         count(*) over (partition by label_sensitive_binary) as n_c from tr)"""
 
 
-@query("group_folds_shuffled", O.with_ml() + f"""
+_FOLDS_SQL = f"""
 select add_state, cast(case when i < r * (q + 1) then i // (q + 1) else r + (i - r * (q + 1)) // q end as integer) as fold
 from (select add_state, row_number() over (order by {_h("coalesce(cast(add_state as varchar), '<null>')", 'groups42')}, add_state) - 1 as i,
         count(*) over () // 5 as q, count(*) over () % 5 as r
-      from (select distinct add_state from ml))""")
+      from (select distinct add_state from ml))"""
+
+
+@query("group_folds_shuffled", O.with_ml() + _FOLDS_SQL)
 def q_group_folds_shuffled(spark, sf_dir):
     from apsight.operators import splits
     return splits.shuffled_group_folds(Fixtures(spark, sf_dir).ml, "add_state", k=5)
@@ -650,7 +653,7 @@ def q_classification_report(spark, sf_dir):
     from apsight.operators import metrics
     conf = metrics.confusion(multiclass(Fixtures(spark, sf_dir)), "label_target_main", "pred_target")
     r = metrics.report(conf, "label_target_main", "pred_target")
-    return r.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+    return r.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "support")])
 
 
 _RANK_ORACLE = ("rk", """
@@ -733,20 +736,20 @@ def evaluate_scored(df: DataFrame, threshold: float, by: list[str]) -> DataFrame
         "accuracy", "macro_f1", "weighted_f1")], "pr_auc", "roc_auc")
 
 
-def _eval_oracle_ctes(by: str, src: str, t: float) -> list[tuple[str, str]]:
+def _eval_oracle_ctes(by: str, src: str, t: float, p: str = "ev") -> list[tuple[str, str]]:
     """Binary evaluation per ``by`` group in SQL (labels fixed to 0 and 1)."""
     return [
-        ("ev_c", f"""select {by}, count(*) filter (where score >= {t!r} and y = 1) as tp1,
+        (f"{p}_c", f"""select {by}, count(*) filter (where score >= {t!r} and y = 1) as tp1,
             count(*) filter (where score >= {t!r} and y = 0) as fp1,
             count(*) filter (where score < {t!r} and y = 1) as fn1,
             count(*) filter (where score < {t!r} and y = 0) as tn1 from {src} group by {by}"""),
-        ("ev_cls", f"""select {by}, tp1 as tp, fp1 as fp, fn1 as fn, tp1 + fn1 as support, tp1 + fp1 as n_pred from ev_c
-            union all select {by}, tn1, fn1, fp1, tn1 + fp1, tn1 + fn1 from ev_c"""),
-        ("ev_s", f"""select {by}, cast(sum(support) as bigint) as n_test, round(sum(tp) / sum(support), 9) as accuracy,
+        (f"{p}_cls", f"""select {by}, tp1 as tp, fp1 as fp, fn1 as fn, tp1 + fn1 as support, tp1 + fp1 as n_pred from {p}_c
+            union all select {by}, tn1, fn1, fp1, tn1 + fp1, tn1 + fn1 from {p}_c"""),
+        (f"{p}_s", f"""select {by}, cast(sum(support) as bigint) as n_test, round(sum(tp) / sum(support), 9) as accuracy,
             round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1
-            from (select *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) as f1 from ev_cls where support + n_pred > 0)
+            from (select *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) as f1 from {p}_cls where support + n_pred > 0)
             group by {by}"""),
-        ("ev_r", f"""select {by}, sum(pos) as P, sum(neg) as N,
+        (f"{p}_r", f"""select {by}, sum(pos) as P, sum(neg) as N,
             sum(cast(pos as double) * cum_pos / cum_cnt) as ap_sum,
             sum(cast(neg as hugeint) * cast(2 * (cum_pos - pos) + pos as hugeint)) as auc_sum
             from (select {by}, score, pos, neg,
@@ -754,7 +757,7 @@ def _eval_oracle_ctes(by: str, src: str, t: float) -> list[tuple[str, str]]:
                   sum(pos + neg) over (partition by {by} order by score desc rows between unbounded preceding and current row) as cum_cnt
                   from (select {by}, score, sum(y) as pos, sum(1 - y) as neg from {src} group by {by}, score))
             group by {by}"""),
-        ("ev", f"""select ev_s.*, {_RANK_SELECT} from ev_s join ev_r using ({by})"""),
+        (p, f"""select {p}_s.*, {_RANK_SELECT} from {p}_s join {p}_r using ({by})"""),
     ]
 
 
@@ -816,3 +819,88 @@ def q_model_agreement(spark, sf_dir):
     sc = Fixtures(spark, sf_dir).scored
     preds = sc.select(*[metrics.predict_at(F.col(f"s_{m}"), 0.5).alias(m) for m in MODELS])
     return metrics.pairwise_agreement(preds, list(MODELS))
+
+
+# ------------------------------------------------ run tables
+
+RUNS = (("run_20260101T000000Z", 0.5), ("run_20260102T000000Z", 0.45))
+
+
+def fold_scored(fx: Fixtures) -> DataFrame:
+    """Scored rows with the shuffled state fold of their state (X9 + J6)."""
+    from apsight.operators import splits
+    folds = splits.shuffled_group_folds(fx.ml, "add_state", k=5)
+    return splits.assign_folds(scored_long(fx), folds, "add_state")
+
+
+def fold_metrics(fx: Fixtures, threshold: float) -> DataFrame:
+    """Per (model, fold): the test-fold metrics at ``threshold``."""
+    return evaluate_scored(fold_scored(fx), threshold, ["model", "fold"])
+
+
+_FOLD_ORACLE = ("fs", """select s.*, f.fold from scored_long s join (""" + _FOLDS_SQL + """) f
+  on s.add_state is not distinct from f.add_state""")
+
+
+def _runs_oracle(*extra) -> str:
+    ctes = [_FOLD_ORACLE]
+    for i, (_, t) in enumerate(RUNS):
+        ctes += _eval_oracle_ctes("model, fold", "fs", t, f"run{i}")
+    ctes.append(("runs", " union all ".join(f"select '{r}' as run_id, * from run{i}" for i, (r, _) in enumerate(RUNS))))
+    return O.oracle_with(["scored", "ml"], extra=[_LONG, *ctes, *extra])
+
+
+_MEAN_SQL = f"""select model, {", ".join(f"round(avg({c}), 4) as {c}" for c in ("accuracy", "macro_f1", "weighted_f1", "pr_auc", "roc_auc"))}
+from runs where run_id = '{RUNS[0][0]}' group by model"""
+_BEST_SQL = f"""select model, fold, pr_auc, macro_f1 from (
+  select *, row_number() over (partition by model order by pr_auc desc nulls last, fold) as rn
+  from runs where run_id = '{RUNS[0][0]}') where rn = 1"""
+
+
+@query("mean_metrics", _runs_oracle() + _MEAN_SQL)
+def q_mean_metrics(spark, sf_dir):
+    from apsight.operators import summaries
+    return summaries.mean_metrics(fold_metrics(Fixtures(spark, sf_dir), RUNS[0][1]), ["model"])
+
+
+@query("best_per_model", _runs_oracle() + _BEST_SQL)
+def q_best_per_model(spark, sf_dir):
+    from apsight.operators import summaries
+    return summaries.best_per_group(fold_metrics(Fixtures(spark, sf_dir), RUNS[0][1]), ["model"],
+                                    "pr_auc", ["fold"]).select("model", "fold", "pr_auc", "macro_f1")
+
+
+@query("three_way_summary", _runs_oracle(("base", _MEAN_SQL), ("best", _BEST_SQL),
+                                         _rates_sql(_grid_values(__import__("apsight.operators.thresholds", fromlist=["x"]).TUNING_GRID)),
+                                         ("thr", """select model, threshold as best_threshold, macro_f1 as best_macro_f1
+from (select *, row_number() over (partition by model order by macro_f1 desc, t_idx) as rn from rates) where rn = 1""")) + """
+select coalesce(thr.model, best.model, base.model) as model,
+  thr.best_threshold as thresh_best_threshold, thr.best_macro_f1 as thresh_best_macro_f1,
+  best.fold as cw_fold, best.pr_auc as cw_pr_auc, best.macro_f1 as cw_macro_f1,
+  base.accuracy as baseline_accuracy, base.macro_f1 as baseline_macro_f1, base.weighted_f1 as baseline_weighted_f1,
+  base.pr_auc as baseline_pr_auc, base.roc_auc as baseline_roc_auc
+from thr full outer join best on thr.model = best.model
+  full outer join base on coalesce(thr.model, best.model) = base.model""")
+def q_three_way_summary(spark, sf_dir):
+    from apsight.operators import summaries, thresholds
+    fx = Fixtures(spark, sf_dir)
+    fm = fold_metrics(fx, RUNS[0][1])
+    thr = thresholds.best_macro_f1(scored_long(fx), "y", "score", ["model"])
+    best = summaries.best_per_group(fm, ["model"], "pr_auc", ["fold"]).select("model", "fold", "pr_auc", "macro_f1")
+    base = summaries.mean_metrics(fm, ["model"])
+    return summaries.merge_summaries("model", [("thresh_", thr), ("cw_", best), ("baseline_", base)])
+
+
+@query("latest_run", _runs_oracle() + f"""
+select * from runs where run_id = (select max(run_id) from runs)""")
+def q_latest_run(spark, sf_dir):
+    """Both runs appended to a run-partitioned metrics table (S11), then the
+    newest run selected (S12)."""
+    from apsight.sources import sinks
+    fx = Fixtures(spark, sf_dir)
+    path = _scratch(spark, "metrics")
+    for run_id, t in RUNS:
+        sinks.append_run(fold_metrics(fx, t), path, run_id)
+    table = spark.read.parquet(path)
+    cols = ["run_id", "model", "fold", "n_test", "accuracy", "macro_f1", "weighted_f1", "pr_auc", "roc_auc"]
+    return sinks.latest_run(table).select(*cols)
