@@ -904,3 +904,41 @@ def q_latest_run(spark, sf_dir):
     table = spark.read.parquet(path)
     cols = ["run_id", "model", "fold", "n_test", "accuracy", "macro_f1", "weighted_f1", "pr_auc", "roc_auc"]
     return sinks.latest_run(table).select(*cols)
+
+
+# ------------------------------------------- learned models and experiments (R: rows only)
+
+def _model_query(name: str, target: str = "label_sensitive_binary", **params) -> Builder:
+    def build(spark, sf_dir):
+        from apsight.plans import experiment as X
+        cfg = X.ExperimentConfig(target=target, models=(name,), split_modes=("random",),
+                                 model_params={name: params} if params else {})
+        return X.run_experiment(Fixtures(spark, sf_dir).ml, cfg, run_id=f"model_{name}")
+    return build
+
+
+QUERIES["model_logreg"] = _model_query("logreg")
+QUERIES["model_dtree"] = _model_query("dtree")
+QUERIES["model_rf"] = _model_query("rf")
+QUERIES["model_gbt"] = _model_query("hist_gbm")
+QUERIES["model_linear_svc_calibrated"] = _model_query("lsvc")
+QUERIES["model_isotonic"] = _model_query("sgd_cal")
+
+
+@query("weight_sweep")
+def q_weight_sweep(spark, sf_dir):
+    from apsight.plans import experiment as X
+    return X.weight_sweep(Fixtures(spark, sf_dir).ml, ("sgd",))
+
+
+@query("experiment_metrics")
+def q_experiment_metrics(spark, sf_dir):
+    """E1 on both targets: random split and state folds, feature mode 'both'."""
+    from apsight.plans import experiment as X
+    ml = Fixtures(spark, sf_dir).ml
+    out = None
+    for target in ("label_sensitive_binary", "label_target_main"):
+        cfg = X.ExperimentConfig(target=target, models=("sgd",), split_modes=("random", "state"))
+        m = X.run_experiment(ml, cfg, run_id="experiment")
+        out = m if out is None else out.unionByName(m)
+    return out
