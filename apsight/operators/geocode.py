@@ -30,12 +30,17 @@ def parse_sightings(raw: DataFrame) -> DataFrame:
 
 
 def dedupe_responses(responses: DataFrame) -> DataFrame:
-    """One response per point: a 200 is preferred, then the larger body text."""
+    """One response per point: a 200 is preferred, then the larger body text.
+
+    The body is parsed here, once per point, so JSON cost follows the number
+    of distinct points rather than the number of sightings.
+    """
     best = F.max_by(F.struct("status", "body"),
                     F.struct((F.col("status") == 200).cast("int"), F.coalesce("body", F.lit(""))))
     return (responses.groupBy("lat", "lon").agg(best.alias("_r"))
             .select(F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"),
-                    F.col("_r.status").alias("_status"), F.col("_r.body").alias("_body")))
+                    F.col("_r.status").alias("_status"), F.col("_r.body").alias("_body"),
+                    parse_body(F.col("_r.body")).alias("_j")))
 
 
 def parse_body(body) -> F.Column:
@@ -66,8 +71,6 @@ def enrich(raw: DataFrame, registry: DataFrame, responses: DataFrame,
     with_vendor = vendor_lookup(parsed, registry, max_broadcast_rows=max_broadcast_rows)
     resp, _ = bounded_broadcast(dedupe_responses(responses), max_broadcast_rows)
     j = with_vendor.join(resp, (F.col("lat") == F.col("_rlat")) & (F.col("lon") == F.col("_rlon")), "left")
-    body = parse_body(F.col("_body"))
-    j = j.select("*", body.alias("_j"))
     bad_row = F.col("_epoch").isNull() | F.col("lat").isNull() | F.col("lon").isNull() | F.col("bad_bssid")
     reason = (F.when(bad_row, F.lit("bad_row"))
               .when(F.col("_status").isNull(), F.lit("no_response"))

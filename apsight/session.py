@@ -15,8 +15,21 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; wide
+    # enrichment stages otherwise run as one huge interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# SQL confs applied at runtime to a session someone else built (e.g. a driver),
+# only where the session still has Spark's default value.
+RUNTIME_SQL_DEFAULTS = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
+
+
+def apply_runtime_defaults(spark: SparkSession) -> None:
+    for key, (spark_default, ours) in RUNTIME_SQL_DEFAULTS.items():
+        if spark.conf.get(key, spark_default) == spark_default:
+            spark.conf.set(key, ours)
+
 
 def get_session(master: str | None = None, app: str = "apsight",
                 shuffle_partitions: int | None = None,
@@ -36,6 +49,7 @@ def get_session(master: str | None = None, app: str = "apsight",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    apply_runtime_defaults(spark)
     return spark
 
 

@@ -154,9 +154,34 @@ FIXTURE_SQL = {
 }
 
 
+# Inputs below this size are fanned out to the cluster's parallelism with a
+# round-robin repartition: a small file written as one row group is otherwise
+# read (and all work fused onto the scan runs) in a single task. Large inputs
+# are many splits already and are never repartitioned.
+FANOUT_BYTES = 256 * 1024 * 1024
+FANOUT_TABLES = ("lineitem", "orders")
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or folder through the Hadoop FileSystem API (any scheme)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Lazy parquet scans of the driver tables (nothing is read yet)."""
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER_TABLES}
+    out = {}
+    for t in DRIVER_TABLES:
+        path = f"{sf_dir}/{t}.parquet"
+        df = spark.read.parquet(path)
+        if t in FANOUT_TABLES:
+            par = spark.sparkContext.defaultParallelism
+            if par > 1 and input_bytes(spark, path) < FANOUT_BYTES:
+                df = df.repartition(par)
+        out[t] = df
+    return out
 
 
 class Fixtures:
