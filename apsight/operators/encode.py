@@ -111,59 +111,81 @@ def _smoothed(n, s, n_all, s_all):
         .otherwise(lam * mean_c + (1 - lam) * mean)
 
 
-def target_encoding_fit(train: DataFrame, col: str, y: str) -> tuple[DataFrame, DataFrame]:
-    """Full-train encoding table ``(value, enc)`` and the overall row ``(n_all, s_all)``."""
-    per = train.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"),
-                                                       F.sum(F.col(y).cast("long")).alias("s"))
-    overall = train.agg(F.count(F.lit(1)).alias("n_all"), F.sum(F.col(y).cast("long")).alias("s_all"))
-    return per, overall
-
-
-def target_encode_apply(df: DataFrame, train: DataFrame, col: str, y: str, out: str) -> DataFrame:
-    """Encode ``df`` (e.g. test rows) with statistics of all training rows.
-    Unseen values get the overall mean."""
-    per, overall = target_encoding_fit(train, col, y)
-    o = overall.first()
-    n_all, s_all = F.lit(o["n_all"]), F.lit(o["s_all"])
-    table = per.select(F.col("value").alias("_tv"), _smoothed(F.col("n"), F.col("s"), n_all, s_all).alias("_enc"))
+def _targets(y) -> dict:
+    """Normalise ``y`` to {output suffix: 0/1 column}."""
+    if isinstance(y, str):
+        return {"": F.col(y)}
+    return dict(y)
+
+
+def target_encoding_table(train: DataFrame, col: str, y, prefix: str = "te") -> tuple[DataFrame, dict]:
+    """Full-train encoding table ``(_tv, <prefix><suffix>...)`` for one or more
+    0/1 targets (one aggregate for all of them) and the overall means.
+
+    ``y`` is a column name, or a dict {suffix: 0/1 column expression}.
+    """
+    tg = _targets(y)
+    per = train.groupBy(F.col(col).alias("_tv")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c.cast("long")).alias(f"_s{i}") for i, c in enumerate(tg.values())])
+    tot = per.agg(F.sum("_n").alias("_N"), *[F.sum(f"_s{i}").alias(f"_S{i}") for i in range(len(tg))]).first()
+    n_all = F.lit(tot["_N"])
+    table = per.select("_tv", *[_smoothed(F.col("_n"), F.col(f"_s{i}"), n_all, F.lit(tot[f"_S{i}"])).alias(prefix + k)
+                                for i, k in enumerate(tg)])
+    means = {prefix + k: (tot[f"_S{i}"] / tot["_N"] if tot["_N"] else None) for i, k in enumerate(tg)}
+    return table, means
+
+
+def target_encode_apply(df: DataFrame, train: DataFrame, col: str, y, out: str) -> DataFrame:
+    """Encode ``df`` (e.g. test rows) with statistics of all training rows;
+    unseen values get the overall mean. ``y`` as in ``target_encoding_table``
+    (then ``out`` is the prefix of the output columns)."""
+    table, means = target_encoding_table(train, col, y, out)
     side, _ = bounded_broadcast(table)
     j = df.join(side, df[col] == side["_tv"], "left")
-    return j.select(*[df[c] for c in df.columns],
-                    F.coalesce(F.col("_enc"), s_all / n_all).alias(out))
-
-
-def target_encode_crossfit(train: DataFrame, col: str, y: str, out: str, fold: str = "cf_fold") -> DataFrame:
-    """Out-of-fold encoding of training rows: a row in fold f is encoded with
-    statistics of the other folds, obtained by subtracting the fold's sums from
-    the totals (one aggregate for all folds)."""
-    pf = train.groupBy(F.col(col).alias("_tv"), F.col(fold).alias("_tf")).agg(
-        F.count(F.lit(1)).alias("_n_vf"), F.sum(F.col(y).cast("long")).alias("_s_vf"))
+    return j.select(*[df[c] for c in df.columns if c not in means],
+                    *[F.coalesce(F.col(o), F.lit(m).cast("double")).alias(o) for o, m in means.items()])
+
+
+def crossfit_table(stats: DataFrame, col: str, y, prefix: str = "te", fold: str = "cf_fold") -> DataFrame:
+    """Out-of-fold encodings ``(_tv, _tf, <prefix><suffix>...)``: for rows in
+    fold f, statistics of the other folds, obtained by subtracting the fold's
+    sums from the totals (one aggregate for all folds and targets)."""
+    tg = _targets(y)
+    k = len(tg)
+    pf = stats.groupBy(F.col(col).alias("_tv"), F.col(fold).alias("_tf")).agg(
+        F.count(F.lit(1)).alias("_n_vf"), *[F.sum(c.cast("long")).alias(f"_s_vf{i}") for i, c in enumerate(tg.values())])
     by_v = Window.partitionBy("_tv")
     allw = Window.partitionBy()
-    # all windows below run over (value x fold) rows: bounded by #categories * k
-    t = pf.select("_tv", "_tf",
-                  (F.sum("_n_vf").over(by_v) - F.col("_n_vf")).alias("_n"),
-                  (F.sum("_s_vf").over(by_v) - F.col("_s_vf")).alias("_s"),
-                  "_n_vf", "_s_vf")
-    fold_tot = pf.groupBy("_tf").agg(F.sum("_n_vf").alias("_nf"), F.sum("_s_vf").alias("_sf"))
-    fold_tot = fold_tot.select("_tf", (F.sum("_nf").over(allw) - F.col("_nf")).alias("_n_all"),
-                               (F.sum("_sf").over(allw) - F.col("_sf")).alias("_s_all"))
-    t = t.join(fold_tot, "_tf").select(
-        "_tv", "_tf", _smoothed(F.col("_n"), F.col("_s"), F.col("_n_all"), F.col("_s_all")).alias("_enc"))
-    side, _ = bounded_broadcast(t)
+    # windows run over (value x fold) rows: bounded by #categories * k folds
+    t = pf.select("_tv", "_tf", (F.sum("_n_vf").over(by_v) - F.col("_n_vf")).alias("_n"),
+                  *[(F.sum(f"_s_vf{i}").over(by_v) - F.col(f"_s_vf{i}")).alias(f"_s{i}") for i in range(k)])
+    fold_tot = pf.groupBy("_tf").agg(F.sum("_n_vf").alias("_nf"), *[F.sum(f"_s_vf{i}").alias(f"_sf{i}") for i in range(k)])
+    fold_tot = fold_tot.select("_tf", (F.sum("_nf").over(allw) - F.col("_nf")).alias("_tot_n"),
+                               *[(F.sum(f"_sf{i}").over(allw) - F.col(f"_sf{i}")).alias(f"_tot_s{i}") for i in range(k)])
+    return t.join(fold_tot, "_tf").select(
+        "_tv", "_tf", *[_smoothed(F.col("_n"), F.col(f"_s{i}"), F.col("_tot_n"), F.col(f"_tot_s{i}")).alias(prefix + name)
+                        for i, name in enumerate(tg)])
+
+
+def target_encode_crossfit(train: DataFrame, col: str, y, out: str, fold: str = "cf_fold",
+                           stats: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold encoding of training rows (see ``crossfit_table``). ``stats``
+    is the frame the statistics come from (default: ``train`` itself); pass the
+    un-joined base frame when encoding several features one after another so
+    the plan stays linear."""
+    table = crossfit_table(stats if stats is not None else train, col, y, out, fold)
+    outs = [c for c in table.columns if c not in ("_tv", "_tf")]
+    side, _ = bounded_broadcast(table)
     j = train.join(side, (train[col] == side["_tv"]) & (train[fold] == side["_tf"]), "left")
-    return j.select(*[train[c] for c in train.columns], F.col("_enc").alias(out))
+    return j.select(*[train[c] for c in train.columns if c not in outs], *outs)
 
 
 def target_encode_multiclass(df: DataFrame, train: DataFrame, col: str, label: str,
                              classes: list, prefix: str) -> DataFrame:
-    """One encoding column per class (class indicator as target), fitted on train."""
-    out = df
-    for c in classes:
-        ind = f"_is_{c}"
-        tr = train.withColumn(ind, (F.col(label) == F.lit(c)).cast("int"))
-        out = target_encode_apply(out, tr, col, ind, f"{prefix}_{c}")
-    return out
+    """One encoding column per class (class indicator as target), fitted on
+    train with one aggregate: ``<prefix>_<class>``."""
+    tg = {f"_{c}": (F.col(label) == F.lit(c)).cast("int") for c in classes}
+    return target_encode_apply(df, train, col, tg, prefix)
 
 
 # ------------------------------------------------------------------- scaling
