@@ -942,3 +942,112 @@ def q_experiment_metrics(spark, sf_dir):
         m = X.run_experiment(ml, cfg, run_id="experiment")
         out = m if out is None else out.unionByName(m)
     return out
+
+
+# ------------------------------------------------------ incremental enrichment (streaming)
+
+@query("stream_enrichment", ORACLES["geocode_join"])
+def q_stream_enrichment(spark, sf_dir):
+    """Derived sightings written as TSV files, enriched by the streaming runner
+    (availableNow trigger), integrated rows read back: must equal the batch result."""
+    from apsight.streaming.enrich_stream import start_enrichment_stream
+    fx = Fixtures(spark, sf_dir)
+    raw_dir, out_dir, ckpt = _scratch(spark, "stream-raw"), _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt")
+    raw_text(fx).write.mode("overwrite").option("sep", "\t").csv(raw_dir)
+    q = start_enrichment_stream(spark, raw_dir, fx.oui, fx.geocode_responses, out_dir, ckpt)
+    q.awaitTermination()
+    return spark.read.parquet(f"{out_dir}/integrated").drop("batch_id")
+
+
+# ------------------------------------------------- more sources and encoders
+
+# Registry text derived from the suppliers: every 7th supplier is listed again
+# later with another vendor (the later line wins), every 11th supplier also
+# gets a line without a tab (skipped).
+_REG_LINES = """
+select line_no, line from (
+  select s_suppkey * 3 as line_no, prefix || chr(9) || vendor as line from oui
+  union all
+  select 1000000000 + s_suppkey * 3 + 1, lower(prefix) || chr(9) || 'Relabelled ' || vendor from oui where s_suppkey % 7 = 0
+  union all
+  select s_suppkey * 3 + 2, 'junk line ' || cast(s_suppkey as varchar(20)) from oui where s_suppkey % 11 = 0)"""
+
+
+@query("oui_registry_scan", O.oracle_with(["oui"], extra=[("lines", _REG_LINES)]) + """
+select upper(split_part(line, chr(9), 1)) as prefix, arg_max(substr(line, instr(line, chr(9)) + 1), line_no) as vendor
+from lines where instr(line, chr(9)) > 0 group by 1""")
+def q_oui_registry_scan(spark, sf_dir):
+    """Registry lines written as one text file in line order, read with the S2
+    reader; the result is the prefix -> vendor map after 'later line wins'."""
+    from apsight.sources import readers
+    fx = Fixtures(spark, sf_dir)
+    lines = spark.sql(_REG_LINES.replace("from oui", "from {oui}").replace("chr(9)", "char(9)"), oui=fx.oui)
+    path = _scratch(spark, "oui-registry")
+    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+    reg = readers.read_oui_registry(spark, path)
+    return reg.groupBy("prefix").agg(F.max_by("vendor", "line_no").alias("vendor"))
+
+
+@query("weight_options", O.with_ml() + "".join(f", {n} as ({q})\n" for n, q in _TRAIN_TEST) + """
+select 'balanced' as option, label_sensitive_binary as label,
+  sum(count(*)) over () / (count(*) over () * count(*)) as weight from train group by 2
+union all select o, l, w from (values ('{0: 1, 1: 5}', 0, 1.0), ('{0: 1, 1: 5}', 1, 5.0), ('{0: 1, 1: 10}', 0, 1.0),
+  ('{0: 1, 1: 10}', 1, 10.0), ('{0: 1, 1: 20}', 0, 1.0), ('{0: 1, 1: 20}', 1, 20.0)) as t(o, l, w)""")
+def q_weight_options(spark, sf_dir):
+    """The weight each class gets under each class-weight option, on train."""
+    from apsight.operators import encode
+    from apsight.plans.experiment import WEIGHT_OPTIONS
+    train, _ = split_frames(Fixtures(spark, sf_dir))
+    out = None
+    for opt in WEIGHT_OPTIONS:
+        if opt == "balanced":
+            w = encode.balanced_class_weights(train, "label_sensitive_binary").select(
+                F.lit("balanced").alias("option"), F.col("label_sensitive_binary").alias("label"), "weight")
+        else:
+            lab = train.select(F.col("label_sensitive_binary").alias("label")).distinct()
+            w = encode.with_weights(lab, "label", opt, "weight").select(F.lit(str(opt)).alias("option"), "label", "weight")
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
+@query("target_encode_state", O.with_ml() + f", folds as ({_FOLDS_SQL})" + """
+, f as (select m.*, folds.fold from mlf m join folds on m.add_state is not distinct from folds.add_state)
+select t.row_id, t.fold,
+  (select sum(label_sensitive_binary) from f f2 where f2.fold <> t.fold) / (select count(*) from f f2 where f2.fold <> t.fold) as te_state
+from f t""")
+def q_target_encode_state(spark, sf_dir):
+    """state encoding under state folds: every test state is unseen in its
+    training folds, so it gets the training mean."""
+    from apsight.operators import encode, splits
+    fx = Fixtures(spark, sf_dir)
+    rows = ml_rows(fx)
+    fm = splits.shuffled_group_folds(fx.ml, "add_state", k=5)
+    a = splits.assign_folds(rows, fm, "add_state")
+    out = None
+    for k in range(5):
+        enc = encode.target_encode_apply(a.where(F.col("fold") == k), a.where(F.col("fold") != k),
+                                         "add_state", "label_sensitive_binary", "te_state")
+        out = enc if out is None else out.unionByName(enc)
+    return out.select("row_id", "fold", "te_state")
+
+
+@query("results_sink", O.with_us() + "\nunion all\n".join(
+    f"select 'distribution' as \"table\", '{c}' as \"column\", cast(\"{c}\" as varchar) as value, count(*) as count, "
+    f"count(*) / sum(count(*)) over () as proportion from us group by \"{c}\"" for c in _DIST_COLS)
+    + "\nunion all\nselect 'frequent_names', 'name', name, count(*), null from us group by name having count(*) > 5")
+def q_results_sink(spark, sf_dir):
+    """Result tables written as one long table partitioned by table name, read back."""
+    from apsight.sources import sinks
+    us = us_rows(Fixtures(spark, sf_dir))
+    names = profile.frequent_values(us, "name", 5).select(
+        F.lit("name").alias("column"), F.col("name").alias("value"), "count")
+    path = _scratch(spark, "results")
+    sinks.write_results({"distribution": profile.distributions(us), "frequent_names": names}, path)
+    return spark.read.parquet(path).select("table", "column", "value", "count", "proportion")
+
+
+@query("group_kfold")
+def q_group_kfold(spark, sf_dir):
+    """Group k-fold (largest groups first to the emptiest fold); rows only."""
+    from apsight.operators import splits
+    return splits.group_kfold(ml_rows(Fixtures(spark, sf_dir)), "add_state", 5)
