@@ -21,7 +21,7 @@ from apsight.operators.joins import bounded_broadcast
 
 BUCKETS = 4096
 FINAL_RANK_ROWS = 200_000
-MAX_GROUPS = 100_000
+MAX_GROUPS = 10_000
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
@@ -37,13 +37,15 @@ def first_n_cut(df: DataFrame, group_cols: list[str], key: str, salt, targets: d
     ``(h, key) <= (_cut_h, _cut_key)``; ``_take`` marks groups taking any row.
 
     ``targets`` maps a tuple of group values to a row count (bounded by the
-    number of groups, e.g. classes or states).
+    number of groups, e.g. classes). Per level, Spark counts rows per (group,
+    bucket) of the still-open hash range and finds, with a cumulative window over
+    the <= 4096 buckets of each group, the bucket where the count crosses the
+    target: one row per group reaches the driver.
     """
     spark: SparkSession = df.sparkSession
     if len(targets) > MAX_GROUPS:
         raise ValueError("too many groups for a per-group cut")
     base = df.select(*group_cols, F.col(key).alias("_key"), hash32(F.col(key), salt).alias("_h"))
-    # per group: [lo, hi) hash range still open, rows to take inside it
     state = {g: (0, HASH_SPACE, n) for g, n in targets.items() if n > 0}
     done: dict[tuple, tuple] = {}
     gschema = [T.StructField(c, f.dataType) for c in group_cols for f in df.schema.fields if f.name == c]
@@ -51,37 +53,34 @@ def first_n_cut(df: DataFrame, group_cols: list[str], key: str, salt, targets: d
         if not state:
             break
         width = {g: max(1, (hi - lo + BUCKETS - 1) // BUCKETS) for g, (lo, hi, _) in state.items()}
-        srows = [(*g, lo, hi, width[g]) for g, (lo, hi, _) in state.items()]
+        srows = [(*g, lo, hi, width[g], need) for g, (lo, hi, need) in state.items()]
         sdf = spark.createDataFrame(srows, T.StructType(gschema + [
             T.StructField("_lo", T.LongType()), T.StructField("_hi", T.LongType()),
-            T.StructField("_w", T.LongType())]))
+            T.StructField("_w", T.LongType()), T.StructField("_need", T.LongType())]))
         side, _ = bounded_broadcast(sdf, known_rows=len(srows))
         j = base.join(side, _null_safe_on(base, side, group_cols), "inner")
         j = j.where((F.col("_h") >= F.col("_lo")) & (F.col("_h") < F.col("_hi")))
-        hist = (j.groupBy(*[base[c] for c in group_cols], ((F.col("_h") - F.col("_lo")) / F.col("_w")).cast("long").alias("_b"))
-                .agg(F.count(F.lit(1)).alias("_n")).collect())
-        per: dict[tuple, list] = {}
-        for r in hist:
-            per.setdefault(tuple(r[c] for c in group_cols), []).append((r["_b"], r["_n"]))
-        nxt = {}
-        for g, (lo, hi, need) in state.items():
-            acc = 0
-            for b, n in sorted(per.get(g, [])):
-                if acc + n >= need:
-                    blo = lo + b * width[g]
-                    nxt[g] = (blo, min(hi, blo + width[g]), need - acc, n)
-                    break
-                acc += n
-            else:  # fewer rows than asked: take the whole group
+        gcols = [base[c] for c in group_cols]
+        hist = j.groupBy(*gcols, "_lo", "_w", "_need",
+                         ((F.col("_h") - F.col("_lo")) / F.col("_w")).cast("long").alias("_b")).agg(
+            F.count(F.lit(1)).alias("_n"))
+        w = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        cum = hist.select(*group_cols, "_lo", "_w", "_need", "_b", "_n", F.sum("_n").over(w).alias("_cum"))
+        cross = cum.where((F.col("_cum") - F.col("_n") < F.col("_need")) & (F.col("_cum") >= F.col("_need"))).collect()
+        found = {}
+        for r in cross:
+            g = tuple(r[c] for c in group_cols)
+            blo = r["_lo"] + r["_b"] * r["_w"]
+            found[g] = (blo, min(state[g][1], blo + r["_w"]), r["_need"] - (r["_cum"] - r["_n"]), r["_n"])
+        for g in state:
+            if g not in found:  # fewer rows than asked: the whole group is taken
                 done[g] = (HASH_SPACE, None)
-        state = {}
-        for g, (lo, hi, need, n) in nxt.items():
+        state, final = {}, {}
+        for g, (lo, hi, need, n) in found.items():
             if n <= FINAL_RANK_ROWS or hi - lo <= 1:
-                state[g] = (lo, hi, need, "final")
+                final[g] = (lo, hi, need)
             else:
                 state[g] = (lo, hi, need)
-        final = {g: v[:3] for g, v in state.items() if len(v) == 4}
-        state = {g: v for g, v in state.items() if len(v) == 3}
         if final:
             done.update(_rank_inside(spark, base, group_cols, gschema, final))
     if state:  # not narrowed enough after three levels (pathological): rank what is left
