@@ -32,6 +32,30 @@ def test_golden_binary_matrix(spark):
     assert rep["accuracy"]["support"] == rep["accuracy"]["f1"]
 
 
+# Recorded runs (confusion matrix -> accuracy, macro F1, weighted F1).
+GOLDEN = [
+    ([[350402, 40395], [9066, 12695]], (0.880111402517949, 0.6366412592083536, 0.9026980711974444)),
+    ([[7021, 2896, 6802, 2373, 5047, 1427],
+      [3141, 4391, 3626, 3357, 6779, 1921],
+      [347, 186, 843, 185, 389, 125],
+      [2671, 3370, 1632, 30935, 19141, 4586],
+      [7048, 9795, 5602, 24636, 113812, 18373],
+      [4645, 5719, 6239, 9729, 26481, 6955]],
+     (0.4654893888849457, 0.2966116229477046, 0.46971596112460634)),
+]
+
+
+@pytest.mark.parametrize("matrix,expected", GOLDEN)
+def test_golden_matrices(spark, matrix, expected):
+    s, conf = _matrix_summary(spark, matrix, list(range(len(matrix))))
+    assert (s["accuracy"], s["macro_f1"], s["weighted_f1"]) == pytest.approx(expected, abs=1e-12)
+    if len(matrix) == 6:  # first class of the recorded report: 0.282 / 0.275 / 0.278, support 25566
+        rep = {r["class"]: r for r in metrics.report(conf, "actual", "predicted").collect()}
+        r0 = rep["0"]
+        assert (round(r0["precision"], 3), round(r0["recall"], 3), round(r0["f1"], 3), r0["support"]) == \
+            (0.282, 0.275, 0.278, 25566.0)
+
+
 def test_confusion_zero_cells_and_unpredicted_class(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a")], "actual string, predicted string")
     conf = metrics.confusion(df, "actual", "predicted")
