@@ -36,11 +36,13 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def distributions(df: DataFrame, columns=PROFILE_COLUMNS) -> DataFrame:
+def distributions(df: DataFrame, columns=PROFILE_COLUMNS, total: int | None = None) -> DataFrame:
     """Long table ``(column, value, count, proportion)`` for every column.
 
     ``value`` is the text form; a real null value is one group of its own
-    (grouping() tells it apart from "not grouped").
+    (grouping() tells it apart from "not grouped"). Each column's counts add up
+    to the row count, so with a known ``total`` the share is a plain division;
+    otherwise it is a window over that column's aggregated rows.
     """
     cols = present(df, columns)
     agg = df.groupingSets([[c] for c in cols], *cols).agg(
@@ -50,6 +52,8 @@ def distributions(df: DataFrame, columns=PROFILE_COLUMNS) -> DataFrame:
     value: Column = reduce(lambda acc, c: acc.when(F.col(f"_g_{c}") == 0, F.col(c).cast("string")),
                            cols[1:], F.when(F.col(f"_g_{cols[0]}") == 0, F.col(cols[0]).cast("string")))
     long = agg.select(which.alias("column"), value.alias("value"), "count")
+    if total is not None:
+        return long.select("column", "value", "count", (F.col("count") / F.lit(total)).alias("proportion"))
     w = Window.partitionBy("column")
     return long.select("column", "value", "count",
                        (F.col("count") / F.sum("count").over(w)).alias("proportion"))
@@ -124,3 +128,15 @@ def values_for_share(df: DataFrame, col: str, share: float = 0.95) -> DataFrame:
     cum = counts.select(col, (F.sum("count").over(w) / tot).alias("cum_share"))
     return cum.agg((F.count_if(F.col("cum_share") <= F.lit(share)) + 1).cast("long").alias("n_values_for_share"),
                    F.count(F.lit(1)).alias("n_values"))
+
+
+def distinct_count(df: DataFrame, col: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Number of distinct non-null values: exact, or HyperLogLog++ when
+    ``approx`` (no shuffle of the values themselves, fixed-size sketches)."""
+    agg = F.approx_count_distinct(col, rsd) if approx else F.count_distinct(col)
+    return df.agg(agg.alias("n_distinct"))
+
+
+def top_values(df: DataFrame, col: str, n: int = 5) -> DataFrame:
+    """The ``n`` most frequent non-null values (ties: smaller value first)."""
+    return value_counts(df, col).orderBy(F.desc("count"), F.asc(col)).limit(n)

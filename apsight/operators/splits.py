@@ -170,7 +170,10 @@ def small_group_filter(df: DataFrame, group: str, min_rows: int = 5000) -> DataF
     """Keep rows of groups with at least ``min_rows`` rows (semi join on a
     per-group count; the count side has one row per group)."""
     big = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).select(group)
-    return df.join(big, on=group, how="left_semi")
+    # one row per kept group: broadcast behind the count check, so a hot group
+    # is never shuffled into one task by a sort-merge semi join
+    side, _ = bounded_broadcast(big)
+    return df.join(side, on=group, how="left_semi")
 
 
 def clean_group_key(df: DataFrame, group: str, out: str = "_group") -> DataFrame:

@@ -1051,3 +1051,16 @@ def q_group_kfold(spark, sf_dir):
     """Group k-fold (largest groups first to the emptiest fold); rows only."""
     from apsight.operators import splits
     return splits.group_kfold(ml_rows(Fixtures(spark, sf_dir)), "add_state", 5)
+
+
+@query("distinct_vendors", O.with_ml() + "select count(distinct vendor_clean) as n_distinct from mlf")
+def q_distinct_vendors(spark, sf_dir):
+    """Exact distinct vendors of the modelling rows."""
+    return profile.distinct_count(ml_rows(Fixtures(spark, sf_dir)), "vendor_clean")
+
+
+@query("top5_vendors", O.with_ml() + """
+select vendor_clean, count(*) as count from mlf group by 1 order by count desc, vendor_clean limit 5""")
+def q_top5_vendors(spark, sf_dir):
+    """The five most frequent vendors (a top-k report: the limit is the feature)."""
+    return profile.top_values(ml_rows(Fixtures(spark, sf_dir)), "vendor_clean", 5)

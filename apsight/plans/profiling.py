@@ -28,7 +28,7 @@ def profile_tables(integrated: DataFrame, country: str = "us", crosstab_limit: i
     if total == 0:
         us.unpersist()
         return None
-    out: dict[str, DataFrame] = {"distribution": profile.distributions(us)}
+    out: dict[str, DataFrame] = {"distribution": profile.distributions(us, total=total)}
     if "class" in cols and "type" in cols:
         out["yes_per_class"] = profile.yes_share(us).select(
             F.lit("class").alias("column"), F.col("class").alias("value"),

@@ -72,3 +72,12 @@ def test_top_n_and_share(spark):
     assert cov["covered"] == 80 and cov["coverage"] == 0.8
     # cumulative shares 0.5, 0.8, 0.95, 1.0 -> three are <= 0.95, plus one
     assert profile.values_for_share(df, "v", 0.95).first()["n_values_for_share"] == 4
+
+
+def test_distinct_count_exact_and_approx(spark):
+    df = spark.range(0, 5000).selectExpr("cast(id % 1234 as string) as v")
+    assert profile.distinct_count(df, "v").first()[0] == 1234
+    approx = profile.distinct_count(df, "v", approx=True).first()[0]
+    assert abs(approx - 1234) / 1234 < 0.05
+    top = profile.top_values(df, "v", 3).collect()
+    assert [r["count"] for r in top] == [5, 5, 5] and top[0]["v"] < top[1]["v"]
