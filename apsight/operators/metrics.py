@@ -142,12 +142,30 @@ def _prefix(g: DataFrame, by: list[str]) -> DataFrame:
                     (F.col("_oc") + F.sum(F.col("pos") + F.col("neg")).over(w)).alias("cum_cnt"))
 
 
-def rank_metrics(df: DataFrame, y: str, score: str, by: list[str] | None = None, digits: int = 9) -> DataFrame:
+def binary_confusion_from_groups(g: DataFrame, threshold: float, by: list[str] | None = None,
+                                 actual: str = "y", predicted: str = "pred") -> DataFrame:
+    """2 x 2 confusion ``(by..., actual, predicted, n)`` at ``score >= threshold``
+    from score groups (see ``score_groups``): conditional sums, no second scan."""
+    by = by or []
+    hit = F.col("score") >= F.lit(float(threshold))
+    c = g.groupBy(*by).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("_tp"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("_fp"),
+        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("_fn"),
+        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("_tn"))
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(p).alias("p"), F.col(n).alias("n"))
+                      for a, p, n in ((1, 1, "_tp"), (0, 1, "_fp"), (1, 0, "_fn"), (0, 0, "_tn"))])
+    return c.select(*by, F.explode(cells).alias("_c")).select(
+        *by, F.col("_c.a").alias(actual), F.col("_c.p").alias(predicted), F.col("_c.n").cast("long").alias("n"))
+
+
+def rank_metrics(df: DataFrame, y: str, score: str, by: list[str] | None = None, digits: int = 9,
+                 groups: DataFrame | None = None) -> DataFrame:
     """(by..., pr_auc, roc_auc). AP = sum over distinct scores of
     (R_i - R_{i-1}) * P_i; ROC-AUC counts ties as half. Both are null unless the
-    labels hold both classes (0 and 1)."""
+    labels hold both classes (0 and 1). ``groups`` reuses a ``score_groups`` frame."""
     by = by or []
-    p = _prefix(score_groups(df, y, score, by), by)
+    p = _prefix(groups if groups is not None else score_groups(df, y, score, by), by)
     above = F.col("cum_pos") - F.col("pos")
     auc_term = F.col("neg").cast("decimal(38,0)") * (2 * above + F.col("pos")).cast("decimal(38,0)")
     agg = p.groupBy(*by).agg(

@@ -71,3 +71,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def scale_settings(input_bytes: int, total_cores: int, executor_memory_gb: float = 16.0,
+                   cores_per_executor: int = 4) -> dict[str, str]:
+    """Sizing for a cluster run, derived from the input size and the core count.
+
+    * file splits: large enough that the scan has a few waves of tasks (not
+      hundreds of thousands of tiny ones), small enough that one task's share
+      of executor memory holds a split: between 128 MB and 1 GB;
+    * shuffle partitions: the big shuffles here are the non-broadcast geocode
+      join and the grouping-set aggregates (partially aggregated first), so the
+      initial count targets ~256 MB per partition of the input and AQE
+      coalesces what turns out smaller; skewed partitions are split by AQE.
+    """
+    mb = 1024 * 1024
+    per_task_mem = executor_memory_gb * 1024 * mb / max(1, cores_per_executor)
+    waves = 3
+    split = input_bytes / max(1, total_cores * waves)
+    split = int(min(max(split, 128 * mb), 1024 * mb, per_task_mem / 2))
+    shuffle_parts = max(total_cores, min(200_000, input_bytes // (256 * mb) + 1))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(int(shuffle_parts)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * mb),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
+    }

@@ -38,3 +38,14 @@ def test_streaming_enrichment_equals_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0
     dl = spark.read.parquet(str(tmp_path / "out" / "dead_letter"))
     assert dl.count() == geocode.dead_letter_rows(catalog.tagged(fx)).count()
+
+
+def test_scale_settings_bounds():
+    from apsight.session import scale_settings
+    tb = 1024 ** 4
+    s = scale_settings(100 * tb, total_cores=4000)
+    split = int(s["spark.sql.files.maxPartitionBytes"])
+    assert 128 * 1024 ** 2 <= split <= 1024 ** 3
+    assert int(s["spark.sql.shuffle.partitions"]) >= 4000
+    small = scale_settings(10 * 1024 ** 2, total_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 8
