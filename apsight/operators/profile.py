@@ -73,15 +73,20 @@ def yes_share(df: DataFrame, cls: str = "class", typ: str = "type") -> DataFrame
                            F.col("_yes") / F.col("total_in_class")).alias("yes_proportion"))
 
 
-def crosstab(df: DataFrame, left: str, right: str, total: int, limit: int | None = 5000) -> DataFrame:
+def crosstab(df: DataFrame, left: str, right: str, total: int | None = None,
+             limit: int | None = 5000) -> DataFrame:
     """Pair counts with shares of the total and within each side, top ``limit``.
 
     Marginals are computed on all pairs before the limit; the limit keeps the
-    largest counts with the pair as tie-break (TakeOrderedAndProject).
+    largest counts with the pair as tie-break (TakeOrderedAndProject). Without a
+    known ``total`` it is the sum of the pair counts (every row is in exactly one
+    pair), a window over the aggregated pairs rather than a second pass over the
+    input.
     """
     g = df.groupBy(left, right).agg(F.count(F.lit(1)).alias("count"))
+    tot = F.lit(total) if total is not None else F.sum("count").over(Window.partitionBy())
     out = g.select(left, right, "count",
-                   (F.col("count") / F.lit(total)).alias("proportion_of_total"),
+                   (F.col("count") / tot).alias("proportion_of_total"),
                    (F.col("count") / F.sum("count").over(Window.partitionBy(left))).alias(f"proportion_within_{left}"),
                    (F.col("count") / F.sum("count").over(Window.partitionBy(right))).alias(f"proportion_within_{right}"))
     if limit is not None:

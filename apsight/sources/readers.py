@@ -11,14 +11,16 @@ _STRIP = r"^\s+|\s+$"
 
 
 def read_raw_sightings(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated sightings; '#' lines skipped; undecodable bytes replaced.
+    """Tab-separated sightings; '#' lines skipped; undecodable bytes replaced;
+    CSV quoting as the usual tab-separated writers produce it ('"' quotes,
+    doubled inside).
 
     Columns are kept as text (see ``schemas.RAW_SIGHTINGS``); rows with fewer
     columns get nulls, which the enrichment classifies as ``bad_row``.
     """
     return (spark.read.schema(schemas.RAW_SIGHTINGS)
             .option("sep", "\t").option("comment", "#").option("mode", "PERMISSIVE")
-            .option("quote", "\u0000").option("encoding", "UTF-8")
+            .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
             .csv(path))
 
 

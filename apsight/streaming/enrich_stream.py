@@ -20,7 +20,7 @@ from apsight.session import scratch_path
 
 def raw_stream(spark: SparkSession, raw_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     r = (spark.readStream.schema(schemas.RAW_SIGHTINGS).option("sep", "\t").option("comment", "#")
-         .option("mode", "PERMISSIVE").option("quote", "\u0000"))
+         .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"'))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.csv(raw_dir)

@@ -60,3 +60,17 @@ def test_enrichment_plan_writes_both_sinks(spark, tmp_path):
     assert counters["processed"] == 2 and counters["failed_geo"] == 1
     assert spark.read.parquet(str(tmp_path / "out" / "integrated")).count() == 1
     assert spark.read.parquet(str(tmp_path / "out" / "dead_letter")).first()["reason"] == "no_response"
+
+
+def test_raw_reader_comments_quotes_and_short_rows(spark, tmp_path):
+    from apsight.sources.readers import read_raw_sightings
+    p = tmp_path / "raw.tsv"
+    p.write_text('# epoch\tbssid\tlatlong\tx\ty\talt\n'
+                 '1\t00:11:22:00:00:01\t"1.5,2.5"\ta\tb\t10\n'
+                 '2\t00:11:22:00:00:02\t3.0,4.0\n')
+    rows = read_raw_sightings(spark, str(p)).orderBy("epochtime").collect()
+    assert len(rows) == 2
+    assert rows[0]["latlong"] == "1.5,2.5" and rows[0]["altitude"] == "10"
+    assert rows[1]["altitude"] is None   # short row: missing columns are null
+    parsed = geocode.parse_sightings(read_raw_sightings(spark, str(p))).orderBy("epochtime").collect()
+    assert (parsed[0]["lat"], parsed[0]["lon"]) == (1.5, 2.5)
