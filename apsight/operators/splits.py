@@ -31,25 +31,38 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
-def first_n_cut(df: DataFrame, group_cols: list[str], key: str, salt, targets: dict) -> DataFrame:
+def first_n_cut(df: DataFrame, group_cols: list[str], key: str, salt, targets) -> DataFrame:
     """Cut rows ``(group..., _cut_h, _cut_key, _take)``: a row of group g is among
     the first ``targets[g]`` rows ordered by (hash, key) iff
     ``(h, key) <= (_cut_h, _cut_key)``; ``_take`` marks groups taking any row.
 
     ``targets`` maps a tuple of group values to a row count (bounded by the
-    number of groups, e.g. classes). Per level, Spark counts rows per (group,
+    number of groups, e.g. classes), or is a function of the group size (then
+    the sizes come from the first histogram, saving a scan). Per level, Spark counts rows per (group,
     bucket) of the still-open hash range and finds, with a cumulative window over
     the <= 4096 buckets of each group, the bucket where the count crosses the
     target: one row per group reaches the driver.
     """
     spark: SparkSession = df.sparkSession
+    base = df.select(*group_cols, F.col(key).alias("_key"), hash32(F.col(key), salt).alias("_h"))
+    gschema = [T.StructField(c, f.dataType) for c in group_cols for f in df.schema.fields if f.name == c]
+    if callable(targets):
+        # targets depend on the group sizes: read the sizes off the first-level
+        # histogram (a small persisted frame) instead of scanning once more
+        targets, state, first = _first_level(spark, base, group_cols, gschema, targets)
+    else:
+        state, first = {g: (0, HASH_SPACE, n) for g, n in targets.items() if n > 0}, None
     if len(targets) > MAX_GROUPS:
         raise ValueError("too many groups for a per-group cut")
-    base = df.select(*group_cols, F.col(key).alias("_key"), hash32(F.col(key), salt).alias("_h"))
-    state = {g: (0, HASH_SPACE, n) for g, n in targets.items() if n > 0}
     done: dict[tuple, tuple] = {}
-    gschema = [T.StructField(c, f.dataType) for c in group_cols for f in df.schema.fields if f.name == c]
-    for _ in range(3):
+    for level in range(3):
+        if level == 0 and first is not None:
+            state, final, whole = first
+            for g in whole:
+                done[g] = (HASH_SPACE, None)
+            if final:
+                done.update(_rank_inside(spark, base, group_cols, gschema, final))
+            continue
         if not state:
             break
         width = {g: max(1, (hi - lo + BUCKETS - 1) // BUCKETS) for g, (lo, hi, _) in state.items()}
@@ -64,9 +77,7 @@ def first_n_cut(df: DataFrame, group_cols: list[str], key: str, salt, targets: d
         hist = j.groupBy(*gcols, "_lo", "_w", "_need",
                          ((F.col("_h") - F.col("_lo")) / F.col("_w")).cast("long").alias("_b")).agg(
             F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.select(*group_cols, "_lo", "_w", "_need", "_b", "_n", F.sum("_n").over(w).alias("_cum"))
-        cross = cum.where((F.col("_cum") - F.col("_n") < F.col("_need")) & (F.col("_cum") >= F.col("_need"))).collect()
+        cross = _crossings(hist, group_cols)
         found = {}
         for r in cross:
             g = tuple(r[c] for c in group_cols)
@@ -93,6 +104,45 @@ def first_n_cut(df: DataFrame, group_cols: list[str], key: str, salt, targets: d
         T.StructField("_take", T.BooleanType())]))
 
 
+def _crossings(hist: DataFrame, group_cols: list[str]) -> list:
+    """Rows of a (group, bucket) histogram where the running count reaches ``_need``."""
+    w = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.select(*group_cols, "_lo", "_w", "_need", "_b", "_n", F.sum("_n").over(w).alias("_cum"))
+    return cum.where((F.col("_cum") - F.col("_n") < F.col("_need")) & (F.col("_cum") >= F.col("_need"))).collect()
+
+
+def _first_level(spark, base, group_cols, gschema, target_fn):
+    """Level one with size-dependent targets: one scan builds the histogram;
+    group sizes and the crossing buckets are read from it."""
+    width = HASH_SPACE // BUCKETS
+    hist = base.groupBy(*group_cols, (F.col("_h") / F.lit(width)).cast("long").alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        sizes = {tuple(r[c] for c in group_cols): r["_t"] for r in
+                 hist.groupBy(*group_cols).agg(F.sum("_n").alias("_t")).limit(MAX_GROUPS + 1).collect()}
+        if len(sizes) > MAX_GROUPS:
+            raise ValueError("too many groups for a per-group cut")
+        targets = {g: int(target_fn(n)) for g, n in sizes.items()}
+        need = spark.createDataFrame([(*g, n) for g, n in targets.items() if n > 0],
+                                     T.StructType(gschema + [T.StructField("_need", T.LongType())]))
+        side, _ = bounded_broadcast(need, known_rows=len(targets))
+        h = hist.join(side, _null_safe_on(hist, side, group_cols), "inner").select(
+            *[hist[c] for c in group_cols], F.lit(0).cast("long").alias("_lo"), F.lit(width).cast("long").alias("_w"),
+            "_need", "_b", "_n")
+        cross = _crossings(h, group_cols)
+    finally:
+        hist.unpersist()
+    state, final, found = {}, {}, set()
+    for r in cross:
+        g = tuple(r[c] for c in group_cols)
+        found.add(g)
+        blo = r["_b"] * width
+        rng = (blo, min(HASH_SPACE, blo + width), r["_need"] - (r["_cum"] - r["_n"]))
+        (final if r["_n"] <= FINAL_RANK_ROWS else state)[g] = rng
+    whole = [g for g, n in targets.items() if n > 0 and g not in found]
+    return targets, state, (state, final, whole)
+
+
 def _rank_inside(spark, base, group_cols, gschema, ranges: dict) -> dict:
     """Exact (hash, key) of the ``need``-th row inside each group's small range."""
     srows = [(*g, lo, hi, need) for g, (lo, hi, need) in ranges.items()]
@@ -109,11 +159,11 @@ def _rank_inside(spark, base, group_cols, gschema, ranges: dict) -> dict:
     return {tuple(r[c] for c in group_cols): (r["_h"], r["_key"]) for r in picked}
 
 
-def mark_first_n(df: DataFrame, group_cols: list[str], key: str, salt, targets: dict,
+def mark_first_n(df: DataFrame, group_cols: list[str], key: str, salt, targets,
                  out: str = "_in") -> DataFrame:
     """Add boolean ``out``: row is among the first targets[group] by (hash, key)."""
     cut = first_n_cut(df, group_cols, key, salt, targets)
-    side, _ = bounded_broadcast(cut, known_rows=len(targets))
+    side, _ = bounded_broadcast(cut)
     h = hash32(F.col(key), salt)
     j = df.join(side, _null_safe_on(df, side, group_cols), "left")
     inside = F.coalesce(F.col("_take"), F.lit(False)) & F.coalesce(
@@ -132,7 +182,7 @@ def group_sizes(df: DataFrame, group_cols: list[str], max_groups: int = MAX_GROU
 
 def sample_fixed(df: DataFrame, n: int, key: str, seed=42) -> DataFrame:
     """min(n, rows) rows with the smallest (hash(key, seed), key)."""
-    marked = mark_first_n(df.withColumn("_all", F.lit(1)), ["_all"], key, f"sample{seed}", {(1,): n})
+    marked = mark_first_n(df.withColumn("_all", F.lit(1)), ["_all"], key, f"sample{seed}", lambda total: min(n, total))
     return marked.where("_in").drop("_in", "_all")
 
 
@@ -147,9 +197,7 @@ def test_count(n_c: int, test_size: float = 0.2) -> int:
 def stratified_holdout(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed=42,
                        out: str = "is_test") -> DataFrame:
     """Exact per-class test counts, members chosen by hash rank inside the class."""
-    sizes = group_sizes(df, [label])
-    targets = {g: test_count(n, test_size) for g, n in sizes.items()}
-    return mark_first_n(df, [label], key, f"strat{seed}", targets, out)
+    return mark_first_n(df, [label], key, f"strat{seed}", lambda n: test_count(n, test_size), out)
 
 
 def plain_holdout(df: DataFrame, key: str, test_size: float = 0.2, seed=42, out: str = "is_test") -> DataFrame:

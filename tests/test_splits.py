@@ -37,6 +37,13 @@ def test_multilevel_cut_matches_brute_force(spark, monkeypatch):
     for g, grp in pdf.groupby("g"):
         expect |= set(grp["k"].head(targets[(g,)]))
     assert {r["k"] for r in m.where("_in").collect()} == expect
+    # size-dependent targets (group sizes read off the first histogram)
+    fn = lambda n: n // 7
+    m2 = splits.mark_first_n(df, ["g"], "k", "t", fn)
+    expect2 = set()
+    for g, grp in pdf.groupby("g"):
+        expect2 |= set(grp["k"].head(fn(len(grp))))
+    assert {r["k"] for r in m2.where("_in").collect()} == expect2
 
 
 def test_sample_fixed_min_n_rows(data):
