@@ -38,19 +38,28 @@ def parse_hex(s: Column) -> Column:
     return F.when(s.rlike(HEX_RE), F.conv(s, 16, 10).cast("long"))
 
 
-def mac_fields(bssid: Column) -> dict[str, Column]:
+def _pad2(part: Column) -> Column:
+    return F.when(F.length(part) < 2, F.lpad(part, 2, "0")).otherwise(part)
+
+
+def mac_fields(bssid: Column, pad_octets: bool = False) -> dict[str, Column]:
     """Column expressions derived from a raw BSSID column.
 
     Keys: ``short`` (fewer than 3 parts), ``bad`` (3+ parts, first octet not
     hex), ``first`` (octet value), ``mac_flags``, ``base_key`` (registry key
-    with the two flag bits cleared) and ``low_bits``.
+    with the two flag bits cleared) and ``low_bits``. The second and third
+    parts are used as written; ``pad_octets=True`` left-pads them to two digits
+    for inputs that drop leading zeros (an option, off by default).
     """
     parts = octets(bssid)
     short = F.size(parts) < 3
     first = parse_hex(F.get(parts, 0))
     bad = (~short) & first.isNull()
     flags = F.when(short | bad, F.lit(0)).otherwise(first.bitwiseAND(3).cast("int"))
-    base = F.concat_ws("-", hex2(first.bitwiseAND(-4)), F.get(parts, 1), F.get(parts, 2))
+    p1, p2 = F.get(parts, 1), F.get(parts, 2)
+    if pad_octets:
+        p1, p2 = _pad2(p1), _pad2(p2)
+    base = F.concat_ws("-", hex2(first.bitwiseAND(-4)), p1, p2)
     return {
         "short": short,
         "bad": bad,

@@ -45,18 +45,19 @@ def registry_lookup(registry: DataFrame, prefix: str = "prefix", vendor: str = "
 
 def vendor_lookup(sightings: DataFrame, registry: DataFrame, bssid: str = "bssid",
                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                  lookup: DataFrame | None = None) -> DataFrame:
+                  lookup: DataFrame | None = None, pad_octets: bool = False) -> DataFrame:
     """Add ``vendor`` ('NaN' when unknown), ``mac_flags`` and ``vendor_src``.
 
     vendor_src: 1 as is, 2 multicast bit flipped, 3 local bit flipped, 4 both,
     0 no match. A BSSID with fewer than three parts gives ('NaN', 0, 0). A
     BSSID whose first octet is not hex is flagged in ``bad_bssid`` (the
-    enrichment sends it to the dead letter).
+    enrichment sends it to the dead letter). ``pad_octets`` pads unpadded
+    second/third octets so that ``0:b:86`` can match ``00-0B-86``.
     """
     if lookup is None:
         lookup = registry_lookup(registry)
     side, _ = bounded_broadcast(lookup, max_broadcast_rows)
-    m = mac_fields(F.col(bssid))
+    m = mac_fields(F.col(bssid), pad_octets)
     s = sightings.select("*", m["base_key"].alias("_base"), m["low_bits"].alias("_lowb"),
                          m["mac_flags"].alias("_flags"), m["bad"].alias("bad_bssid"))
     j = s.join(side, s["_base"] == side["_oui_base"], "left")

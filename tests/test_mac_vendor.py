@@ -51,6 +51,13 @@ def test_unpadded_octets_do_not_match(spark):
     assert _lookup(spark, ["0:0B:86:00:00:00"], reg)[0] == ("Aruba", 0, 1, False)
 
 
+def test_pad_octets_option(spark):
+    s = spark.createDataFrame([("0:b:86:00:00:00",)], "bssid string")
+    reg = _registry(spark, [("00-0B-86", "Aruba", 1)])
+    assert vendor.vendor_lookup(s, reg).first()["vendor"] == "NaN"
+    assert vendor.vendor_lookup(s, reg, pad_octets=True).first()["vendor"] == "Aruba"
+
+
 def test_non_hex_octet_is_bad_row(spark):
     assert _lookup(spark, ["ZZ:11:22:00:00:00"], [("00-11-22", "Zero", 1)]) == [("NaN", 0, 0, True)]
 
