@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The profiled columns and the cross-tab pairs of the reference.
 PROFILE_COLUMNS = ("class", "type", "addresstype", "vendor", "vendor_src", "mac_flags",
                    "add_state", "add_county", "add_town")
 CROSS_TABS = (("vendor", "type"), ("type", "addresstype"), ("vendor", "addresstype"))

@@ -483,6 +483,8 @@ def _te_sql(n: str, s: str, n_all: str, s_all: str) -> str:
             f"else {lam} * {mean_c} + (1 - {lam}) * {mean} end")
 
 
+# One-hot cap of 50 columns (incl. the infrequent one), top-N 50
+# for coverage, 95 % share, 5000 cross-tab rows, names seen more than 5 times.
 OHE_MAX = 50
 
 _VOCAB_SQL = f"""select vendor_clean as value, count,
