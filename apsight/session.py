@@ -57,10 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder and
-    is used as is. Only when it is unset (local tests) a scratch folder is made.
+    is used as is; if it is unset there, this fails rather than fall back to a
+    machine-local folder. Only in local mode (tests) a scratch folder is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                               "(HDFS/S3/...); a machine-local folder would not survive executor loss")
         path = tempfile.mkdtemp(prefix="apsight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
