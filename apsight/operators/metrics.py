@@ -192,24 +192,29 @@ def score_bands(df: DataFrame, score: str, by: list[str] | None = None,
 
 
 def score_histogram(df: DataFrame, y: str, score: str, by: list[str] | None = None, bins: int = 100) -> DataFrame:
-    """Per label, counts in ``bins`` equal-width bins over the observed score
-    range of the group and density = count / (n_label * width)."""
+    """Per group and label: ``bins`` equal-width bins over that label's own
+    observed score range (as a per-label histogram does), count and density =
+    count / (n_label * width). Bin numbers are 1-based; a value is placed as
+    NumPy's uniform-bin histogram places it: floor((x - lo) * bins / (hi - lo)),
+    moved by one where that disagrees with the edges lo + i * width, and the
+    maximum falls in the last bin."""
     by = by or []
-    rng = df.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    if by:
-        side, _ = bounded_broadcast(rng)
-        j = df.join(side, by)
-    else:
-        lo_hi = rng.first()
-        j = df.withColumn("_lo", F.lit(lo_hi["_lo"])).withColumn("_hi", F.lit(lo_hi["_hi"]))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.least(F.floor((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins) + 1, F.lit(bins))
-    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(b)
+    keys = [*by, y]
+    rng = df.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    side, _ = bounded_broadcast(rng)
+    j = df.join(side, keys)
+    lo, hi, x = F.col("_lo"), F.col("_hi"), F.col(score)
+    width = (hi - lo) / F.lit(float(bins))
+    edge = lambda i: i.cast("double") * width + lo
+    i0 = F.least(F.greatest(F.floor((x - lo) * F.try_divide(F.lit(float(bins)), hi - lo)), F.lit(0)), F.lit(bins - 1))
+    i1 = F.when(x < edge(i0), i0 - 1).when((x >= edge(i0 + 1)) & (i0 != bins - 1), i0 + 1).otherwise(i0)
+    b = F.when(hi == lo, F.lit(1)).otherwise(i1 + 1)
     h = j.groupBy(*by, F.col(y).alias("label"), b.cast("int").alias("bin"), "_lo", "_hi").agg(
         F.count(F.lit(1)).alias("count"))
     n_label = F.sum("count").over(Window.partitionBy(*by, "label"))
+    w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     return h.select(*by, "label", "bin", "count",
-                    (F.col("count") / (n_label * F.when(width > 0, width).otherwise(F.lit(1.0)))).alias("density"))
+                    (F.col("count") / (n_label * F.when(w > 0, w).otherwise(F.lit(1.0)))).alias("density"))
 
 
 def pairwise_agreement(df: DataFrame, pred_cols: list[str]) -> DataFrame:

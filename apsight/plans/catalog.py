@@ -802,10 +802,16 @@ def q_score_bands(spark, sf_dir):
 
 @query("score_histogram", _with_eval() + """
 select model, label, bin, count, count / (sum(count) over (partition by model, label) * case when w > 0 then w else 1.0 end) as density
-from (select s.model, s.y as label,
-        cast(case when r.hi = r.lo then 1 else least(floor((s.score - r.lo) / (r.hi - r.lo) * 100) + 1, 100) end as integer) as bin,
-        (r.hi - r.lo) / 100 as w, count(*) as count
-      from scored_long s join (select model, min(score) as lo, max(score) as hi from scored_long group by 1) r using (model)
+from (select model, label, bin, w, count(*) as count from (
+        select s.model, s.y as label, (r.hi - r.lo) / 100.0 as w,
+          cast(case when r.hi = r.lo then 1 else 1 + (case
+            when s.score < cast(i0 as double) * ((r.hi - r.lo) / 100.0) + r.lo then i0 - 1
+            when s.score >= cast(i0 + 1 as double) * ((r.hi - r.lo) / 100.0) + r.lo and i0 <> 99 then i0 + 1
+            else i0 end) end as integer) as bin
+        from (select s.*, least(greatest(floor((s.score - r.lo) * (100.0 / (r.hi - r.lo))), 0), 99) as i0
+              from scored_long s join (select model, y, min(score) as lo, max(score) as hi from scored_long group by 1, 2) r
+                using (model, y)) s
+        join (select model, y, min(score) as lo, max(score) as hi from scored_long group by 1, 2) r using (model, y))
       group by 1, 2, 3, 4)""")
 def q_score_histogram(spark, sf_dir):
     from apsight.operators import metrics

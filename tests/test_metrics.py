@@ -134,3 +134,22 @@ def test_bands_histogram_agreement(spark):
     assert sum(r["count"] for r in h) == 4 and max(r["bin"] for r in h) == 100
     ag = metrics.pairwise_agreement(df, ["a", "b"]).first()
     assert ag["agreement"] == 0.75
+
+
+def test_histogram_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    y = (rng.random(3000) < 0.3).astype(int)
+    sc = np.round(rng.beta(2, 5, 3000) + 0.2 * y, 4)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(sc, y)], "score double, y int")
+    got = {(r["label"], r["bin"]): r for r in metrics.score_histogram(df, "y", "score").collect()}
+    for lab in (0, 1):
+        counts, edges = np.histogram(sc[y == lab], bins=100)
+        dens, _ = np.histogram(sc[y == lab], bins=100, density=True)
+        for i, c in enumerate(counts):
+            if c:
+                r = got[(lab, i + 1)]
+                assert r["count"] == c
+                assert r["density"] == pytest.approx(dens[i], rel=1e-9)
+        assert sum(r["count"] for k, r in got.items() if k[0] == lab) == (y == lab).sum()
+    same = spark.createDataFrame([(0.3, 1), (0.3, 1)], "score double, y int")
+    assert [(r["bin"], r["count"]) for r in metrics.score_histogram(same, "y", "score").collect()] == [(1, 2)]
