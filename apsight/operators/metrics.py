@@ -142,12 +142,19 @@ def _prefix(g: DataFrame, by: list[str]) -> DataFrame:
                     (F.col("_oc") + F.sum(F.col("pos") + F.col("neg")).over(w)).alias("cum_cnt"))
 
 
-def binary_confusion_from_groups(g: DataFrame, threshold: float, by: list[str] | None = None,
+def binary_confusion_from_groups(g: DataFrame, threshold, by: list[str] | None = None,
                                  actual: str = "y", predicted: str = "pred") -> DataFrame:
     """2 x 2 confusion ``(by..., actual, predicted, n)`` at ``score >= threshold``
-    from score groups (see ``score_groups``): conditional sums, no second scan."""
+    from score groups (see ``score_groups``): conditional sums, no second scan.
+    ``threshold`` is a number, or a frame ``(by..., threshold)`` with one
+    threshold per group (broadcast behind its count)."""
     by = by or []
-    hit = F.col("score") >= F.lit(float(threshold))
+    if isinstance(threshold, DataFrame):
+        side, _ = bounded_broadcast(threshold.select(*by, F.col("threshold").alias("_thr")))
+        g = g.join(side, by)
+        hit = F.col("score") >= F.col("_thr")
+    else:
+        hit = F.col("score") >= F.lit(float(threshold))
     c = g.groupBy(*by).agg(
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("_tp"),
         F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("_fp"),

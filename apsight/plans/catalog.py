@@ -877,24 +877,73 @@ def q_best_per_model(spark, sf_dir):
                                     "pr_auc", ["fold"]).select("model", "fold", "pr_auc", "macro_f1")
 
 
-@query("three_way_summary", _runs_oracle(("base", _MEAN_SQL), ("best", _BEST_SQL),
-                                         _rates_sql(_grid_values(__import__("apsight.operators.thresholds", fromlist=["x"]).TUNING_GRID)),
-                                         ("thr", """select model, threshold as best_threshold, macro_f1 as best_macro_f1
-from (select *, row_number() over (partition by model order by macro_f1 desc, t_idx) as rn from rates) where rn = 1""")) + """
+def _fold_rates_oracle() -> tuple[str, str]:
+    from apsight.operators.thresholds import TUNING_GRID
+    name, sql = _rates_sql(_grid_values(TUNING_GRID))
+    sql = (sql.replace("select model, t_idx, threshold,", "select model, fold, t_idx, threshold,")
+              .replace("from (select s.model, g.t_idx, g.threshold,", "from (select s.model, s.fold, g.t_idx, g.threshold,")
+              .replace("from scored_long s cross join", "from fs s cross join")
+              .replace("group by 1, 2, 3)", "group by 1, 2, 3, 4)"))
+    return ("frates", sql)
+
+
+_THREE_WAY_ORACLE = _runs_oracle(
+    ("base", """select model, round(avg(pr_auc), 4) as pr_auc, round(avg(roc_auc), 4) as roc_auc,
+  round(avg(macro_f1), 4) as macro_f1, round(avg(weighted_f1), 4) as weighted_f1
+from runs where run_id = '""" + RUNS[0][0] + """' group by model"""),
+    ("best", """select model, fold, round(pr_auc, 4) as pr_auc, round(roc_auc, 4) as roc_auc,
+  round(macro_f1, 4) as macro_f1, round(weighted_f1, 4) as weighted_f1 from (
+  select *, row_number() over (partition by model order by pr_auc desc nulls last, fold) as rn
+  from runs where run_id = '""" + RUNS[0][0] + """') where rn = 1"""),
+    _fold_rates_oracle(),
+    ("fbest", """select model, fold, threshold as best_threshold from (
+  select *, row_number() over (partition by model, fold order by macro_f1 desc, t_idx) as rn from frates) where rn = 1"""),
+    ("tc", """select s.model, s.fold,
+  count(*) filter (where s.score >= b.best_threshold and s.y = 1) as tp1,
+  count(*) filter (where s.score >= b.best_threshold and s.y = 0) as fp1,
+  count(*) filter (where s.score < b.best_threshold and s.y = 1) as fn1,
+  count(*) filter (where s.score < b.best_threshold and s.y = 0) as tn1
+from fs s join fbest b using (model, fold) group by 1, 2"""),
+    ("tcls", """select model, fold, tp1 as tp, fp1 as fp, fn1 as fn, tp1 + fn1 as support, tp1 + fp1 as n_pred from tc
+  union all select model, fold, tn1, fn1, fp1, tn1 + fp1, tn1 + fn1 from tc"""),
+    ("ts", """select model, fold, round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1
+from (select *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) as f1 from tcls where support + n_pred > 0)
+group by 1, 2"""),
+    ("thr", """select ts.model, round(avg(r.pr_auc), 4) as pr_auc, round(avg(r.roc_auc), 4) as roc_auc,
+  round(avg(ts.macro_f1), 4) as macro_f1, round(avg(ts.weighted_f1), 4) as weighted_f1,
+  round(avg(b.best_threshold), 4) as best_threshold
+from ts join fbest b using (model, fold) join (select model, fold, pr_auc, roc_auc from run0) r using (model, fold)
+group by ts.model"""),
+)
+
+
+@query("three_way_summary", _THREE_WAY_ORACLE + """
 select coalesce(thr.model, best.model, base.model) as model,
-  thr.best_threshold as thresh_best_threshold, thr.best_macro_f1 as thresh_best_macro_f1,
-  best.fold as cw_fold, best.pr_auc as cw_pr_auc, best.macro_f1 as cw_macro_f1,
-  base.accuracy as baseline_accuracy, base.macro_f1 as baseline_macro_f1, base.weighted_f1 as baseline_weighted_f1,
-  base.pr_auc as baseline_pr_auc, base.roc_auc as baseline_roc_auc
+  thr.pr_auc as thresh_pr_auc, thr.roc_auc as thresh_roc_auc, thr.macro_f1 as thresh_macro_f1,
+  thr.weighted_f1 as thresh_weighted_f1, thr.best_threshold as thresh_best_threshold,
+  best.fold as cw_fold, best.pr_auc as cw_pr_auc, best.roc_auc as cw_roc_auc, best.macro_f1 as cw_macro_f1,
+  best.weighted_f1 as cw_weighted_f1,
+  base.pr_auc as baseline_pr_auc, base.roc_auc as baseline_roc_auc, base.macro_f1 as baseline_macro_f1,
+  base.weighted_f1 as baseline_weighted_f1
 from thr full outer join best on thr.model = best.model
   full outer join base on coalesce(thr.model, best.model) = base.model""")
 def q_three_way_summary(spark, sf_dir):
+    """Threshold-tuned summary (each fold at its own best-macro-F1
+    threshold, means per model), the best fold per model by PR-AUC, and the
+    untuned baseline means, merged on model with prefixes."""
     from apsight.operators import summaries, thresholds
     fx = Fixtures(spark, sf_dir)
+    fs = fold_scored(fx)
+    by = ["model", "fold"]
+    best_t = thresholds.best_macro_f1(fs, "y", "score", by)
+    tuned = evaluate_scored(fs, best_t.select(*by, F.col("best_threshold").alias("threshold")), by)
+    tuned = tuned.join(best_t.select(*by, "best_threshold"), by)
+    cols4 = ("pr_auc", "roc_auc", "macro_f1", "weighted_f1")
+    thr = summaries.mean_metrics(tuned, ["model"], cols4 + ("best_threshold",))
     fm = fold_metrics(fx, RUNS[0][1])
-    thr = thresholds.best_macro_f1(scored_long(fx), "y", "score", ["model"])
-    best = summaries.best_per_group(fm, ["model"], "pr_auc", ["fold"]).select("model", "fold", "pr_auc", "macro_f1")
-    base = summaries.mean_metrics(fm, ["model"])
+    best = summaries.best_per_group(fm, ["model"], "pr_auc", ["fold"]).select(
+        "model", "fold", *[F.round(c, 4).alias(c) for c in cols4])
+    base = summaries.mean_metrics(fm, ["model"], cols4)
     return summaries.merge_summaries("model", [("thresh_", thr), ("cw_", best), ("baseline_", base)])
 
 
