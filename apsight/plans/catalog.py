@@ -1120,3 +1120,15 @@ select vendor_clean, count(*) as count from mlf group by 1 order by count desc,
 def q_top5_vendors(spark, sf_dir):
     """The five most frequent vendors (a top-k report: the limit is the feature)."""
     return profile.top_values(ml_rows(Fixtures(spark, sf_dir)), "vendor_clean", 5)
+
+
+@query("experiment_tuned")
+def q_experiment_tuned(spark, sf_dir):
+    """E2: 'sgd_fixed' is fitted on the whole training fold and judged at 0.5;
+    'sgd' is fitted on training minus a 10 % stratified validation slice and
+    judged at the validation's best-macro-F1 threshold. Random split and state
+    folds; rows only (learned models)."""
+    from apsight.plans import experiment as X
+    cfg = X.ExperimentConfig(models=("sgd", "sgd_fixed"), split_modes=("random", "state"),
+                             threshold_mode="best_f1")
+    return X.run_experiment(Fixtures(spark, sf_dir).ml, cfg, run_id="tuned")

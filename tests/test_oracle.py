@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 ORACLES = E.oracle_sql()
-SKIP_SLOW = {"model_logreg", "model_dtree", "model_rf", "model_gbt", "model_linear_svc_calibrated",
+SKIP_SLOW = {"model_logreg", "model_dtree", "model_rf", "model_gbt", "model_linear_svc_calibrated", "experiment_tuned",
              "model_isotonic", "weight_sweep", "experiment_metrics"}
 
 
