@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apsight.operators import profile, vendor
+from apsight import schemas
+from apsight.operators import profile, thresholds as TH, vendor
 from apsight.plans import oracle_sql as O
 from apsight.sources.fixtures import Fixtures
 
@@ -299,8 +300,7 @@ def q_raw_scan_roundtrip(spark, sf_dir):
     return parsed.select(F.col("_epoch").alias("epochtime"), "bssid", "lat", "lon", "altitude")
 
 
-_STR_COLS = [n for n, t in __import__("apsight.schemas", fromlist=["x"]).INTEGRATED_FIELDS
-             if t.typeName() == "string"]
+_STR_COLS = [n for n, t in schemas.INTEGRATED_FIELDS if t.typeName() == "string"]
 
 
 @query("integrated_tsv_roundtrip", _geo_oracle("""

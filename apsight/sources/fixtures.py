@@ -10,7 +10,6 @@ so both engines start from identical rows.
 
 from __future__ import annotations
 
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
