@@ -62,13 +62,19 @@ def ohe_vocabulary(train: DataFrame, col: str, max_categories: int) -> DataFrame
     """Per train value: (value, count, kept). When the number of values reaches
     ``max_categories`` only the ``max_categories - 1`` most frequent values are
     kept (among equal counts the alphabetically later one); the rest share the
-    infrequent column. Nulls are not values (filtered upstream)."""
+    infrequent column. Nulls are not values (filtered upstream).
+
+    The kept list is a distributed top-k of at most ``max_categories - 1`` rows,
+    broadcast back onto the per-value counts; no window ranks all values.
+    """
     counts = train.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    per_value = Window.partitionBy()  # one row per category
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), F.desc(col)))
-    n_values = F.count(F.lit(1)).over(per_value)
-    kept = (n_values < max_categories) | (rank <= max_categories - 1)
-    return counts.select(F.col(col).alias("value"), "count", kept.alias("kept"))
+    n_values = counts.count()
+    if n_values < max_categories:
+        return counts.select(F.col(col).alias("value"), "count", F.lit(True).alias("kept"))
+    top = counts.orderBy(F.desc("count"), F.desc(col)).limit(max_categories - 1).select(F.col(col).alias("_kept"))
+    side, _ = bounded_broadcast(top, known_rows=max_categories - 1)
+    j = counts.join(side, counts[col] == side["_kept"], "left")
+    return j.select(F.col(col).alias("value"), "count", F.col("_kept").isNotNull().alias("kept"))
 
 
 def ohe_bucket(df: DataFrame, col: str, vocab: DataFrame, out: str = "bucket") -> DataFrame:

@@ -109,17 +109,21 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def top_n_coverage(df: DataFrame, col: str, n: int) -> DataFrame:
     """Share of non-null rows that fall in the ``n`` most frequent values.
 
-    Ranks run over one row per value (a category list), never over rows.
+    The top n is a distributed top-k (``orderBy().limit()``: each partition
+    keeps its n best, then they are merged); totals are one aggregate. The two
+    one-row results are combined by a union and an aggregate, not a join.
     """
     counts = value_counts(df, col)
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), F.asc(col)))
-    ranked = counts.select("count", rank.alias("_rank"))
-    return ranked.agg(
-        F.lit(n).alias("top_n"),
-        F.count(F.lit(1)).alias("n_values"),
-        F.coalesce(F.sum(F.when(F.col("_rank") <= n, F.col("count"))), F.lit(0)).cast("long").alias("covered"),
-        F.sum("count").cast("long").alias("total"),
-    ).withColumn("coverage", F.col("covered") / F.col("total"))
+    top = counts.orderBy(F.desc("count"), F.asc(col)).limit(n)
+    part_top = top.agg(F.sum("count").cast("long").alias("covered"),
+                       F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("n_values"))
+    part_all = counts.agg(F.lit(None).cast("long").alias("covered"), F.sum("count").cast("long").alias("total"),
+                          F.count(F.lit(1)).alias("n_values"))
+    both = part_top.unionByName(part_all).agg(
+        F.coalesce(F.max("covered"), F.lit(0)).cast("long").alias("covered"),
+        F.max("total").alias("total"), F.max("n_values").alias("n_values"))
+    return both.select(F.lit(n).alias("top_n"), "n_values", "covered", "total",
+                       (F.col("covered") / F.col("total")).alias("coverage"))
 
 
 def values_for_share(df: DataFrame, col: str, share: float = 0.95) -> DataFrame:
