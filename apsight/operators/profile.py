@@ -130,14 +130,26 @@ def values_for_share(df: DataFrame, col: str, share: float = 0.95) -> DataFrame:
     """Number of most frequent values needed to reach ``share`` of the rows:
     (#values whose cumulative share is <= share) + 1, as in the reference.
 
-    The window runs over one row per *value* (a category list), never over rows.
+    Values are grouped by their count first: there are at most sqrt(2 * rows)
+    distinct counts, and the running sum runs over those, not over values.
+    Inside a group of m values with the same count c, the cumulative share
+    after j of them is (before + j * c) / total, so the number of them within
+    ``share`` is found arithmetically, then checked against the same double
+    comparison one step either way.
     """
     counts = value_counts(df, col)
-    w = Window.orderBy(F.desc("count"), F.asc(col)).rowsBetween(Window.unboundedPreceding, 0)
-    tot = F.sum("count").over(Window.partitionBy())
-    cum = counts.select(col, (F.sum("count").over(w) / tot).alias("cum_share"))
-    return cum.agg((F.count_if(F.col("cum_share") <= F.lit(share)) + 1).cast("long").alias("n_values_for_share"),
-                   F.count(F.lit(1)).alias("n_values"))
+    by_count = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_m"))
+    desc = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
+    g = by_count.select("count", "_m",
+                        F.coalesce(F.sum(F.col("count") * F.col("_m")).over(desc), F.lit(0)).alias("_before"),
+                        F.sum(F.col("count") * F.col("_m")).over(Window.partitionBy()).alias("_total"))
+    c, m, before, total = F.col("count"), F.col("_m"), F.col("_before"), F.col("_total")
+    within = lambda j: ((before + j * c) / total) <= F.lit(share)
+    j0 = F.least(F.greatest(F.floor((F.lit(share) * total - before) / c).cast("long"), F.lit(0)), m)
+    j1 = (F.when((j0 < m) & within(j0 + 1), j0 + 1)
+          .when((j0 > 0) & ~within(j0), j0 - 1).otherwise(j0))
+    return g.agg((F.sum(j1) + 1).cast("long").alias("n_values_for_share"),
+                 F.sum("_m").cast("long").alias("n_values"))
 
 
 def distinct_count(df: DataFrame, col: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:

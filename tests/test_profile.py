@@ -81,3 +81,21 @@ def test_distinct_count_exact_and_approx(spark):
     assert abs(approx - 1234) / 1234 < 0.05
     top = profile.top_values(df, "v", 3).collect()
     assert [r["count"] for r in top] == [5, 5, 5] and top[0]["v"] < top[1]["v"]
+
+
+def test_values_for_share_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    vals = [f"v{int(x)}" for x in rng.zipf(1.6, 5000) if x < 400]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    cnt = {}
+    for v in vals:
+        cnt[v] = cnt.get(v, 0) + 1
+    order = sorted(cnt.items(), key=lambda kv: (-kv[1], kv[0]))
+    total, cum, k = len(vals), 0, 0
+    for _, c in order:
+        cum += c
+        if cum / total <= 0.95:
+            k += 1
+    for share, expect in ((0.95, k + 1),):
+        assert profile.values_for_share(df, "v", share).first()["n_values_for_share"] == expect
