@@ -100,3 +100,15 @@ def canonicalize_vendor(df: DataFrame, aliases: DataFrame, vendor: str = "vendor
     j = keyed.join(side, keyed["_vkey"] == side["_alias_key"], "left")
     return j.select(*[keyed[c] for c in df.columns if c != out],
                     F.coalesce(F.col("_canonical"), F.col(vendor)).alias(out))
+
+
+def alias_rows(spark, mapping: dict[str, list[str]]) -> DataFrame:
+    """Alias table ``(canonical, alias, line_no)`` from a ``{canonical: [aliases]}``
+    mapping, in the mapping's order. A canonical name without aliases gets one
+    row with a null alias (it still maps to itself)."""
+    rows, n = [], 0
+    for canonical, aliases in mapping.items():
+        for a in (aliases or [None]):
+            n += 1
+            rows.append((canonical, a, n))
+    return spark.createDataFrame(rows, "canonical string, alias string, line_no long")

@@ -105,3 +105,12 @@ def test_normalize_vendor_unicode_space(spark):
     from apsight.functions.text import normalize_vendor
     df = spark.createDataFrame([(" A \tB  C ",)], "v string")
     assert df.select(normalize_vendor(F.col("v"))).first()[0] == "a b c"
+
+
+def test_alias_rows_and_canonical_without_aliases(spark):
+    aliases = vendor.alias_rows(spark, {"Cisco": ["Cisco Systems, Inc", "Cisco Meraki"], "TP-Link": [],
+                                        "Linksys": ["Cisco Meraki"]})
+    assert [r["line_no"] for r in aliases.collect()] == [1, 2, 3, 4]
+    df = spark.createDataFrame([("tp-link",), ("CISCO MERAKI",), ("cisco systems, inc",)], "vendor string")
+    got = {r["vendor"]: r["vendor_clean"] for r in vendor.canonicalize_vendor(df, aliases).collect()}
+    assert got == {"tp-link": "TP-Link", "CISCO MERAKI": "Linksys", "cisco systems, inc": "Cisco"}
