@@ -28,12 +28,18 @@ def write_dead_letter(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         out.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def write_results(tables: dict[str, DataFrame], path: str) -> None:
-    """Result tables as one long table partitioned by table name.
+def write_results(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
+    """Result tables as one long table partitioned by table name (parquet), or
+    as one headed tab-separated folder per table (``fmt="tsv"``, the layout of
+    per-table text outputs).
 
-    Each input must already be in long form ``(column, value, count, proportion)``
-    or similar; missing columns are filled with nulls.
+    For parquet the inputs are unioned by name; missing columns become null.
     """
+    if fmt == "tsv":
+        for name, df in tables.items():
+            (df.write.mode("overwrite").option("sep", "\t").option("header", True)
+             .option("nullValue", "").csv(f"{path}/{name}"))
+        return
     frames = [df.withColumn("table", F.lit(name)) for name, df in tables.items()]
     out = frames[0]
     for f in frames[1:]:

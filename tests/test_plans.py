@@ -49,3 +49,12 @@ def test_scale_settings_bounds():
     assert int(s["spark.sql.shuffle.partitions"]) >= 4000
     small = scale_settings(10 * 1024 ** 2, total_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 8
+
+
+def test_results_as_tsv_per_table(spark, tmp_path):
+    from apsight.sources.sinks import write_results
+    a = spark.createDataFrame([("x", 2, 0.5)], "value string, count long, proportion double")
+    b = spark.createDataFrame([("n", 7)], "name string, count long")
+    write_results({"dist": a, "names": b}, str(tmp_path / "r"), fmt="tsv")
+    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "r" / "names"))
+    assert back.columns == ["name", "count"] and back.first()["count"] == "7"
