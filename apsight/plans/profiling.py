@@ -48,11 +48,12 @@ def profile_tables(integrated: DataFrame, country: str = "us", crosstab_limit: i
     return out
 
 
-def run_profile(integrated: DataFrame, out_path: str, country: str = "us") -> int:
-    """Write every result table under ``out_path``; returns the filtered row count."""
+def run_profile(integrated: DataFrame, out_path: str, country: str = "us", fmt: str = "parquet") -> int:
+    """Write every result table under ``out_path`` (long parquet, or one TSV
+    folder per table with ``fmt="tsv"``); returns the filtered row count."""
     tables = profile_tables(integrated, country)
     if tables is None:
         return 0
     total = tables.pop("_total").first()["count"]
-    sinks.write_results(tables, out_path)
+    sinks.write_results(tables, out_path, fmt)
     return total
