@@ -58,3 +58,21 @@ def test_results_as_tsv_per_table(spark, tmp_path):
     write_results({"dist": a, "names": b}, str(tmp_path / "r"), fmt="tsv")
     back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "r" / "names"))
     assert back.columns == ["name", "count"] and back.first()["count"] == "7"
+
+
+def test_experiment_run_tables(spark, tmp_path):
+    from apsight.plans import experiment as X
+    fx = Fixtures(spark, SF_SMALL)
+    cfg = X.ExperimentConfig(models=("sgd",), split_modes=("random",), model_params={"sgd": {"maxIter": 10}})
+    art = {}
+    m = X.run_experiment(fx.ml, cfg, run_id="r1", artifacts=art)
+    row = m.first()
+    assert m.count() == 1 and 0 <= row["accuracy"] <= 1 and row["pr_auc"] is not None
+    conf = art["confusion"].collect()
+    assert len(conf) == 4 and sum(r["n"] for r in conf) == row["n_test"]
+    rep = {r["class"]: r for r in art["report"].collect()}
+    assert set(rep) == {"0", "1", "accuracy", "macro avg", "weighted avg"}
+    assert abs(rep["macro avg"]["f1"] - row["macro_f1"]) < 1e-12
+    X.save_run(m, art, str(tmp_path / "runs"), "r1")
+    back = spark.read.parquet(str(tmp_path / "runs" / "confusion"))
+    assert back.where("run_id = 'r1'").count() == 4
