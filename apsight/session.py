@@ -18,6 +18,11 @@ DEFAULTS = {
     # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; wide
     # enrichment stages otherwise run as one huge interpreted method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # the driver keeps plan descriptions of finished executions for status
+    # reporting; long-running sessions with many small jobs keep fewer
+    "spark.sql.ui.retainedExecutions": "100",
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
 }
 
 # SQL confs applied at runtime to a session someone else built (e.g. a driver),
@@ -39,9 +44,12 @@ def get_session(master: str | None = None, app: str = "apsight",
     ``master`` is only set when given: on a cluster the launcher decides it.
     """
     builder = SparkSession.builder.appName(app)
+    conf = dict(DEFAULTS)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULTS)
+        if master.startswith("local"):
+            # local mode: the driver JVM does all the work (executors included)
+            conf["spark.driver.memory"] = "16g"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -18,6 +18,8 @@ def spark():
     ckpt = tempfile.mkdtemp(prefix="apsight-test-ckpt-")
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "8g")
+         .config("spark.sql.ui.retainedExecutions", "100")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
