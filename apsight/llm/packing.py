@@ -102,8 +102,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int
             for offset, (doc_id, start, length, ids, n) in items:
                 yield doc_id, start, length, ids, n, task, key, offset, fill, is_open
 
-        for doc_id, text in rows:
-            data = encode(text or "") + end
+        for doc_id, data in encode.rows(rows):
+            data += end
             n = len(data) // 4
             for start, length in cut(n, size):
                 done = windows.place(length, (doc_id, start, length, data[4 * start:4 * (start + length)], n))

@@ -12,8 +12,11 @@ holds for a vocabulary is tested when it is loaded; if not, it is not used.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -21,12 +24,13 @@ from apsight.llm.common import TwoGenerations
 
 _LOOSE = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIGNS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation without the apostrophe, which may begin a contraction
-_PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([{_SIGNS}]+)?(?:(\n)([{_LETTERS}]+[{_SIGNS}]*))?")
-_PROBES = [" Straße", "Éa", " the", "ÿÀz", " Xyzzyq", "a", " I"]
+#: ASCII punctuation without the apostrophe, which may begin a contraction.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PROBES = ["Straße", "Éa", "the", "ÿÀz", "Xyzzyq", "a", "I"]
 #: Pieces kept per generation and worker (about 200 bytes each).
 CACHE_PIECES = 400_000
+#: Code points that are encoded together.
+BATCH_CHARS = 1 << 16
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
@@ -38,6 +42,11 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
+def _plain(word: str) -> bool:
+    """Letters of ASCII or Latin-1 alone: the same under every normalisation but case."""
+    return word.isalpha() and (word.isascii() or max(word) <= "ÿ")
+
+
 class PieceEncoder:
     """``encode(text)`` -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -51,9 +60,9 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.symbols = str.maketrans(dict(enumerate(_byte_symbols())))
-        self.spaced = TwoGenerations(lambda word: self._piece(f" {word}"), CACHE_PIECES)  # keys without their space
-        self.bare = TwoGenerations(self._piece, CACHE_PIECES // 10)
-        self.direct = next((f for f in (self._spaced, self._lowered) if all(f(p) == self._library(p) for p in _PROBES)), None)
+        self.spaced = TwoGenerations(self._spaced_piece, CACHE_PIECES)  # pieces behind a space, keys without it
+        self.bare = TwoGenerations(self._bare_piece, CACHE_PIECES // 10)  # pieces without a space
+        self.direct = next((f for f in (self._after_space, self._lowered) if all(f(p) == self._library(f" {p}") for p in _PROBES)), None)
 
     @classmethod
     def cached(cls, path: str) -> PieceEncoder:
@@ -66,29 +75,64 @@ class PieceEncoder:
 
     def _merge(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() else piece.encode().decode("latin-1")
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(symbols.translate(self.symbols))])
-
-    _spaced = _merge
-
-    def _lowered(self, piece: str) -> bytes:
-        return self._merge(piece.lstrip(" ").lower())
-
-    def _piece(self, piece: str) -> bytes:
-        m = self.direct and _PLAIN.fullmatch(piece)
-        if not m:
-            return self._library(piece)
-        word, tail, line, rest = m.groups()
-        if word == piece:
-            return self.direct(word)
-        ids = self.spaced[word[1:]] if word[0] == " " else self.bare[word]
-        return b"".join([ids, *(self.bare[x] for x in (tail, line, rest) if x)])
+        return array("I", [t.id for t in self.model.tokenize(symbols.translate(self.symbols))]).tobytes()
+
+    def _after_space(self, word: str) -> bytes:
+        return self._merge(f" {word}")
+
+    def _lowered(self, word: str) -> bytes:
+        return self._merge(word.lower())
+
+    def _spaced_piece(self, word: str) -> bytes:
+        if self.direct:
+            core = word.rstrip(_SIGNS)
+            if _plain(core):
+                return self.direct(word) if core == word else self.spaced[core] + self.bare[word[len(core):]]
+            first, line, rest = word.partition("\n")
+            if line and rest and _plain(first.rstrip(_SIGNS)) and rest[0].isalpha():
+                return b"".join([self.spaced[first], self.bare[line], self.bare[rest]])
+        return self._library(f" {word}")
+
+    def _bare_piece(self, piece: str) -> bytes:
+        core = piece.rstrip(_SIGNS)
+        if self.direct and _plain(core):
+            if core != piece:
+                return self.bare[core] + self.bare[piece[len(core):]]
+            return self._merge(piece) if self.direct == self._after_space else self._lowered(piece)
+        return self._library(piece)
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Distinct pieces of the batch are looked up once: the large cache is slow to reach."""
+        heads, tails = [], []
+        for text in texts:
+            parts = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
+            heads.append(parts[0])
+            del parts[0]
+            tails.append(parts)
+        near: dict[str, bytes] = dict.fromkeys(itertools.chain.from_iterable(tails))
+        far = self.spaced
+        for piece in near:
+            near[piece] = far[piece] if len(piece) < CACHE_CHARS else self._library(f" {piece}")
+        get = near.__getitem__
+        return [(self._library(h) if h else b"") + b"".join(map(get, parts)) for h, parts in zip(heads, tails, strict=True)]
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-        head = self._piece(parts[0]) if parts[0] else b""
-        del parts[0]
-        if len(max(parts, key=len, default="")) < CACHE_CHARS:
-            return head + b"".join(map(self.spaced.__getitem__, parts))
-        return head + b"".join([self.spaced[p] if len(p) < CACHE_CHARS else self._piece(f" {p}") for p in parts])
+        return self.batch([text])[0]
+
+    def rows(self, source: Iterator[tuple]) -> Iterator[tuple]:
+        """(id, ids) of rows (id, text), in batches of about BATCH_CHARS code points; a null text is empty."""
+        for some in by_chars(source, BATCH_CHARS):
+            yield from zip([i for i, _ in some], self.batch([t or "" for _, t in some]), strict=True)
+
+
+def by_chars(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    """Consecutive rows (id, text), cut when ``size`` code points are reached."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[1] or "") + 1
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held

@@ -41,6 +41,8 @@ MARK = 512
 BLOCK_IDS = 1 << 16
 
 _LIMITS = np.array([1 << int(w) for w in WIDTHS], dtype=np.uint64)
+_NEED = np.searchsorted(_LIMITS, np.arange(1 << 17, dtype=np.uint64), side="right").astype(np.int8)
+_STEPS = np.append(COUNTS, 1).astype(np.uint8)
 _PER_SELECTOR = np.concatenate([[1], COUNTS])
 
 
@@ -50,19 +52,21 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros((0, 2), np.uint32)
-    need = np.searchsorted(_LIMITS, ids, side="right").astype(np.int8)  # index of the least width that holds the id
+    most = int(COUNTS.max())
+    need = np.full(n + most, -1, np.int8)  # index of the least width that holds the id; past the end anything fits
+    need[:n] = _NEED[ids] if int(ids.max()) < len(_NEED) else np.searchsorted(_LIMITS, ids, side="right")
     best = np.full(n, len(WIDTHS), np.int8)
+    widest = {1: need}  # greatest need among the next 1, 2, 4, ... ids
     for k in range(len(WIDTHS) - 1, -1, -1):  # narrower widths hold more ids, so later wins
-        fit = np.flatnonzero(need <= k)
-        if len(fit) == n:
-            best[:] = k
-            continue
-        if not len(fit):
-            break
-        gap = np.flatnonzero(np.diff(fit) > 1)  # runs of ids that fit: a word needs one as long as its count
-        last = np.repeat(fit[np.append(gap, len(fit) - 1)], np.diff(np.concatenate([[-1], gap, [len(fit) - 1]])))
-        best[fit[(last - fit >= COUNTS[k] - 1) | (last == n - 1)]] = k
-    step = np.append(COUNTS, 1)[best].tolist()
+        c = int(COUNTS[k])
+        p = 1
+        while 2 * p <= c:
+            if 2 * p not in widest:
+                widest[2 * p] = np.maximum(widest[p][:-p], widest[p][p:])
+            p *= 2
+        w = widest[p]
+        np.putmask(best, np.maximum(w[:n], w[c - p:c - p + n]) <= k, k)
+    step = _STEPS[best].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
@@ -142,8 +146,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             return (part, block, first, len(ids), list(doc_ids), list(lens), words.astype("<u8").tobytes(), marks.astype("<u4").tobytes())
 
         size = 0
-        for doc_id, text in rows:
-            data = encode(text or "") + end
+        for doc_id, data in encode.rows(rows):
+            data += end
             held.append(data)
             doc_ids.append(doc_id)
             lens.append(len(data) // 4)
@@ -162,11 +166,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a file set: doc_id, start (ids before it), ids (little-endian unsigned 32-bit)."""
     blocks = spark.read.schema(T.StructType(BLOCK_FIELDS)).parquet(path)
-    # one row per written part: a few numbers per task of the writer
+    # one row per written part: bounded by the writer's tasks, two numbers each
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = blocks.join(base, "part").select((F.col("base") + F.col("first")).alias("start"), "n_ids", "doc_ids", "doc_lens", "words")
+    placed = blocks.join(F.broadcast(base), "part").select((F.col("base") + F.col("first")).alias("start"), "n_ids", "doc_ids", "doc_lens", "words")
 
     def documents(rows: Iterator[tuple]) -> Iterator[tuple]:
         for start, n, doc_ids, lens, words in rows:
