@@ -110,11 +110,14 @@ class TwoGenerations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def held_out(doc_id, parts: int = 3, part: int = 1):

@@ -19,6 +19,8 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from apsight.llm.common import TwoGenerations
 
@@ -30,7 +32,7 @@ _PROBES = ["Straße", "Éa", "the", "ÿÀz", "Xyzzyq", "a", "I"]
 #: Pieces kept per generation and worker (about 200 bytes each).
 CACHE_PIECES = 400_000
 #: Code points that are encoded together.
-BATCH_CHARS = 1 << 16
+BATCH_CHARS = 1 << 22
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
@@ -102,19 +104,52 @@ class PieceEncoder:
         return self._library(piece)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Distinct pieces of the batch are looked up once: the large cache is slow to reach."""
-        heads, tails = [], []
-        for text in texts:
-            parts = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-            heads.append(parts[0])
-            del parts[0]
-            tails.append(parts)
-        near: dict[str, bytes] = dict.fromkeys(itertools.chain.from_iterable(tails))
-        far = self.spaced
-        for piece in near:
-            near[piece] = far[piece] if len(piece) < CACHE_CHARS else self._library(f" {piece}")
-        get = near.__getitem__
-        return [(self._library(h) if h else b"") + b"".join(map(get, parts)) for h, parts in zip(heads, tails, strict=True)]
+        """Ids of each text. Arrow numbers the distinct pieces of the batch; only those are looked up one by one."""
+        loose = [i for i, t in enumerate(texts) if _LOOSE.search(t)]
+        if loose:
+            out = self.batch(["" if _LOOSE.search(t) else t for t in texts])
+            for i in loose:
+                head, *rest = _CUT.split(texts[i])
+                out[i] = (self._library(head) if head else b"") + b"".join(map(self._ids, rest))
+            return out
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begin = parts.offsets.to_numpy()  # every text has a first piece, maybe empty
+        coded = parts.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        distinct = coded.dictionary.to_pylist()
+        heads = [distinct[c] for c in code[begin[:-1]].tolist()]
+        code[begin[:-1]] = len(distinct) + np.arange(len(texts))  # not behind a space: a piece of its own
+        found = self._look_up(distinct) + [self._library(h) if h else b"" for h in heads]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = np.cumsum(size) - size
+        length = size[code]
+        end = np.cumsum(length)
+        all_ids = ids[np.repeat(at[code] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)]
+        bounds = np.append(0, end)[begin].tolist()
+        return [all_ids[a:b].tobytes() for a, b in itertools.pairwise(bounds)]
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces behind a space; plain ASCII words that are new go straight to the merge model."""
+        cache, tokenize = self.spaced, self.model.tokenize
+        lower = self.direct == self._lowered
+        mark = self.symbols[ord(" ")]
+        found = list(map(cache.get, pieces))
+        for i, ids in enumerate(found):
+            if ids is None:
+                piece = pieces[i]
+                if self.direct and len(piece) < CACHE_CHARS and piece.isascii() and piece.isalpha() and piece not in cache.old:
+                    tokens = tokenize(piece.lower() if lower else mark + piece)
+                    ids = array("I", [t.id for t in tokens]).tobytes()
+                    cache.keep(piece, ids)
+                else:
+                    ids = self._ids(piece)
+                found[i] = ids
+        return found
+
+    def _ids(self, piece: str) -> bytes:
+        """Ids of a piece behind a space."""
+        return self.spaced[piece] if len(piece) < CACHE_CHARS else self._library(f" {piece}")
 
     def __call__(self, text: str) -> bytes:
         return self.batch([text])[0]
