@@ -133,12 +133,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, size: int
             take(window)
         return pd.DataFrame(moved, columns=["task", "window", "sequence_id", "base", "total"])
 
-    # few rows: at most open_windows per task; the planner picks the join by their measured size
     moved = left.groupBy(F.floor(F.col("task") / MERGE_TASKS).cast("long").alias("lot")).applyInPandas(merge, key_schema)
     own = (F.col("task").cast("long") * (1 << 32)) + F.col("window")
-    joined = pieces.join(moved, ["task", "window"], "left")
-    total = F.coalesce("total", "fill")
-    power = total.bitwiseAND(total - 1) == 0
-    return joined.select("doc_id", "start", "length", "ids", "doc_tokens", F.coalesce("sequence_id", own).alias("sequence_id"),
-                         (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"), total.alias("sequence_tokens"),
-                         F.when(power, total).otherwise(F.lit(size).cast("long")).alias("padded_to"))
+    closed = pieces.where(~F.col("open")).withColumns({"sequence_id": own, "base": F.lit(0).cast("long"), "total": F.col("fill")})
+    # only leftovers are shuffled: at most open_windows windows a task
+    reopened = pieces.where("open").join(moved, ["task", "window"])
+    joined = closed.unionByName(reopened, allowMissingColumns=True)
+    power = F.col("total").bitwiseAND(F.col("total") - 1) == 0
+    return joined.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", (F.col("offset") + F.col("base")).alias("offset"),
+                         F.col("total").alias("sequence_tokens"), F.when(power, F.col("total")).otherwise(F.lit(size).cast("long")).alias("padded_to"))

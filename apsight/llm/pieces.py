@@ -28,11 +28,12 @@ _LOOSE = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
 #: ASCII punctuation without the apostrophe, which may begin a contraction.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD_AND_SIGNS = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[" + re.escape(_SIGNS) + "]*)$"
 _PROBES = ["Straße", "Éa", "the", "ÿÀz", "Xyzzyq", "a", "I"]
 #: Pieces kept per generation and worker (about 200 bytes each).
 CACHE_PIECES = 400_000
 #: Code points that are encoded together.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 23
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
@@ -104,30 +105,41 @@ class PieceEncoder:
         return self._library(piece)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Arrow numbers the distinct pieces of the batch; only those are looked up one by one."""
-        loose = [i for i, t in enumerate(texts) if _LOOSE.search(t)]
-        if loose:
-            out = self.batch(["" if _LOOSE.search(t) else t for t in texts])
-            for i in loose:
-                head, *rest = _CUT.split(texts[i])
-                out[i] = (self._library(head) if head else b"") + b"".join(map(self._ids, rest))
-            return out
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        """Ids of each text.
+
+        Arrow numbers the distinct pieces of the batch and takes punctuation off
+        plain words, so that Python sees each word of the batch once.
+        """
+        loose = {i: t for i, t in enumerate(texts) if _LOOSE.search(t)}
+        parts = pc.split_pattern(pa.array(["" if i in loose else t for i, t in enumerate(texts)], pa.large_string()), " ")
         begin = parts.offsets.to_numpy()  # every text has a first piece, maybe empty
         coded = parts.flatten().dictionary_encode()
         code = coded.indices.to_numpy().astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
-        heads = [distinct[c] for c in code[begin[:-1]].tolist()]
-        code[begin[:-1]] = len(distinct) + np.arange(len(texts))  # not behind a space: a piece of its own
-        found = self._look_up(distinct) + [self._library(h) if h else b"" for h in heads]
-        ids = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at = np.cumsum(size) - size
-        length = size[code]
-        end = np.cumsum(length)
-        all_ids = ids[np.repeat(at[code] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)]
-        bounds = np.append(0, end)[begin].tolist()
-        return [all_ids[a:b].tobytes() for a, b in itertools.pairwise(bounds)]
+        distinct, n = coded.dictionary, len(coded.dictionary)
+        heads = distinct.take(pa.array(code[begin[:-1]])).to_pylist()
+        code[begin[:-1]] = n + np.arange(len(texts))  # not behind a space: a piece of its own
+        split = pc.extract_regex(distinct, _WORD_AND_SIGNS)
+        whole = split.is_null()
+        words = pc.if_else(whole, distinct, split.field("word")).dictionary_encode()
+        signs = pc.if_else(whole, "", split.field("signs")).dictionary_encode()
+        found = self._look_up(words.dictionary.to_pylist())
+        first = len(found)
+        found += [self.bare[x] if x else b"" for x in signs.dictionary.to_pylist()]
+        last = len(found)
+        found += [self._library(h) if h else b"" for h in heads]
+        both = np.full((n + len(texts), 2), last, np.int64)  # each piece: a word or whole piece, and its signs
+        both[:n, 0], both[:n, 1] = words.indices.to_numpy(), signs.indices.to_numpy() + first
+        both[n:, 0] = last + np.arange(len(texts))
+        found.append(b"")
+        both[n:, 1] = len(found) - 1
+        taken = pa.array(found, pa.large_binary()).take(pa.array(both[code].ravel()))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: 2 * len(code) + 1]
+        data, bounds = taken.buffers()[2], ends[2 * begin].tolist()
+        out = [data[a:b].to_pybytes() if b > a else b"" for a, b in itertools.pairwise(bounds)]
+        for i, text in loose.items():
+            head, *rest = _CUT.split(text)
+            out[i] = (self._library(head) if head else b"") + b"".join(map(self._ids, rest))
+        return out
 
     def _look_up(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces behind a space; plain ASCII words that are new go straight to the merge model."""
