@@ -282,7 +282,8 @@ def links(fps: DataFrame, bits: int = 4, run_rows: int = RUN_ROWS) -> DataFrame:
         yield from out(flush())
 
     ship(fps.sparkSession)
-    spread = fps.select("fp").repartition("fp")
+    # a value becomes a hundred rows: a fixed number of tasks, not one by the size of the values
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     rows = spread.mapInArrow(keyed, "key long, fp long, probe boolean")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key")
     found = written(sorted_rows.mapInArrow(compared, EDGE), "simhash-edges")
