@@ -14,11 +14,14 @@ table gives none.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +30,8 @@ from apsight.llm.recurrent import GRU, Adam, Bidirectional
 
 #: Bounds of the training sample: documents of each language, code points of each.
 PER_LANG, STRETCH = 500, 1024
+#: Parts of the hash range from which the sample is drawn.
+PLACES = 1 << 40
 HIDDEN, WINDOW = 8, 128
 #: Windows that go through the network together.
 TOGETHER = 1024
@@ -103,10 +108,15 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def training_rows(docs: DataFrame, per_lang: int = PER_LANG, stretch: int = STRETCH) -> list[tuple[str, str]]:
     """(language, stretch of text) of the sample; never of held-out documents."""
-    order = F.xxhash64("doc_id")
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    chosen = [r.doc_id for r in able.withColumn("nth", rank).where(F.col("nth") <= per_lang).select("doc_id").collect()]
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    counts = {r.lang: r["count"] for r in able.groupBy("lang").count().collect()}  # one row a language
+    # about twice as many as needed by a share of the hash range, so that no task ranks a language
+    shares = [(F.col("lang") == lang) & (place < min(PLACES, max(1, 2 * per_lang * PLACES // n))) for lang, n in counts.items()]
+    if not shares:
+        return []
+    near = sorted((r.lang, r.place, r.doc_id) for r in able.where(functools.reduce(operator.or_, shares)).select("lang", place.alias("place"), "doc_id").distinct().collect())
+    chosen = [r[2] for _, some in itertools.groupby(near, key=lambda r: r[0]) for r in itertools.islice(some, per_lang)]
     if not chosen:
         return []
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - stretch, F.lit(1)).cast("long")) + 1
