@@ -356,13 +356,15 @@ def keep_one(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     """The rows of ``docs`` of which each component keeps one, with all their columns: that of the smallest doc_id
     (null only where no other exists), of several such the one of the least hash of its text, of equal rows one."""
     found = written(near_duplicates(docs, shingle, bits), "simhash-groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    marked = found.join(found.groupBy("root").agg(first), "root")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    marked = marked.select(F.col("doc_id").alias("one__id"), F.col("text_hash").alias("one__hash"), stays.alias("stays"))
+    smallest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    able = found.where(smallest)  # one row of each component, unless ids repeat or are null
+    several = written(able.groupBy("root").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).where("n > 1"), "simhash-several")
+    tied = able.join(several, "root")
+    key = [F.col("doc_id").alias("one__id"), F.col("text_hash").alias("one__hash")]
+    gone = found.where(~smallest).select(*key).unionByName(tied.where("text_hash <> least").select(*key)).distinct()
     same = docs["doc_id"].eqNullSafe(F.col("one__id")) & (F.xxhash64(docs["text"]) == F.col("one__hash"))
-    kept = docs.join(marked.where(~F.col("stays")).select("one__id", "one__hash").distinct(), same, "left_anti")
-    repeats = written(marked.where("stays").groupBy("one__id", "one__hash").count().where("count > 1").drop("count"), "simhash-repeats")
+    kept = docs.join(gone, same, "left_anti")
+    repeats = written(tied.where("text_hash = least").select(*key).distinct(), "simhash-repeats")
     if repeats.isEmpty():
         return kept
     again = kept["doc_id"].eqNullSafe(F.col("one__id")) & (F.xxhash64(kept["text"]) == F.col("one__hash"))
