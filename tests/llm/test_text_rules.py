@@ -1,0 +1,200 @@
+"""Operators 1, 4, 8 and 9: brute force, held-out accuracy, and edge rows."""
+
+import base64
+import json
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from apsight.llm import langid, pii, quality, queries, secret_scan
+from apsight.llm.recurrent import F32, GRU, LSTM, Bidirectional
+
+W = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_quality_measures_by_brute_force(spark, texts):
+    got = {r.doc_id: r for r in queries.op1_quality_cascade(spark, "/root/testdata/sf0.001").collect()}
+    for doc_id, text in texts.items():
+        words = W.findall(text)
+        windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+        times, hit, seen, dup = Counter(windows), set(), set(), 0
+        for i, w in enumerate(windows):
+            if times[w] > 1:
+                hit |= set(range(i, i + 5))
+        for line in text.split("\n"):
+            if W.search(line):
+                dup += line in seen
+                seen.add(line)
+        failed = len(words) < 10 or 100 * len(hit) > 20 * len(words)
+        symbols = sum(c in "#*$%&|<>" for c in text)
+        assert tuple(got[doc_id])[:7] == (doc_id, len(words), sum(map(len, words)), symbols, dup, len(hit), failed)
+        assert not (failed and got[doc_id].kept)
+
+
+def test_quality_order_and_short_circuit(texts):
+    calls = []
+
+    def slow(m):
+        calls.append("slow")
+        return len(m.words) < 0 or sum(range(20_000)) < 0
+
+    rules = (quality.Rule("slow", slow), quality.Rule("short", lambda m: len(m.words) < 1000))
+    ordered = quality.order_rules(list(texts.values())[:50], rules)
+    assert [r.name for r in ordered] == ["short", "slow"]
+    calls.clear()
+    assert quality.first_failed(quality.Measures("few words"), ordered) == "short" and not calls
+    assert quality.order_rules([], rules) == list(rules)
+
+
+def test_quality_edges(edge):
+    rows = quality.judged(edge).collect()
+    assert len(rows) == 10 and all(r.base_failed and not r.kept for r in rows if r.doc_id in (2, 3, 4, 6))
+    kept = quality.cascade(edge)
+    assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 5]
+    assert quality.cascade(edge.limit(0)).count() == 0 and quality.judged(edge.limit(0)).count() == 0
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    for layer in (GRU, LSTM):
+        net = Bidirectional(layer, 10, 3, 4, rng)
+        steps, w = rng.integers(0, 10, (5, 6)), rng.normal(size=(5, 4, 6)).astype(F32)
+        for v in net.parameters().values():
+            v += rng.normal(size=v.shape).astype(F32) * F32(0.3)
+        scores, kept = net.forward(steps)
+        grads = net.backward(steps, kept, w)
+        assert np.allclose(net.scores(steps), scores, atol=1e-5)
+        for name, v in net.parameters().items():
+            at = tuple(rng.integers(0, d) for d in v.shape)
+            old, sums = v[at], []
+            for move in (1e-2, -1e-2):
+                v[at] = old + move
+                sums.append(float((net.forward(steps)[0] * w).sum()))
+            v[at] = old
+            numeric = (sums[0] - sums[1]) / 2e-2
+            assert abs(numeric - grads[name][at]) < 3e-2 * max(1, abs(numeric)), (layer, name)
+
+
+def test_language_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in queries.table(spark, sf, "documents").select("doc_id", "lang").collect()}
+    rows = queries.op8_language_id(spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == len(truth) and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
+
+
+def test_language_edges(edge, small):
+    model = langid.train(langid.training_rows(small))
+    rows = langid.identify(edge, model).collect()
+    assert len(rows) == 10 and all((r.lang_pred, r.score) == ("und", 0.0) for r in rows if r.doc_id in (2, 3, 4))
+    assert langid.keep_identified(edge, 0.0, model).columns == edge.columns
+    assert langid.identify(edge.limit(0)).count() == 0
+    nothing = langid.identify(edge.where("lang is null")).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+    long = "the and of " * 5000
+    whole, halves = model.pooled([long])[0], model.pooled([long[:langid.WINDOW * 100], long[langid.WINDOW * 100:]])
+    n = np.array([langid.WINDOW * 100, len(long) - langid.WINDOW * 100])
+    assert np.allclose(whole, (halves * n[:, None]).sum(0) / len(long), atol=1e-5)
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_pii(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return pii.by_place(out)
+
+
+def test_pii_patterns_by_brute_force(texts):
+    rng = np.random.default_rng(1)
+    odd = ["".join(rng.choice(list("a@b.c1_-% 23+.4()0"), 40)) for _ in range(5000)]
+    for text in [*texts.values(), *odd, "1.2.3.000000000999", "0000000255.1.1.1", "4111 1111 1111 1111", "1" * 30]:
+        assert pii.by_place(pii.base_spans(text)) == plain_pii(text), text
+
+
+def test_pii_network_finds_unseen_variants(texts):
+    model, rng = pii.train(list(texts.values())), np.random.default_rng(99)
+    filler = list(texts.values())
+    hit = found = wanted = 0
+    for _ in range(400):
+        before = filler[rng.integers(len(filler))][:60].rsplit(" ", 1)[0]
+        span, kind = pii.variant(rng)
+        start = len(before) + 1
+        got = {s for s in pii.find([f"{before} {span} and so on"], model)[0] if s[1] < start + len(span) and s[2] > start}
+        want = {(kind, start, start + len(span))} if kind else set()
+        hit, found, wanted = hit + len(got & want), found + len(got), wanted + len(want)
+    assert hit / found > 0.9 and hit / wanted > 0.85
+
+
+def test_pii_reconcile_and_edges(edge, spark):
+    assert pii.reconcile([("ip", 0, 5, 2.0), ("card", 3, 9, 3.0), ("ip", 9, 12, 1.0), ("ip", 0, 5, 1.0), ("phone", 20, 22, -1.0)]) == [("card", 3, 9, 3.0), ("ip", 9, 12, 1.0)]
+    model = pii.train([], steps=5)
+    assert len(pii.scan(edge, model).collect()) == 10 and pii.scan(edge.limit(0), model).count() == 0
+    text = "x" * 130 + " a.b@c.org " + "y" * 200_000 + " 10.0.0.1"
+    row = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert [(s.kind, text[s.start:s.end]) for s in row.spans if s.by_pattern] == [("email", "a.b@c.org"), ("ip", "10.0.0.1")]
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8)
+    return bytes([tag]) + size + body
+
+
+def rsa():
+    number = lambda n: der(2, b"\xab" * n)
+    return der(0x30, der(2, b"\0"), number(128), number(3), number(128), *[number(64)] * 5)
+
+
+def kinds(text):
+    return [(k, text[a:b]) for k, a, b in secret_scan.find(text)]
+
+
+def test_secrets_need_their_structure():
+    key = base64.b64encode(rsa()).decode()
+    assert kinds(f"see {key} there") == [("der", key)]
+    assert not kinds(f"see {base64.b64encode(rsa()[:-1]).decode()} there") and not kinds("see " + base64.b64encode(b"x" * 300).decode())
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(f"a {pem} b") == [("pem", pem)]
+    wrapped = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, rsa()))
+    assert [k for k, _ in kinds(wrapped.hex().upper())] == ["der"]
+    field = lambda b: len(b).to_bytes(4) + b
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4) + field(b"pub") + field(b"private")
+    assert secret_scan.is_key(ssh) and not secret_scan.is_key(ssh + b"x")
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': '1'})}.c2lnbmF0dXJl"
+    assert kinds(f"({token})") == [("jwt", token)]
+    assert not kinds(f"{part({'typ': 'x'})}.{part({'sub': '1'})}.c2lnbmF0dXJl")
+
+
+ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def test_secret_patterns_by_brute_force(spark, texts):
+    rng = np.random.default_rng(2)
+    odd = ["".join(rng.choice(["token", "Secret", "apiKEY", "=", ":", " ", '"', "abcdef01", "AKIA", "ABCDEFGH0123", "f" * 33, "ſecret", "."], 12)) for _ in range(3000)]
+    for text in [*texts.values(), *odd]:
+        want = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        assert secret_scan.by_place(secret_scan.base_spans(text)) == secret_scan.by_place(want), text
+    got = {r.doc_id: r for r in queries.op9_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+    for doc_id, text in texts.items():
+        assert got[doc_id].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in secret_scan.find(text))
+
+
+def test_secret_edges(edge, spark):
+    assert all(not r.spans for r in secret_scan.scan(edge).collect()) and secret_scan.scan(edge.limit(0)).count() == 0
+    clean = secret_scan.redact(edge)
+    assert clean.columns == edge.columns and sorted(map(str, clean.collect())) == sorted(map(str, edge.collect()))
+    df = spark.createDataFrame([(1, 'a token = "0123456789abcdef0123456789abcdef" z')], "doc_id long, text string")
+    assert secret_scan.redact(df).first().text == 'a [SECRET]" z'
