@@ -50,7 +50,16 @@ def parse_body(body) -> F.Column:
 def json_fields(j: F.Column) -> list[F.Column]:
     """The 10 top-level and 9 address fields, named as in the integrated table."""
     a = j.getField("address")
-    top = [j.getField(n).alias(n) for n in ("place_id", "osm_type", "osm_id", "class", "type", "place_rank",
+    kinds = dict(schemas.INTEGRATED_FIELDS)
+
+    def typed(name: str) -> F.Column:
+        text, kind = j.getField(name), kinds[name]
+        if kind.typeName() in ("integer", "long"):  # 12, "12" and 12.0 are the same number; 12.5 is none
+            number = text.try_cast("decimal(38,9)")
+            text = F.when(number == F.floor(number), number)
+        return text.try_cast(kind)
+
+    top = [typed(n).alias(n) for n in ("place_id", "osm_type", "osm_id", "class", "type", "place_rank",
                                               "importance", "addresstype", "name", "display_name")]
     addr = [a.getField(src).alias(dst) for src, dst in (
         ("road", "add_road"), ("neighbourhood", "add_neighbourhood"), ("town", "add_town"),

@@ -1,25 +1,28 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join helpers: a broadcast hint only for a side whose size the caller has bounded; null-safe joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound under which a lookup side is broadcast. Lookup sides here are
-# dimension tables (OUI registry <= 2^24 prefixes, alias table, label or fold
-# maps), counted before they are broadcast; above the bound the join falls
-# back to a shuffle join and AQE handles skew.
+# Row bound under which a side of known size is hinted (label maps, category
+# lists, fold tables that the caller built). A side of unknown size carries no
+# hint and is not counted: the planner and AQE choose by its measured bytes.
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                       known_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Return ``(side, broadcasted)``; the side is hinted only if it is small.
-
-    ``known_rows`` skips the count when the caller already knows an upper
-    bound (e.g. a category list it built).
-    """
-    n = known_rows if known_rows is not None else df.count()
-    if n <= max_rows:
+    """Return ``(side, hinted)``; hinted only if ``known_rows`` bounds it within ``max_rows``."""
+    if known_rows is not None and known_rows <= max_rows:
         return F.broadcast(df), True
     return df, False
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys of ``left`` are kept."""
+    renamed = right
+    for k in keys:
+        renamed = renamed.withColumnRenamed(k, f"_right_{k}")
+    j = left.join(renamed, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys], how)
+    return j.drop(*[f"_right_{k}" for k in keys])

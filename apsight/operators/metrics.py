@@ -4,10 +4,15 @@ Everything derives from small aggregated frames:
 * the confusion matrix ``(by..., actual, predicted, n)`` (M1) gives accuracy,
   per-class precision/recall/F1, macro and weighted F1 and the report (M2-M5);
 * AP and ROC-AUC (M6, M7) come from ``groupBy(by..., score)`` sums with prefix
-  sums in descending score order. For many distinct scores the prefix sums are
-  two-level: quantile buckets of the score, bucket totals -> offsets (one row
-  per bucket), then windows *inside* buckets. No window ever orders all rows
-  of a group in one task.
+  sums in descending score order, two-level at every size: buckets cut at each
+  group's own score quantiles, bucket totals -> offsets (one row per bucket),
+  then windows *inside* buckets. No window ever orders all rows of a group in
+  one task.
+
+Nulls: a null label or predicted value is a class of its own in the confusion
+matrix, a null group is a group. A score that is null or NaN is lower than
+every other score and never reaches a threshold, in every operator; its row is
+counted.
 """
 
 from __future__ import annotations
@@ -15,11 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apsight.operators.joins import bounded_broadcast
+from apsight.operators.joins import bounded_broadcast, null_safe_join
 
-MAX_LABELS = 1000
-ONE_LEVEL_ROWS = 2_000_000
-ROWS_PER_BUCKET = 1_000_000
+MAX_LABELS = 1000  # a guard that raises: a confusion matrix lists every pair
+SCORE_BUCKETS = 256
+
+
+def usable_score(score: str) -> Column:
+    """The score as a double, null where it is null or NaN."""
+    x = F.col(score).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def _labels(df: DataFrame, cols: list[str]) -> list:
@@ -29,21 +39,22 @@ def _labels(df: DataFrame, cols: list[str]) -> list:
         vals |= {r[0] for r in rows}
     if len(vals) > MAX_LABELS:
         raise ValueError("too many distinct labels for a confusion matrix")
-    return sorted((v for v in vals if v is not None), key=lambda v: (str(type(v)), v))
+    return sorted((v for v in vals if v is not None), key=lambda v: (str(type(v)), v)) + [None] * (None in vals)
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None,
               labels: list | None = None) -> DataFrame:
     """Long confusion matrix with zero cells: ``(by..., actual, predicted, n)``.
 
-    ``labels`` defaults to the sorted union of actual and predicted values (a
-    bounded list). Zero cells come from exploding the label pairs on the
+    ``labels`` defaults to the sorted union of actual and predicted values, null
+    last if it occurs (a bounded list). Zero cells come from exploding the label pairs on the
     distinct groups, not from a join of data with data.
     """
     by = by or []
     labels = labels if labels is not None else _labels(df, [actual, predicted])
     counts = df.groupBy(*by, actual, predicted).agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(p).alias("p")) for a in labels for p in labels])
+    kinds = counts.schema[actual].dataType, counts.schema[predicted].dataType
+    pairs = F.array(*[F.struct(F.lit(a).cast(kinds[0]).alias("a"), F.lit(p).cast(kinds[1]).alias("p")) for a in labels for p in labels])
     groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
     grid = groups.select(*by, F.explode(pairs).alias("_pair")).select(
         *by, F.col("_pair.a").alias(actual), F.col("_pair.p").alias(predicted))
@@ -57,10 +68,11 @@ def class_stats(conf: DataFrame, actual: str, predicted: str, by: list[str] | No
     """Per class: tp, fp, fn, support, predicted count, precision, recall, f1
     (0 where undefined) and ``present`` (in actual or predicted)."""
     by = by or []
-    act = conf.groupBy(*by, F.col(actual).alias("cls")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col(actual) == F.col(predicted), F.col("n"))).alias("tp"))
-    pred = conf.groupBy(*by, F.col(predicted).alias("cls")).agg(F.sum("n").alias("n_pred"))
-    s = act.join(pred, [*by, "cls"], "full_outer")
+    hit = F.when(F.col(actual).eqNullSafe(F.col(predicted)), F.col("n"))
+    as_actual = conf.select(*by, F.col(actual).alias("cls"), F.col("n").alias("support"), hit.alias("tp"), F.lit(0).cast("long").alias("n_pred"))
+    as_predicted = conf.select(*by, F.col(predicted).alias("cls"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
+                               F.col("n").alias("n_pred"))
+    s = as_actual.unionByName(as_predicted).groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "n_pred")])
     tp = F.coalesce("tp", F.lit(0))
     sup = F.coalesce("support", F.lit(0))
     npred = F.coalesce("n_pred", F.lit(0))
@@ -110,34 +122,30 @@ def report(conf: DataFrame, actual: str, predicted: str, by: list[str] | None =
 # ------------------------------------------------------------ ranking metrics
 
 def score_groups(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., score, pos, neg) — ties collapse into one row."""
+    """(by..., score, pos, neg) — ties collapse into one row; unusable scores form the row with a null score.
+    Rows without a label carry no evidence for a ranking and count in neither."""
     by = by or []
-    return df.groupBy(*by, F.col(score).alias("score")).agg(
-        F.sum(F.col(y).cast("long")).alias("pos"),
-        F.sum((1 - F.col(y)).cast("long")).alias("neg"))
+    return df.groupBy(*by, usable_score(score).alias("score")).agg(
+        F.coalesce(F.sum(F.col(y).cast("long")), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum((1 - F.col(y)).cast("long")), F.lit(0)).alias("neg"))
 
 
 def _prefix(g: DataFrame, by: list[str]) -> DataFrame:
-    """Add inclusive cumulative ``cum_pos`` and ``cum_cnt`` in descending score order."""
-    n = g.count()
-    order_w = lambda parts: Window.partitionBy(*parts).orderBy(F.desc("score")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    if n <= ONE_LEVEL_ROWS:
-        w = order_w(by)
-        return g.select("*", F.sum("pos").over(w).alias("cum_pos"),
-                        F.sum(F.col("pos") + F.col("neg")).over(w).alias("cum_cnt"))
-    from pyspark.ml.feature import Bucketizer
-    n_buckets = min(10_000, -(-n // ROWS_PER_BUCKET))
-    qs = g.approxQuantile("score", [i / n_buckets for i in range(1, n_buckets)], 0.001)
-    splits = [float("-inf")] + sorted(set(q for q in qs if q == q)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="score", outputCol="_bucket", handleInvalid="keep").transform(g)
+    """Add inclusive cumulative ``cum_pos`` and ``cum_cnt`` in descending score order, null scores last."""
+    cuts = g.groupBy(*by).agg(F.percentile_approx("score", [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)], 10_000).alias("_cuts"))
+    if by:
+        b = null_safe_join(g, cuts, by)
+    else:
+        row = cuts.first()
+        b = g.withColumn("_cuts", F.lit(row["_cuts"] if row else None).cast("array<double>"))
+    reached = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col("score")))
+    b = b.withColumn("_bucket", F.when(F.col("score").isNull(), F.lit(-1)).otherwise(reached)).drop("_cuts")
     tot = b.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_bp"), F.sum(F.col("pos") + F.col("neg")).alias("_bc"))
-    ow = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    ow = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # SCORE_BUCKETS + 1 rows
     offs = tot.select(*by, "_bucket", F.coalesce(F.sum("_bp").over(ow), F.lit(0)).alias("_op"),
                       F.coalesce(F.sum("_bc").over(ow), F.lit(0)).alias("_oc"))
-    side, _ = bounded_broadcast(offs, known_rows=None)
-    j = b.join(side, [*by, "_bucket"])
-    w = order_w([*by, "_bucket"])
+    j = null_safe_join(b, offs, [*by, "_bucket"])
+    w = Window.partitionBy(*by, "_bucket").orderBy(F.desc_nulls_last("score")).rowsBetween(Window.unboundedPreceding, 0)
     return j.select(*g.columns, (F.col("_op") + F.sum("pos").over(w)).alias("cum_pos"),
                     (F.col("_oc") + F.sum(F.col("pos") + F.col("neg")).over(w)).alias("cum_cnt"))
 
@@ -147,14 +155,13 @@ def binary_confusion_from_groups(g: DataFrame, threshold, by: list[str] | None =
     """2 x 2 confusion ``(by..., actual, predicted, n)`` at ``score >= threshold``
     from score groups (see ``score_groups``): conditional sums, no second scan.
     ``threshold`` is a number, or a frame ``(by..., threshold)`` with one
-    threshold per group (broadcast behind its count)."""
+    threshold per group."""
     by = by or []
     if isinstance(threshold, DataFrame):
-        side, _ = bounded_broadcast(threshold.select(*by, F.col("threshold").alias("_thr")))
-        g = g.join(side, by)
-        hit = F.col("score") >= F.col("_thr")
+        g = null_safe_join(g, threshold.select(*by, F.col("threshold").alias("_thr")), by)
+        hit = F.coalesce(F.col("score") >= F.col("_thr"), F.lit(False))
     else:
-        hit = F.col("score") >= F.lit(float(threshold))
+        hit = F.coalesce(F.col("score") >= F.lit(float(threshold)), F.lit(False))
     c = g.groupBy(*by).agg(
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("_tp"),
         F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("_fp"),
@@ -177,7 +184,7 @@ def rank_metrics(df: DataFrame, y: str, score: str, by: list[str] | None = None,
     auc_term = F.col("neg").cast("decimal(38,0)") * (2 * above + F.col("pos")).cast("decimal(38,0)")
     agg = p.groupBy(*by).agg(
         F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
-        F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_cnt")).alias("_ap"),
+        F.sum(F.try_divide(F.col("pos") * F.col("cum_pos"), F.col("cum_cnt"))).alias("_ap"),
         F.sum(auc_term).alias("_auc"))
     ok = (F.col("_P") > 0) & (F.col("_N") > 0)
     pr = F.when(ok, F.round(F.col("_ap") / F.col("_P"), digits))
@@ -234,4 +241,5 @@ def pairwise_agreement(df: DataFrame, pred_cols: list[str]) -> DataFrame:
 
 
 def predict_at(score: Column, threshold: float) -> Column:
-    return (score >= F.lit(float(threshold))).cast("int")
+    x = score.cast("double")
+    return F.coalesce((x >= F.lit(float(threshold))) & ~F.isnan(x), F.lit(False)).cast("int")

@@ -16,13 +16,11 @@ ADDRESS = T.StructType([T.StructField(n, S) for n in (
     "road", "neighbourhood", "town", "county", "state", "ISO3166-2-lvl4", "postcode", "country",
     "country_code")])
 
+# Leaves are read as text, whatever their JSON type; ``geocode.json_fields`` casts them.
 GEOCODE_BODY = T.StructType([
-    T.StructField("place_id", L), T.StructField("osm_type", S), T.StructField("osm_id", L),
-    T.StructField("class", S), T.StructField("type", S), T.StructField("place_rank", I),
-    T.StructField("importance", D), T.StructField("addresstype", S), T.StructField("name", S),
-    T.StructField("display_name", S), T.StructField("address", ADDRESS),
-    T.StructField("_corrupt_record", S),
-])
+    T.StructField(n, S) for n in ("place_id", "osm_type", "osm_id", "class", "type", "place_rank", "importance",
+                                  "addresstype", "name", "display_name")
+] + [T.StructField("address", ADDRESS), T.StructField("_corrupt_record", S)])
 
 GEOCODE_RESPONSES = T.StructType([
     T.StructField("lat", D), T.StructField("lon", D), T.StructField("status", I), T.StructField("body", S),

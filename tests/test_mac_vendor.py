@@ -79,9 +79,10 @@ def test_registry_reader(spark, tmp_path):
     assert vendor.vendor_lookup(s, reg).first()["vendor"] == "Second Vendor"
 
 
-def test_lookup_is_broadcast_and_udf_free(spark):
+def test_lookup_is_broadcast_and_udf_free(spark, tmp_path):
     s = spark.createDataFrame([("00:11:22:00:00:00",)], "bssid string")
-    plan = vendor.vendor_lookup(s, _registry(spark, [("00-11-22", "Zero", 1)]))._jdf.queryExecution() \
+    _registry(spark, [("00-11-22", "Zero", 1)]).write.parquet(f"{tmp_path}/registry")  # a table of known size
+    plan = vendor.vendor_lookup(s, spark.read.parquet(f"{tmp_path}/registry"))._jdf.queryExecution() \
         .executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from apsight.operators import metrics
+from apsight.operators import metrics, thresholds
 
 
 def _from_matrix(spark, m, labels):
@@ -107,15 +107,40 @@ def test_all_equal_scores_and_single_class(spark):
     assert r["pr_auc"] is None and r["roc_auc"] is None
 
 
-def test_two_level_prefix_equals_one_level(spark, monkeypatch):
+def _plain_rank(rows):
+    """AP and ROC-AUC by definition; null and NaN scores tie below all others."""
+    rows = [(-1e9 if s is None or s != s else s, y) for s, y in rows if y is not None]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    ap = 0.0
+    for t in set(pos):
+        ap += pos.count(t) / len(pos) * sum(p >= t for p in pos) / sum(s >= t for s, _ in rows)
+    return ap, auc
+
+
+def test_prefix_by_brute_force_with_null_groups_and_scores(spark):
     rng = np.random.default_rng(3)
-    rows = [(float(a), int(b)) for a, b in zip(rng.random(3000), rng.random(3000) < 0.2)]
-    one = _rank(spark, rows)
-    monkeypatch.setattr(metrics, "ONE_LEVEL_ROWS", 10)
-    monkeypatch.setattr(metrics, "ROWS_PER_BUCKET", 300)
-    two = _rank(spark, rows)
-    assert two["pr_auc"] == pytest.approx(one["pr_auc"], abs=1e-9)
-    assert two["roc_auc"] == one["roc_auc"]
+    rows = [(g, None if a < 0.03 else float("nan") if a < 0.06 else round(float(a), 3), None if c < 0.02 else int(b))
+            for g in ("a", None) for a, b, c in zip(rng.random(800), rng.random(800) < 0.2, rng.random(800))]
+    df = spark.createDataFrame(rows, "g string, score double, y int")
+    for by in (["g"], []):
+        for r in metrics.rank_metrics(df, "y", "score", by).collect():
+            ap, auc = _plain_rank([(s, y) for g, s, y in rows if not by or g == r["g"]])
+            assert r["pr_auc"] == pytest.approx(ap, abs=1e-8) and r["roc_auc"] == pytest.approx(auc, abs=1e-12)
+
+
+def test_null_labels_and_scores_are_counted(spark):
+    df = spark.createDataFrame([("a", "a"), (None, "a"), ("b", None), (None, None)], "t string, p string")
+    conf = metrics.confusion(df, "t", "p")
+    assert sum(r["n"] for r in conf.collect()) == 4 and conf.count() == 9
+    assert metrics.summary(conf, "t", "p").first()["n"] == 4
+    scored = spark.createDataFrame([(0.9, 1), (None, 1), (float("nan"), 0), (0.2, 0), (None, 0)], "score double, y int")
+    for r in thresholds.grid_counts(scored, "y", "score", [0.1, 0.5]).collect():
+        assert r["tp"] + r["fp"] + r["fn"] + r["tn"] == 5
+    groups = metrics.score_groups(scored, "y", "score")
+    cells = {(r["y"], r["pred"]): r["n"] for r in metrics.binary_confusion_from_groups(groups, 0.5).collect()}
+    assert cells == {(1, 1): 1, (0, 1): 0, (1, 0): 1, (0, 0): 3}
+    assert scored.select(metrics.predict_at(scored.score, 0.5).alias("p")).where("p = 1").count() == 1
 
 
 def test_grouped_rank_metrics(spark):
