@@ -31,9 +31,9 @@ _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD_AND_SIGNS = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[" + re.escape(_SIGNS) + "]*)$"
 _PROBES = ["Straße", "Éa", "the", "ÿÀz", "Xyzzyq", "a", "I"]
 #: Pieces kept per generation and worker (about 200 bytes each).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Code points that are encoded together.
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 21
 #: Longer pieces are not kept.
 CACHE_CHARS = 64
 
