@@ -4,7 +4,8 @@ frequent names, coverage (A1-A9, W1-W2, K1-K2, P9, J4).
 The reference scans its file once per result table; here every per-column
 distribution comes from one GROUPING SETS aggregate (one scan, one Expand,
 partial aggregation before the shuffle) and shares are windows over the
-*aggregated* rows, partitioned by grouping set.
+*aggregated* rows, partitioned by grouping set. Cross-tab shares join the pair
+counts to their marginals, so no task gathers the pairs of a hot value.
 """
 
 from __future__ import annotations
@@ -79,17 +80,21 @@ def crosstab(df: DataFrame, left: str, right: str, total: int | None = None,
     """Pair counts with shares of the total and within each side, top ``limit``.
 
     Marginals are computed on all pairs before the limit; the limit keeps the
-    largest counts with the pair as tie-break (TakeOrderedAndProject). Without a
-    known ``total`` it is the sum of the pair counts (every row is in exactly one
-    pair), a window over the aggregated pairs rather than a second pass over the
-    input.
+    largest counts with the pair as tie-break (TakeOrderedAndProject). They are
+    aggregates of the pair counts joined back null-safe, so the pairs of a hot
+    value are not gathered in one task. Without a known ``total`` it is the sum
+    of the pair counts (every row is in exactly one pair), a scalar subquery.
     """
     g = df.groupBy(left, right).agg(F.count(F.lit(1)).alias("count"))
-    tot = F.lit(total) if total is not None else F.sum("count").over(Window.partitionBy())
-    out = g.select(left, right, "count",
-                   (F.col("count") / tot).alias("proportion_of_total"),
-                   (F.col("count") / F.sum("count").over(Window.partitionBy(left))).alias(f"proportion_within_{left}"),
-                   (F.col("count") / F.sum("count").over(Window.partitionBy(right))).alias(f"proportion_within_{right}"))
+    tot = F.lit(total) if total is not None else g.agg(F.sum("count")).scalar()
+    by_left = g.groupBy(F.col(left).alias("_left_value")).agg(F.sum("count").alias("_in_left"))
+    by_right = g.groupBy(F.col(right).alias("_right_value")).agg(F.sum("count").alias("_in_right"))
+    both = (g.join(by_left, F.col(left).eqNullSafe(F.col("_left_value")))
+            .join(by_right, F.col(right).eqNullSafe(F.col("_right_value"))))
+    out = both.select(left, right, "count",
+                      (F.col("count") / tot).alias("proportion_of_total"),
+                      (F.col("count") / F.col("_in_left")).alias(f"proportion_within_{left}"),
+                      (F.col("count") / F.col("_in_right")).alias(f"proportion_within_{right}"))
     if limit is not None:
         out = out.orderBy(F.desc("count"), F.asc_nulls_first(left), F.asc_nulls_first(right)).limit(limit)
     return out
