@@ -4,12 +4,18 @@ Base findings are three patterns over the whole text. The method adds spans:
 a base64 or hex candidate is decoded, and reported only if its structure holds:
 
 * ``der``: nested tag-length-value encoding, every length exact, in the shape of
-  a private key (RSA, EC, or a wrapped key);
+  a private key (RSA, DSA, EC, a wrapped key, an encrypted key, or a PKCS #12
+  store with a key bag), an OpenSSH key, or base64 of a ``pem`` block;
 * ``pem``: a private key block whose body is such an encoding, or begins with
-  the magic string of OpenSSH keys followed by exact length-prefixed fields;
+  the magic string of OpenSSH keys followed by exact length-prefixed fields, or
+  has the headers and whole cipher blocks of the older encrypted form;
 * ``jwt``: three parts of which the first decodes to a JSON object that names
   an algorithm, the second to a JSON object, the third to bytes.
 
+A key is looked for at every place where its first byte can stand, whatever is
+before it, and ends where its own lengths say: glued or wrapped text (line
+ends, also escaped, quotes, ``> # | *`` between lines) hides none.
+
 Defined cases: a null text is the empty text and has no finding; a candidate of
 any length is decoded whole; equal rows give equal findings; an empty table
 gives none.
@@ -39,9 +45,18 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # a maximal run: what leftmost
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,.-]*?)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_KEY = re.compile(r"(?<![0-9a-fA-F])(?:[0-9a-fA-F]{2}){32,}(?![0-9a-fA-F])")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+_BREAK = r"""(?:\\[rn]|\\(?=\s)|["']\s*[+.,]?\s*["']|[\s>#|*])++"""  # between the lines of a wrapped encoding
+_WRAP, _LINE_END = re.compile(_BREAK), re.compile(r"""[\n\r\\"']""")
+_DIGITS = {64: re.compile(r"[A-Za-z0-9+/_-]+"), 16: re.compile(r"[0-9a-fA-F]+")}
+# 0x30, the first byte of every DER key, is M[A-P] in base64; b3 starts the magic string of OpenSSH keys.
+_STARTS = {64: re.compile(r"""M(?=[A-P\s\\"'])|b3(?=[B\s\\"'])"""), 16: re.compile(r"30(?=[0-9a-fA-F\s\\])|6[fF](?=[7\s\\])")}
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK}[A-Za-z0-9+/_-]{{16,}}+)*+(?:{_BREAK}[A-Za-z0-9+/_-]++)?={{0,2}}")
+_ENCODED_PEM = ("UFJJVkFURSBLRVktLS0tL", "BSSVZBVEUgS0VZLS0tLS", "QUklWQVRFIEtFWS0tLS0t")  # PRIVATE KEY----- at the three alignments
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]{3,}+)\.([A-Za-z0-9_-]*+))")
+_OBJECT = re.compile("(?=e[w-z0-9_-]|I[A-P]|C[Q-Za-v]|D[Q-Za-f]|77)")  # a brace, white space or byte order mark in base64
+_ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # password-based schemes of PKCS #5 and #12
+_KEY_BAGS = (bytes.fromhex("2a864886f70d010c0a0101"), bytes.fromhex("2a864886f70d010c0a0102"))
+_ENCRYPTED = re.compile(r"(?:\s|\\[rn])*Proc-Type:\s*4,ENCRYPTED(?:\s|\\[rn])+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,32}(?:\s|\\[rn])+")
 _OPENSSH = b"openssh-key-v1\0"
 
 Span = tuple[str, int, int]
@@ -91,31 +106,54 @@ def elements(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def is_algorithm(tag: int, value: bytes) -> bool:
+    return tag == 0x30 and bool(parts := elements(value)) and parts[0][0] == 0x06
+
+
+def holds_key_bag(data: bytes, depth: int = 0) -> bool:
+    """Whether nested elements (also inside octet strings) name a bag with a private key."""
+    parts = elements(data) or []
+    return any(t == 0x06 and v in _KEY_BAGS or depth < 12 and (t & 0x20 or t == 0x04) and holds_key_bag(v, depth + 1) for t, v in parts)
+
+
 def is_private_key(data: bytes, depth: int = 0) -> bool:
     """A sequence with exact nested lengths in the shape of a private key."""
     outer = elements(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     inner = elements(outer[0][1])
-    if not inner or inner[0][0] != 0x02 or len(inner[0][1]) != 1 or inner[0][1][0] > 1:
+    if not inner:
         return False
     tags = [t for t, _ in inner]
+    if tags == [0x30, 0x04] and is_algorithm(*inner[0]):  # encrypted: algorithm, data; a digest has this shape too
+        return elements(inner[0][1])[0][1].startswith(_ENCRYPTION) and len(inner[1][1]) >= 16
+    if inner[0][0] != 0x02 or len(inner[0][1]) != 1:
+        return False
+    if inner[0][1][0] == 3:
+        return tags[1:] in ([0x30], [0x30, 0x30]) and is_algorithm(*inner[1]) and holds_key_bag(inner[1][1])  # PKCS #12 store
+    if inner[0][1][0] > 1:
+        return False
     if len(inner) >= 9 and all(t == 0x02 and v for t, v in inner[:9]):
         return True  # RSA: version and eight numbers
+    if tags == [0x02] * 6 and len(inner[1][1]) >= 64 and len(inner[2][1]) >= 20 and all(v for _, v in inner):
+        return True  # DSA: version, two primes, generator, public and secret number
     if len(inner) >= 2 and tags[1] == 0x04 and len(inner[1][1]) >= 16:
         return all(elements(v) is not None for t, v in inner[2:] if t & 0x20)  # EC: version, secret, tagged fields
-    if len(inner) >= 3 and tags[1] == 0x30 and tags[2] == 0x04 and depth < 2:  # wrapped: version, algorithm, key
-        algorithm = elements(inner[1][1])
+    if len(inner) >= 3 and tags[2] == 0x04 and is_algorithm(*inner[1]) and depth < 2:  # wrapped: version, algorithm, key
         body = inner[2][1]
         nested = elements(body)
-        return bool(algorithm) and algorithm[0][0] == 0x06 and (is_private_key(body, depth + 1) or bool(nested) and nested[0][0] == 0x04)
+        if is_private_key(body, depth + 1) or nested and nested[0][0] == 0x04:
+            return True
+        if nested and len(nested) == 1 and len(nested[0][1]) >= 16:  # a number (DSA, DH), a seed, or a seed and a key
+            return nested[0][0] in (0x02, 0x80) or nested[0][0] == 0x30 and [t for t, _ in elements(nested[0][1]) or []] == [0x04, 0x04]
+        return elements(inner[1][1])[0][1].startswith(b"\x2a\x85\x03") and len(body) in (32, 64)  # GOST: bare octets
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The magic string, three length-prefixed names, a count, and length-prefixed keys that end with the data."""
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the key that ``data`` begins with: the magic string, three length-prefixed names, a count, and length-prefixed keys."""
     if not data.startswith(_OPENSSH):
-        return False
+        return None
     at = len(_OPENSSH)
 
     def field() -> bool:
@@ -126,16 +164,97 @@ def is_openssh_key(data: bytes) -> bool:
         return at <= len(data)
 
     if not (field() and field() and field()) or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at:at + 4])
     at += 4
-    return 1 <= keys <= 16 and all(field() for _ in range(keys + 1)) and at == len(data)
+    return at if 1 <= keys <= 16 and all(field() for _ in range(keys + 1)) else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return openssh_size(data) == len(data)
 
 
 def is_key(data: bytes | None) -> bool:
     return bool(data) and (is_private_key(data) or is_openssh_key(data))
 
 
+def digits(text: str, at: int, base: int, n: int | None = None) -> tuple[str, int]:
+    """Up to ``n`` digits from ``at`` on, over the breaks of a wrapped encoding, and where they end."""
+    parts, have, end = [], 0, at
+    while n is None or have < n:
+        m = _DIGITS[base].match(text, at, len(text) if n is None else at + n - have)
+        if not m:
+            break
+        parts.append(m[0])
+        have, end = have + len(m[0]), m.end()
+        gap = _WRAP.match(text, end)
+        if not gap or not (_LINE_END.search(gap[0]) or len(m[0]) in (64, 76)):  # blanks alone: only after a line of usual width
+            break
+        at = gap.end()
+    return "".join(parts), end
+
+
+def decoded(data: str, base: int) -> bytes:
+    """The whole bytes that ``data`` begins with."""
+    if base == 16:
+        return bytes.fromhex(data[:len(data) // 2 * 2])
+    return unbase64(data[:-1] if len(data) % 4 == 1 else data) or b""
+
+
+def key_size(head: bytes) -> int | None:
+    """Bytes of a DER key that begins with ``head`` by its outermost length; None if no key begins so."""
+    if len(head) < 8 or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+        return None
+    n = max(0, head[1] - 0x80)
+    size = 2 + n + (int.from_bytes(head[2:2 + n]) if n else head[1])
+    first = head[2 + n:]
+    return size if first[0] == 0x30 or first[:2] == b"\2\1" and first[2:3] in (b"", b"\0", b"\1", b"\3") else None
+
+
+def key_end(text: str, at: int, base: int) -> int | None:
+    """Where the encoded key that begins at ``at`` ends, its padding included; None if there is none."""
+    head = decoded(digits(text, at, base, 24)[0], base)
+    if _OPENSSH.startswith(head[:len(_OPENSSH)]) and head:
+        data = decoded(digits(text, at, base)[0], base)
+        size = openssh_size(data)
+    else:
+        size = key_size(head)
+    if not size or size > len(text) - at:
+        return None
+    n = 2 * size if base == 16 else -(-size * 4 // 3)
+    found, end = digits(text, at, base, n)
+    if end - at > n and _DIGITS[base].match(text, end):
+        return None  # the last line goes on: a cut key, filled up from what follows
+    if len(found) < n or not is_key(decoded(found, base)[:size]):
+        return None
+    if base == 64:
+        pad = -n % 4
+        end += len(text[end:end + pad]) - len(text[end:end + pad].lstrip("="))
+    return end
+
+
+def encoded_blocks(text: str, at: int, end: int) -> list[tuple[int, int]]:
+    """Spans in ``text[at:end]`` (base64 digits and breaks) whose bytes hold a private key block, at any alignment."""
+    places = [m.start() + i for m in _DIGITS[64].finditer(text, at, end) for i in range(len(m[0]))]
+    data = "".join(text[i] for i in places)
+    if not any(x in data for x in _ENCODED_PEM):
+        return []
+    found = []
+    for skip in range(4):
+        content = decoded(data[skip:], 64)
+        if b"PRIVATE KEY-----" not in content:
+            continue
+        blocks = [(a, b) for kind, a, b in confirmed_spans(content.decode("latin-1")) if kind == "pem"]
+        for a, b in blocks:
+            first, last = skip + a * 4 // 3, min(len(places), skip - (-b * 4 // 3)) - 1
+            if not skip and content[:a].isascii():
+                first = 0  # an encoded text that holds the block: whole, from where it starts
+            stop = places[last] + 1
+            stop = max(stop, _DIGITS[64].match(text, places[last], end).end())
+            found.append((places[first], stop + len(text[stop:stop + 2]) - len(text[stop:stop + 2].lstrip("="))))
+    return found
+
+
 def is_signed_token(header: str, payload: str, signature: str) -> bool:
     try:
         head, body = (json.loads(unbase64(x) or b"") for x in (header, payload))
@@ -150,22 +269,34 @@ def confirmed_spans(text: str) -> list[Span]:
     found: list[Span] = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            lines = [x for x in re.split(r"\s+|\\n", m[2]) if x and ":" not in x]
-            if is_key(unbase64("".join(lines))):
+            lines = [x for x in re.split(r"(?:\s|\\[rn])+", m[2]) if x]
+            data = unbase64("".join(x for x in lines if ":" not in x and "," not in x))
+            if is_key(data):
                 found.append(("pem", *m.span()))
+            elif data is None or "ENCRYPTED" in m[2]:
+                if (h := _ENCRYPTED.match(m[2])) and (data := unbase64(re.sub(r"\s|\\[rn]", "", m[2][h.end():]))) and len(data) % 8 == 0:
+                    found.append(("pem", *m.span()))
     taken = [(a, b) for _, a, b in found]
+
+    def add(a: int, b: int) -> None:
+        if not any(x < b and a < y for x, y in taken):
+            found.append(("der", a, b))
+            taken.append((a, b))
+
     for m in _BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
-            continue
-        data = unbase64(m[0])
-        if is_key(data) or data and b"PRIVATE KEY-----" in data and any(k == "pem" for k, _, _ in confirmed_spans(data.decode("latin-1"))):
-            found.append(("der", *m.span()))
-            taken.append(m.span())
-    for m in _HEX_KEY.finditer(text):
-        if not any(a <= m.start() < b for a, b in taken) and m[0][:2] in ("30", "6f", "6F") and is_key(bytes.fromhex(m[0])):
-            found.append(("der", *m.span()))
-    if "eyJ" in text:
-        found += [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
+        for a, b in encoded_blocks(text, *m.span()):
+            add(a, b)
+    for base, start in _STARTS.items():
+        done = 0
+        for m in start.finditer(text):
+            if m.start() >= done and (end := key_end(text, m.start(), base)):
+                add(m.start(), end)
+                done = end
+    for m in _TOKEN.finditer(text):
+        for i in sorted({0, *(x.start() for x in _OBJECT.finditer(m[1]))}):
+            if is_signed_token(m[1][i:], m[2], m[3]):
+                found.append(("jwt", m.start() + i, m.end(3)))
+                break
     return found
 
 

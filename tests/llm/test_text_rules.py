@@ -176,6 +176,49 @@ def test_secrets_need_their_structure():
     assert not kinds(f"{part({'typ': 'x'})}.{part({'sub': '1'})}.c2lnbmF0dXJl")
 
 
+def test_secrets_glued_wrapped_and_all_shapes():
+    key = base64.b64encode(rsa()).decode()
+    for before in ("SIGNING_KEY=", "pem=", "?k=", "path/", "a-", "b_", "ab-cd/", "xyz", "M", "MA", "MIIE"):
+        assert kinds(f"see {before}{key} there") == [("der", key)], before
+    bare = key.rstrip("=")
+    assert kinds(f"k={bare}.next") == [("der", bare)]
+    for end in ("\n", "\r\n", "\n    ", "\\n", '" +\n  "', "\\\n", "\n# "):
+        wrapped = end.join(key[i:i + 64] for i in range(0, len(key), 64))
+        assert kinds(f"key:\n{wrapped}\nend of key") == [("der", wrapped)], end
+    assert kinds("x" + rsa().hex() + "0") == [("hex", rsa().hex() + "0"), ("der", rsa().hex())]
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----\n"
+    twice = base64.b64encode(block.encode()).decode()
+    for before in ("", "data=", "path/", "a-", "b_", "xyz/"):
+        (kind, found), = kinds(f"{before}{twice}")
+        assert kind == "der" and base64.b64decode(found[:len(found) // 4 * 4]).strip().startswith(block[:40].encode())
+    lines = "\n".join(twice[i:i + 76] for i in range(0, len(twice), 76))
+    assert kinds(f"data: {lines}\n") == [("der", lines)]
+    number = lambda n: der(2, b"\x5a" * n)
+    oid = lambda x: der(6, bytes.fromhex(x))
+    zero = der(2, b"\0")
+    data_type, bags = oid("2a864886f70d010701"), der(0x30, der(0x30, oid("2a864886f70d010c0a0102"), der(0xA0, b"")))
+    shapes = {
+        "encrypted": der(0x30, der(0x30, oid("2a864886f70d01050d"), der(0x30, der(5))), der(4, b"\x77" * 64)),
+        "dsa": der(0x30, zero, number(128), number(20), *[number(128)] * 2, number(20)),
+        "wrapped dsa": der(0x30, zero, der(0x30, oid("2a8648ce380401"), der(0x30, number(128))), der(4, number(20))),
+        "seed": der(0x30, zero, der(0x30, oid("608648016503040312")), der(4, der(0x80, b"\x66" * 32))),
+        "store": der(0x30, der(2, b"\3"), der(0x30, data_type, der(0xA0, der(4, der(0x30, der(0x30, data_type, der(0xA0, der(4, bags)))))))),
+    }
+    for name, data in shapes.items():
+        text = base64.b64encode(data).decode()
+        assert [x for x in kinds(f"k={text}") if x[0] != "hex"] == [("der", text)], name
+    digest = der(0x30, der(0x30, oid("608648016503040201"), der(5)), der(4, b"\x11" * 32))
+    assert not [x for x in kinds(f"k={base64.b64encode(digest).decode()}") if x[0] != "hex"]
+    old = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{base64.b64encode(b'q' * 96).decode()}\n-----END RSA PRIVATE KEY-----"
+    assert [k for k, _ in kinds(old)] == ["pem"]
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for head in ('{ "alg": "HS256"}', '{\n"alg": "HS256"}', '{\r\n "alg": "HS256"}', ' {"alg":"HS256"}', '\n{"alg":"HS256"}'):
+        token = f"{part(head)}.{part('{}')}.c2lnbmF0dXJl"
+        for before in ("", "token=", "a-", "b_", "v1.", "x.y."):
+            found = [x for x in kinds(f"{before}{token}") if x[0] == "jwt"]
+            assert found == [("jwt", token)], (head, before)
+
+
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
