@@ -6,8 +6,12 @@ depends on these words alone, so an edit moves no anchor elsewhere. The
 fingerprint holds the ``SIZE`` least of a text's distinct anchor hashes (40
 bits), each with the word position where it first occurs (22 bits; later
 positions count as the last). Two fingerprints are compared below the largest
-hash that both cover: an anchor matches if the other has the same hash at most
-``NEAR`` words away; the likeness is twice the matches over all anchors there.
+hash that both cover. An anchor whose hash the other has too is shifted by the
+difference of the two positions; it matches if one of the ``BESIDE`` shared
+anchors before or after it in the text is shifted alike, within ``NEAR`` words,
+or if it is the only one shared: text put in or taken out moves all that
+follows together, and hides nothing. The likeness is twice the matches over
+all anchors there.
 
 Defined cases: a null text is the empty text; a text of fewer than ``K`` words
 has its whole word sequence as its one anchor; texts without words have the
@@ -18,10 +22,12 @@ first; an empty table gives none.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, SIZE, NEAR = 4, 2, 128, 64
+K, S, SIZE, NEAR, BESIDE = 4, 2, 128, 64, 2
 POSITION_BITS = 22
 _GAP = r"[\x20\x09-\x0D]+"
 
@@ -60,21 +66,36 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def with_likeness(df: DataFrame, one: str, two: str, name: str) -> DataFrame:
     """``df`` with column ``name``: likeness (0 to 1) of the fingerprint columns ``one`` and ``two``."""
-    bound, merged = f"{name}__bound", f"{name}__merged"
+    bound, merged, shared = (f"{name}__{x}" for x in ("bound", "merged", "shared"))
     top = lambda c: F.when(F.size(c) >= SIZE, F.shiftright(F.element_at(F.col(c), -1), POSITION_BITS))
     df = df.withColumn(bound, F.coalesce(F.least(top(one), top(two)), F.lit(1 << 41)))
-    inside = lambda v: F.shiftright(v, POSITION_BITS) <= F.col(bound)
-    df = df.withColumn(merged, F.sort_array(F.filter(F.concat(F.col(one), F.col(two)), inside)))
-    mask = (1 << POSITION_BITS) - 1
+    inside = lambda c: F.filter(F.col(c), lambda v: F.shiftright(v, POSITION_BITS) <= F.col(bound))
+    # hash, position, and 1 for the second text: a shared hash stands twice in a row
+    both = F.concat(F.transform(inside(one), lambda v: F.shiftleft(v, 1)), F.transform(inside(two), lambda v: F.shiftleft(v, 1) + 1))
+    df = df.withColumn(merged, F.sort_array(both))
+    top_position = 1 << POSITION_BITS
 
-    def hit(v: Column, i: Column) -> Column:
+    def place(v: Column) -> Column:
+        return F.shiftright(v, 1).bitwiseAND(top_position - 1)
+
+    def pair(v: Column, i: Column) -> Column:
+        """Position in the first text, then the shift (made positive), of a shared hash."""
         before = F.get(F.col(merged), i - 1)
-        same = F.shiftright(v, POSITION_BITS) == F.shiftright(before, POSITION_BITS)
-        return same & (F.abs(v.bitwiseAND(mask) - before.bitwiseAND(mask)) <= NEAR)
+        same = (i > 0) & (F.shiftright(v, POSITION_BITS + 1) == F.shiftright(before, POSITION_BITS + 1))
+        second = v.bitwiseAND(F.lit(1)) == 1
+        at, other = F.when(second, place(before)).otherwise(place(v)), F.when(second, place(v)).otherwise(place(before))
+        return F.when(same, F.shiftleft(at, POSITION_BITS + 1).bitwiseOR(at - other + top_position))
+
+    df = df.withColumn(shared, F.sort_array(F.array_compact(F.transform(F.col(merged), pair))))
+
+    def hit(v: Column, i: Column) -> Column:
+        shift = lambda x: x.bitwiseAND(2 * top_position - 1)
+        beside = [F.when(i + j >= 0, F.get(F.col(shared), i + j)) for j in range(-BESIDE, BESIDE + 1) if j]
+        return functools.reduce(Column.__or__, [F.coalesce(F.abs(shift(v) - shift(x)) <= NEAR, F.lit(False)) for x in beside], F.size(shared) == 1)
 
-    matches = F.size(F.filter(F.col(merged), lambda v, i: (i > 0) & hit(v, i)))
+    matches = F.size(F.filter(F.col(shared), hit))
     value = F.when(F.size(merged) > 0, 2 * matches / F.size(merged)).when(F.size(one) + F.size(two) == 0, 1.0).otherwise(0.0)
-    return df.withColumn(name, value.cast("double")).drop(bound, merged)
+    return df.withColumn(name, value.cast("double")).drop(bound, merged, shared)
 
 
 def as_text(fingerprint: str) -> Column:

@@ -92,6 +92,27 @@ def test_syncmers_by_definition(spark):
     assert sorted(v & ((1 << 22) - 1) for v in got) == sorted(first.values())
 
 
+def likeness(spark, *pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").repartition(1)
+    df = syncmers.with_fingerprint(syncmers.with_fingerprint(df, "a", "x"), "b", "y")
+    return [r.near for r in syncmers.with_likeness(df, "x", "y", "near").orderBy("i").collect()]
+
+
+def test_syncmer_likeness_of_shifted_texts(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    text = draw(1000)
+    shifted = [draw(n) + text for n in (64, 65, 200)] + [text[:100] + draw(70) + text[100:], text[:300] + text[400:], text[100:] + text[:100]]
+    got = likeness(spark, *[(" ".join(text), " ".join(x)) for x in [*shifted, draw(1000)]])
+    assert min(got[:2]) > 0.9 and min(got[2:6]) > 0.8 and got[6] == 0.0
+    assert likeness(spark, ("a b c d", "x y a b c d"), ("a b", "a b"), ("a", "b"), ("", ""))[1:] == [1.0, 0.0, 1.0]
+    # shared anchors in another order are shifted unlike each other
+    ten = [draw(4) for _ in range(60)]
+    order = rng.permutation(60)
+    filled = lambda parts: " ".join(w for part in parts for w in [*part, *draw(100)])
+    assert likeness(spark, (filled(ten), filled(ten[i] for i in order)))[0] < 0.02
+
+
 def test_syncmer_edges(edge, spark):
     rows = syncmers.compared_with_edit(edge).collect()
     assert len(rows) == 10
