@@ -3,15 +3,13 @@
 A k-mer of ``K`` consecutive words is an anchor if the least hash among its
 inner runs of ``S`` words lies at its first or last place. Whether it is one
 depends on these words alone, so an edit moves no anchor elsewhere. The
-fingerprint holds the ``SIZE`` least of a text's distinct anchor hashes (40
-bits), each with the word position where it first occurs (22 bits; later
-positions count as the last). Two fingerprints are compared below the largest
-hash that both cover. An anchor whose hash the other has too is shifted by the
-difference of the two positions; it matches if one of the ``BESIDE`` shared
-anchors before or after it in the text is shifted alike, within ``NEAR`` words,
-or if it is the only one shared: text put in or taken out moves all that
-follows together, and hides nothing. The likeness is twice the matches over
-all anchors there.
+fingerprint holds all of a text's distinct anchor hashes (40 bits), each with
+the word position where it first occurs (22 bits; later positions count as the
+last). An anchor whose hash the other text has too is shifted by the difference
+of the two positions; it matches if one of the ``BESIDE`` shared anchors before
+or after it in the text is shifted alike, within ``NEAR`` words, or if it is the
+only one shared: text put in or taken out moves all that follows together, and
+hides nothing. The likeness is twice the matches over all anchors of both.
 
 Defined cases: a null text is the empty text; a text of fewer than ``K`` words
 has its whole word sequence as its one anchor; texts without words have the
@@ -27,7 +25,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, SIZE, NEAR, BESIDE = 4, 2, 128, 64, 2
+K, S, NEAR, BESIDE = 4, 2, 64, 2
 POSITION_BITS = 22
 _GAP = r"[\x20\x09-\x0D]+"
 
@@ -61,17 +59,14 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     anchors = F.sort_array(F.array_compact(F.transform(F.sequence(F.lit(0), n - K), anchor)))
     df = df.withColumn(at, F.when(n >= K, anchors).when(n > 0, F.array(packed(whole, F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
     first = F.filter(F.col(at), lambda v, i: (i == 0) | (F.shiftright(v, POSITION_BITS) != F.shiftright(item(at, i - 1), POSITION_BITS)))
-    return df.withColumn(name, F.slice(first, 1, SIZE)).drop(hashes, runs, at)
+    return df.withColumn(name, first).drop(hashes, runs, at)
 
 
 def with_likeness(df: DataFrame, one: str, two: str, name: str) -> DataFrame:
     """``df`` with column ``name``: likeness (0 to 1) of the fingerprint columns ``one`` and ``two``."""
-    bound, merged, shared = (f"{name}__{x}" for x in ("bound", "merged", "shared"))
-    top = lambda c: F.when(F.size(c) >= SIZE, F.shiftright(F.element_at(F.col(c), -1), POSITION_BITS))
-    df = df.withColumn(bound, F.coalesce(F.least(top(one), top(two)), F.lit(1 << 41)))
-    inside = lambda c: F.filter(F.col(c), lambda v: F.shiftright(v, POSITION_BITS) <= F.col(bound))
+    merged, shared = f"{name}__merged", f"{name}__shared"
     # hash, position, and 1 for the second text: a shared hash stands twice in a row
-    both = F.concat(F.transform(inside(one), lambda v: F.shiftleft(v, 1)), F.transform(inside(two), lambda v: F.shiftleft(v, 1) + 1))
+    both = F.concat(F.transform(one, lambda v: F.shiftleft(v, 1)), F.transform(two, lambda v: F.shiftleft(v, 1) + 1))
     df = df.withColumn(merged, F.sort_array(both))
     top_position = 1 << POSITION_BITS
 
@@ -95,7 +90,7 @@ def with_likeness(df: DataFrame, one: str, two: str, name: str) -> DataFrame:
 
     matches = F.size(F.filter(F.col(shared), hit))
     value = F.when(F.size(merged) > 0, 2 * matches / F.size(merged)).when(F.size(one) + F.size(two) == 0, 1.0).otherwise(0.0)
-    return df.withColumn(name, value.cast("double")).drop(bound, merged, shared)
+    return df.withColumn(name, value.cast("double")).drop(merged, shared)
 
 
 def as_text(fingerprint: str) -> Column:

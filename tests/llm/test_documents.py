@@ -113,6 +113,18 @@ def test_syncmer_likeness_of_shifted_texts(spark):
     assert likeness(spark, (filled(ten), filled(ten[i] for i in order)))[0] < 0.02
 
 
+def test_syncmers_keep_shared_passages_of_long_texts(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    pairs = []
+    for _ in range(8):
+        passage = draw(100)
+        pairs.append(tuple(" ".join(draw(5000) + passage + draw(n)) for n in (5000, 7000)))
+    assert min(likeness(spark, *pairs)) > 0.002  # some 65 of 13,000 anchors
+    row = syncmers.fingerprints(spark.createDataFrame([(1, pairs[0][0])], "doc_id long, text string")).first()
+    assert len(row.anchors) > 6000 and len(row.fingerprint) == 16 * len(row.anchors)
+
+
 def test_syncmer_edges(edge, spark):
     rows = syncmers.compared_with_edit(edge).collect()
     assert len(rows) == 10
