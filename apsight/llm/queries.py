@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apsight.llm import bpe, langid, packing, pii, quality, secret_scan, simhash, syncmers, token_files, urls
+from apsight.llm import (bpe, conversations, exact_dedup, langid, packing, pii, quality, secret_scan, simhash, syncmers, token_files, urls,
+                         variants)
 from apsight.llm.common import held_out
 
 
@@ -90,7 +91,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_cascade, op2_host_reputation, op3_token_files, op4_personal_data, op5_byte_bpe, op6_syncmer_fingerprints,
-    op7_packing, op8_language_id, op9_secret_scan, op10_simhash_near_dedup)}
+    op7_packing, op8_language_id, op9_secret_scan, op10_simhash_near_dedup, op11_spelling_variants, op12_conversation_repair,
+    op13_exact_dedup)}
 ORACLES: dict[str, str] = {"op2_host_reputation": urls.ORACLE}
