@@ -199,7 +199,8 @@ def exact_duplicates(docs: DataFrame, bits: int = 64, route_bits: int = ROUTE_BI
 
     several = _by_route(keys, bitmap, "left_semi", route_bits)
     best = several.groupBy("fp", "sha").agg(F.min(F.struct((-F.col("n_chars")).alias("chars"), F.isnull("doc_id").alias("no_id"), "doc_id", "row")).alias("best"))
-    groups = verified.where("n > 1").join(best, ["fp", "sha"])
+    # a table of its own: the join below is then of plain shuffles, and Spark splits the side of a hot text
+    groups = written(verified.where("n > 1").join(best, ["fp", "sha"]), "exact-groups")
     single = F.col("n").isNull()
     judged = several.join(groups, ["fp", "sha"], "left").select(
         "doc_id", F.col("sha").alias("text_sha256"), "n_chars", F.when(single, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
