@@ -6,7 +6,7 @@ import math
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 ORACLES = E.oracle_sql()
 SKIP_SLOW = {"model_logreg", "model_dtree", "model_rf", "model_gbt", "model_linear_svc_calibrated", "experiment_tuned",

@@ -3,7 +3,7 @@
 from apsight.plans.profiling import profile_tables, run_profile
 from apsight.sources.fixtures import Fixtures
 from apsight.plans import catalog
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_profile_entry_writes_all_tables(spark, tmp_path):
