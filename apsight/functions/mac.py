@@ -9,7 +9,7 @@ and third parts exactly as written (they are not re-padded).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEX_RE = "^[0-9A-F]{1,15}$"
@@ -42,34 +42,47 @@ def _pad2(part: Column) -> Column:
     return F.when(F.length(part) < 2, F.lpad(part, 2, "0")).otherwise(part)
 
 
-def mac_fields(bssid: Column, pad_octets: bool = False) -> dict[str, Column]:
-    """Column expressions derived from a raw BSSID column.
-
-    Keys: ``short`` (fewer than 3 parts), ``bad`` (3+ parts, first octet not
-    hex), ``first`` (octet value), ``mac_flags``, ``base_key`` (registry key
-    with the two flag bits cleared) and ``low_bits``. The second and third
-    parts are used as written; ``pad_octets=True`` left-pads them to two digits
-    for inputs that drop leading zeros (an option, off by default).
-    """
-    parts = octets(bssid)
+def _fields(parts: Column, first: Column, pad_octets: bool) -> dict[str, Column]:
     short = F.size(parts) < 3
-    first = parse_hex(F.get(parts, 0))
     bad = (~short) & first.isNull()
-    flags = F.when(short | bad, F.lit(0)).otherwise(first.bitwiseAND(3).cast("int"))
     p1, p2 = F.get(parts, 1), F.get(parts, 2)
     if pad_octets:
         p1, p2 = _pad2(p1), _pad2(p2)
-    base = F.concat_ws("-", hex2(first.bitwiseAND(-4)), p1, p2)
     return {
         "short": short,
         "bad": bad,
         "first": first,
-        "mac_flags": flags,
-        "base_key": F.when(~short & ~bad, base),
+        "mac_flags": F.when(short | bad, F.lit(0)).otherwise(first.bitwiseAND(3).cast("int")),
+        "base_key": F.when(~short & ~bad, F.concat_ws("-", hex2(first.bitwiseAND(-4)), p1, p2)),
         "low_bits": first.bitwiseAND(3).cast("int"),
     }
 
 
+def mac_fields(bssid: Column, pad_octets: bool = False) -> dict[str, Column]:
+    """Column expressions derived from a raw BSSID column.
+
+    Keys: ``short`` (fewer than 3 parts), ``bad`` (3+ parts, first octet not
+    hex), ``first`` (octet value), ``mac_flags``, ``base_key`` (registry key
+    with the two flag bits cleared) and ``low_bits``. The second and third
+    parts are used as written; ``pad_octets=True`` left-pads them to two digits
+    for inputs that drop leading zeros (an option, off by default).
+    """
+    parts = octets(bssid)
+    return _fields(parts, parse_hex(F.get(parts, 0)), pad_octets)
+
+
+def with_mac_fields(df: DataFrame, bssid: str, pad_octets: bool = False, **names: str) -> DataFrame:
+    """``df`` with the fields of ``mac_fields`` that ``names`` lists (field=column name).
+
+    The BSSID is split and its first octet parsed in projections of their own,
+    once a row, however many fields refer to them.
+    """
+    parts = df.select("*", F.split(normalize_bssid(F.col(bssid)), ":", 4).alias("_parts"))
+    parsed = parts.select("*", parse_hex(F.get("_parts", F.lit(0))).alias("_first"))
+    fields = _fields(F.col("_parts"), F.col("_first"), pad_octets)
+    return parsed.select(*[df[c] for c in df.columns], *[fields[f].alias(c) for f, c in names.items()])
+
+
 def oui_key(bssid: Column, flip_mask: int = 0) -> Column:
     """Registry key of a BSSID after XOR-ing the first octet with ``flip_mask``."""
     parts = octets(bssid)

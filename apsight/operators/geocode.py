@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apsight import schemas
-from apsight.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from apsight.operators.joins import left_join_spread
 from apsight.operators.vendor import vendor_lookup
 
 _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -22,25 +22,28 @@ _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_recor
 
 def parse_sightings(raw: DataFrame) -> DataFrame:
     """Raw text columns -> typed epoch and point; ``bad_row`` when unparsable."""
-    ll = F.split(F.col("latlong"), ",")
-    epoch = F.expr("try_cast(epochtime as bigint)")
-    lat = F.when(F.size(ll) == 2, F.expr("try_cast(try_element_at(split(latlong, ','), 1) as double)"))
-    lon = F.when(F.size(ll) == 2, F.expr("try_cast(try_element_at(split(latlong, ','), 2) as double)"))
-    return raw.select("*", epoch.alias("_epoch"), lat.alias("lat"), lon.alias("lon"))
+    parts = raw.select("*", F.split(F.col("latlong"), ",").alias("_ll"))  # split once a row
+    part = lambda i: F.when(F.size("_ll") == 2, F.get("_ll", F.lit(i)).try_cast("double"))
+    return parts.select(*raw.columns, F.col("epochtime").try_cast("bigint").alias("_epoch"), part(0).alias("lat"), part(1).alias("lon"))
 
 
 def dedupe_responses(responses: DataFrame) -> DataFrame:
     """One response per point: a 200 is preferred, then the larger body text.
 
-    The body is parsed here, once per point, so JSON cost follows the number
-    of distinct points rather than the number of sightings.
+    The body is parsed and typed here, once per point, so JSON cost follows the
+    number of distinct points rather than the number of sightings: ``_status``,
+    ``_fault`` (why the response is of no use, else null) and the fields.
     """
     best = F.max_by(F.struct("status", "body"),
                     F.struct((F.col("status") == 200).cast("int"), F.coalesce("body", F.lit(""))))
-    return (responses.groupBy("lat", "lon").agg(best.alias("_r"))
-            .select(F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"),
-                    F.col("_r.status").alias("_status"), F.col("_r.body").alias("_body"),
-                    parse_body(F.col("_r.body")).alias("_j")))
+    parsed = (responses.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy("lat", "lon").agg(best.alias("_r"))
+              .select(F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"), F.col("_r.status").alias("_status"),
+                      F.col("_r.body").alias("_body"), parse_body(F.col("_r.body")).alias("_j")))
+    fault = (F.when(F.col("_status").isNull(), F.lit("no_response"))
+             .when(F.col("_status") != 200, F.concat(F.lit("http_"), F.col("_status").cast("string")))
+             .when(F.coalesce(F.col("_body"), F.lit("")) == "", F.lit("empty_body"))
+             .when(F.col("_j._corrupt_record").isNotNull(), F.lit("bad_json")))
+    return parsed.select("_rlat", "_rlon", "_status", fault.alias("_fault"), *json_fields(F.col("_j")))
 
 
 def parse_body(body) -> F.Column:
@@ -68,29 +71,22 @@ def json_fields(j: F.Column) -> list[F.Column]:
     return top + addr
 
 
-def enrich(raw: DataFrame, registry: DataFrame, responses: DataFrame,
-           max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def enrich(raw: DataFrame, registry: DataFrame, responses: DataFrame) -> DataFrame:
     """Tagged enrichment: integrated columns + raw columns + error_code + reason.
 
-    Vendor lookup is a broadcast join on the registry; the point join uses the
-    response table as build side only when its counted size allows, otherwise a
-    shuffle join (AQE splits a hot point on the sighting side).
+    The planner chooses both joins by the measured size of the build side; in a
+    shuffle join AQE splits a hot point on the sighting side, and rows without a
+    point are spread (``left_join_spread``).
     """
-    parsed = parse_sightings(raw)
-    with_vendor = vendor_lookup(parsed, registry, max_broadcast_rows=max_broadcast_rows)
-    resp, _ = bounded_broadcast(dedupe_responses(responses), max_broadcast_rows)
-    j = with_vendor.join(resp, (F.col("lat") == F.col("_rlat")) & (F.col("lon") == F.col("_rlon")), "left")
+    with_vendor = vendor_lookup(parse_sightings(raw), registry)
+    resp = dedupe_responses(responses)
+    j = left_join_spread(with_vendor, resp, [("lat", "_rlat"), ("lon", "_rlon")])
     bad_row = F.col("_epoch").isNull() | F.col("lat").isNull() | F.col("lon").isNull() | F.col("bad_bssid")
-    reason = (F.when(bad_row, F.lit("bad_row"))
-              .when(F.col("_status").isNull(), F.lit("no_response"))
-              .when(F.col("_status") != 200, F.concat(F.lit("http_"), F.col("_status").cast("string")))
-              .when(F.coalesce(F.col("_body"), F.lit("")) == "", F.lit("empty_body"))
-              .when(F.col("_j._corrupt_record").isNotNull(), F.lit("bad_json")))
-    error_code = F.when(F.col("_status").isNotNull() & (F.col("_status") != 200), F.col("_status"))
+    reason = (F.when(bad_row, F.lit("bad_row")).when(F.col("_rlat").isNull(), F.lit("no_response")).otherwise(F.col("_fault")))
+    error_code = F.when(F.col("_status") != 200, F.col("_status"))
     return j.select(
         F.col("_epoch").alias("epoch"), "lat", "lon", "altitude", "vendor", "mac_flags", "vendor_src",
-        *json_fields(F.col("_j")),
-        *[F.col(f.name).alias(f"raw_{f.name}") for f in schemas.RAW_SIGHTINGS.fields],
+        *resp.columns[4:], *[F.col(f.name).alias(f"raw_{f.name}") for f in schemas.RAW_SIGHTINGS.fields],
         error_code.cast("int").alias("error_code"), reason.alias("reason"))
 
 

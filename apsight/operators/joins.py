@@ -26,3 +26,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
         renamed = renamed.withColumnRenamed(k, f"_right_{k}")
     j = left.join(renamed, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys], how)
     return j.drop(*[f"_right_{k}" for k in keys])
+
+
+#: Shuffle keys that rows without a usable key are spread over.
+SPREAD = 4096
+
+
+def left_join_spread(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """Left join on ``keys`` (left, right); rows of ``left`` with a null key match nothing.
+
+    A shuffle join would send all of these to one partition, so they get a second
+    key: a hash of the whole row, where rows with a key have 0.
+    """
+    lacks = F.lit(False)
+    for a, _ in keys:
+        lacks = lacks | left[a].isNull()
+    spread = F.when(lacks, F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
+    routed = left.select("*", spread.alias("_route"))
+    side = right.select("*", F.lit(0).cast("long").alias("_route_0"))
+    on = [routed[a] == side[b] for a, b in keys] + [routed["_route"] == side["_route_0"]]
+    return routed.join(side, on, "left").drop("_route", "_route_0")

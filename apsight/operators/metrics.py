@@ -4,10 +4,9 @@ Everything derives from small aggregated frames:
 * the confusion matrix ``(by..., actual, predicted, n)`` (M1) gives accuracy,
   per-class precision/recall/F1, macro and weighted F1 and the report (M2-M5);
 * AP and ROC-AUC (M6, M7) come from ``groupBy(by..., score)`` sums with prefix
-  sums in descending score order, two-level at every size: buckets cut at each
-  group's own score quantiles, bucket totals -> offsets (one row per bucket),
-  then windows *inside* buckets. No window ever orders all rows of a group in
-  one task.
+  sums in descending score order over a range shuffle by (by, score): totals of
+  each range -> offsets (one row per group and range), then windows *inside*
+  ranges. No window ever orders all rows of a group in one task.
 
 Nulls: a null label or predicted value is a class of its own in the confusion
 matrix, a null group is a group. A score that is null or NaN is lower than
@@ -21,9 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apsight.operators.joins import bounded_broadcast, null_safe_join
+from apsight.session import ensure_checkpoint_dir
 
 MAX_LABELS = 1000  # a guard that raises: a confusion matrix lists every pair
-SCORE_BUCKETS = 256
 
 
 def usable_score(score: str) -> Column:
@@ -130,22 +129,28 @@ def score_groups(df: DataFrame, y: str, score: str, by: list[str] | None = None)
         F.coalesce(F.sum((1 - F.col(y)).cast("long")), F.lit(0)).alias("neg"))
 
 
+def ranked_groups(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """``score_groups`` in ranges of (by, descending score), checkpointed, with the range's number ``_piece``.
+
+    Ranges are the partitions of one range shuffle, so their number grows with
+    the data and none holds more than its share of a group, however large.
+    Pieces are numbered by partition: the checkpoint fixes them for all readers.
+    """
+    by = by or []
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = score_groups(df, y, score, by).repartitionByRange(*[F.asc(b) for b in by], F.desc_nulls_last("score"))
+    return ordered.withColumn("_piece", F.spark_partition_id()).checkpoint(eager=True)
+
+
 def _prefix(g: DataFrame, by: list[str]) -> DataFrame:
-    """Add inclusive cumulative ``cum_pos`` and ``cum_cnt`` in descending score order, null scores last."""
-    cuts = g.groupBy(*by).agg(F.percentile_approx("score", [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)], 10_000).alias("_cuts"))
-    if by:
-        b = null_safe_join(g, cuts, by)
-    else:
-        row = cuts.first()
-        b = g.withColumn("_cuts", F.lit(row["_cuts"] if row else None).cast("array<double>"))
-    reached = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= F.col("score")))
-    b = b.withColumn("_bucket", F.when(F.col("score").isNull(), F.lit(-1)).otherwise(reached)).drop("_cuts")
-    tot = b.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_bp"), F.sum(F.col("pos") + F.col("neg")).alias("_bc"))
-    ow = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # SCORE_BUCKETS + 1 rows
-    offs = tot.select(*by, "_bucket", F.coalesce(F.sum("_bp").over(ow), F.lit(0)).alias("_op"),
+    """Add inclusive cumulative ``cum_pos`` and ``cum_cnt`` in descending score order, null scores last, to
+    ``ranked_groups``: sums inside each piece and, before it, the totals of its group's earlier pieces."""
+    tot = g.groupBy(*by, "_piece").agg(F.sum("pos").alias("_bp"), F.sum(F.col("pos") + F.col("neg")).alias("_bc"))
+    ow = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per shuffle partition
+    offs = tot.select(*by, "_piece", F.coalesce(F.sum("_bp").over(ow), F.lit(0)).alias("_op"),
                       F.coalesce(F.sum("_bc").over(ow), F.lit(0)).alias("_oc"))
-    j = null_safe_join(b, offs, [*by, "_bucket"])
-    w = Window.partitionBy(*by, "_bucket").orderBy(F.desc_nulls_last("score")).rowsBetween(Window.unboundedPreceding, 0)
+    j = null_safe_join(g, offs, [*by, "_piece"])
+    w = Window.partitionBy(*by, "_piece").orderBy(F.desc_nulls_last("score")).rowsBetween(Window.unboundedPreceding, 0)
     return j.select(*g.columns, (F.col("_op") + F.sum("pos").over(w)).alias("cum_pos"),
                     (F.col("_oc") + F.sum(F.col("pos") + F.col("neg")).over(w)).alias("cum_cnt"))
 
@@ -177,9 +182,9 @@ def rank_metrics(df: DataFrame, y: str, score: str, by: list[str] | None = None,
                  groups: DataFrame | None = None) -> DataFrame:
     """(by..., pr_auc, roc_auc). AP = sum over distinct scores of
     (R_i - R_{i-1}) * P_i; ROC-AUC counts ties as half. Both are null unless the
-    labels hold both classes (0 and 1). ``groups`` reuses a ``score_groups`` frame."""
+    labels hold both classes (0 and 1). ``groups`` reuses a ``ranked_groups`` frame."""
     by = by or []
-    p = _prefix(groups if groups is not None else score_groups(df, y, score, by), by)
+    p = _prefix(groups if groups is not None else ranked_groups(df, y, score, by), by)
     above = F.col("cum_pos") - F.col("pos")
     auc_term = F.col("neg").cast("decimal(38,0)") * (2 * above + F.col("pos")).cast("decimal(38,0)")
     agg = p.groupBy(*by).agg(

@@ -3,10 +3,12 @@ vendor-name canonicalisation through an alias table (J2, P15).
 
 J1 design: the four candidates (as is, multicast flipped, local flipped, both
 flipped) differ only in the two low bits of the first octet. The registry is
-therefore grouped by its *base key* (first octet with those bits cleared) into
-four vendor slots, one per low-bit pattern, and each sighting needs exactly one
-equi-join on the base key: candidate ``m`` is slot ``low_bits XOR m``. No
-exploding, no per-row Python, one (normally broadcast) hash join.
+therefore grouped by its *base key* (first octet with those bits cleared), and
+the search is done there, once per base key: for each of the four low-bit
+patterns the first candidate's vendor and source code. A sighting then needs one
+equi-join on the base key and one array access. No exploding, no per-row Python,
+one (normally broadcast) hash join; sightings without a usable prefix are spread
+over the shuffle if there is one.
 """
 
 from __future__ import annotations
@@ -14,16 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apsight.functions.mac import hex2, mac_fields, parse_hex
+from apsight.functions.mac import hex2, parse_hex, with_mac_fields
 from apsight.functions.text import normalize_vendor
-from apsight.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from apsight.operators.joins import left_join_spread
 
 UNKNOWN_VENDOR = "NaN"
 
 
 def registry_lookup(registry: DataFrame, prefix: str = "prefix", vendor: str = "vendor",
                     order: str | None = "line_no") -> DataFrame:
-    """Registry ``(prefix, vendor[, line order])`` -> ``(_oui_base, _v0.._v3)``.
+    """Registry ``(prefix, vendor[, line order])`` -> ``(_oui_base, _best)``:
+    ``_best`` holds (vendor, src) for each low-bit pattern of a sighting.
 
     Prefixes are upper-cased; a later line overrides an earlier one for the
     same prefix. Entries whose key could never equal a formatted sighting key
@@ -39,12 +42,18 @@ def registry_lookup(registry: DataFrame, prefix: str = "prefix", vendor: str = "
     reg = (reg.where((F.size(parts) == 3) & first.isNotNull() & (hex2(first) == F.get(parts, 0)))
            .select(F.concat_ws("-", hex2(first.bitwiseAND(-4)), F.get(parts, 1), F.get(parts, 2)).alias("_oui_base"),
                    first.bitwiseAND(3).cast("int").alias("_low"), "_vendor"))
-    return reg.groupBy("_oui_base").agg(
+    slots = reg.groupBy("_oui_base").agg(
         *[F.max(F.when(F.col("_low") == i, F.col("_vendor"))).alias(f"_v{i}") for i in range(4)])
 
+    def found(low: int):
+        """The first mask whose slot is filled."""
+        src = F.coalesce(*[F.when(F.col(f"_v{low ^ mask}").isNotNull(), mask + 1) for mask in range(4)])
+        return F.struct(F.coalesce(*[F.col(f"_v{low ^ mask}") for mask in range(4)]).alias("vendor"), src.alias("src"))
+
+    return slots.select("_oui_base", F.array(*[found(low) for low in range(4)]).alias("_best"))
+
 
 def vendor_lookup(sightings: DataFrame, registry: DataFrame, bssid: str = "bssid",
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                   lookup: DataFrame | None = None, pad_octets: bool = False) -> DataFrame:
     """Add ``vendor`` ('NaN' when unknown), ``mac_flags`` and ``vendor_src``.
 
@@ -56,21 +65,12 @@ def vendor_lookup(sightings: DataFrame, registry: DataFrame, bssid: str = "bssid
     """
     if lookup is None:
         lookup = registry_lookup(registry)
-    side, _ = bounded_broadcast(lookup, max_broadcast_rows)
-    m = mac_fields(F.col(bssid), pad_octets)
-    s = sightings.select("*", m["base_key"].alias("_base"), m["low_bits"].alias("_lowb"),
-                         m["mac_flags"].alias("_flags"), m["bad"].alias("bad_bssid"))
-    j = s.join(side, s["_base"] == side["_oui_base"], "left")
-    slots = F.array("_v0", "_v1", "_v2", "_v3")
-    cand = [F.get(slots, F.col("_lowb").bitwiseXOR(mask)) for mask in range(4)]
-    src = F.when(cand[0].isNotNull(), 1).when(cand[1].isNotNull(), 2) \
-        .when(cand[2].isNotNull(), 3).when(cand[3].isNotNull(), 4).otherwise(0)
-    out_cols = [c for c in sightings.columns if c not in ("vendor", "mac_flags", "vendor_src")]
-    return j.select(*[s[c] for c in out_cols],
-                    F.coalesce(*cand, F.lit(UNKNOWN_VENDOR)).alias("vendor"),
-                    F.col("_flags").alias("mac_flags"),
-                    src.cast("int").alias("vendor_src"),
-                    F.col("bad_bssid"))
+    plain = sightings.drop("vendor", "mac_flags", "vendor_src")
+    s = with_mac_fields(plain, bssid, pad_octets, base_key="_base", low_bits="_lowb", mac_flags="mac_flags", bad="bad_bssid")
+    j = left_join_spread(s, lookup, [("_base", "_oui_base")])
+    hit = j.select("*", F.get("_best", F.col("_lowb")).alias("_hit"))
+    return hit.select(*plain.columns, F.coalesce("_hit.vendor", F.lit(UNKNOWN_VENDOR)).alias("vendor"), "mac_flags",
+                      F.coalesce("_hit.src", F.lit(0)).cast("int").alias("vendor_src"), "bad_bssid")
 
 
 def alias_lookup_table(aliases: DataFrame, canonical: str = "canonical", alias: str = "alias",
@@ -92,10 +92,9 @@ def alias_lookup_table(aliases: DataFrame, canonical: str = "canonical", alias:
 
 
 def canonicalize_vendor(df: DataFrame, aliases: DataFrame, vendor: str = "vendor",
-                        out: str = "vendor_clean",
-                        max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                        out: str = "vendor_clean") -> DataFrame:
     """``out = coalesce(canonical(normalised vendor), vendor)``."""
-    side, _ = bounded_broadcast(alias_lookup_table(aliases), max_broadcast_rows)
+    side = alias_lookup_table(aliases)
     keyed = df.withColumn("_vkey", normalize_vendor(F.col(vendor)))
     j = keyed.join(side, keyed["_vkey"] == side["_alias_key"], "left")
     return j.select(*[keyed[c] for c in df.columns if c != out],

@@ -728,12 +728,13 @@ def q_threshold_precision_floor(spark, sf_dir):
 def evaluate_scored(df: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     """T4: confusion-derived metrics at ``score >= threshold`` plus AP/AUC, per group."""
     from apsight.operators import metrics
-    # one aggregate of the scored rows feeds both the confusion and AP/AUC
-    g = metrics.score_groups(df, "y", "score", by)
+    from apsight.operators.joins import null_safe_join
+    # one aggregate of the scored rows, checkpointed, feeds both the confusion and AP/AUC
+    g = metrics.ranked_groups(df, "y", "score", by)
     conf = metrics.binary_confusion_from_groups(g, threshold, by)
     s = metrics.summary(conf, "y", "pred", by)
     r = metrics.rank_metrics(df, "y", "score", by, groups=g)
-    return s.join(r, by).select(*by, F.col("n").alias("n_test"), *[F.round(c, 9).alias(c) for c in (
+    return null_safe_join(s, r, by).select(*by, F.col("n").alias("n_test"), *[F.round(c, 9).alias(c) for c in (
         "accuracy", "macro_f1", "weighted_f1")], "pr_auc", "roc_auc")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,6 +24,8 @@ DEFAULTS = {
     "spark.sql.ui.retainedExecutions": "100",
     "spark.ui.retainedJobs": "200",
     "spark.ui.retainedStages": "200",
+    # checkpoint files go when the frames that read them are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # SQL confs applied at runtime to a session someone else built (e.g. a driver),
@@ -68,15 +71,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is used as is; if it is unset there, this fails rather than fall back to a
     machine-local folder. Only in local mode (tests) a scratch folder is made.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):
             raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
                                "(HDFS/S3/...); a machine-local folder would not survive executor loss")
         path = tempfile.mkdtemp(prefix="apsight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
