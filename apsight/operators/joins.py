@@ -43,6 +43,7 @@ def left_join_spread(left: DataFrame, right: DataFrame, keys: list[tuple[str, st
         lacks = lacks | left[a].isNull()
     spread = F.when(lacks, F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
     routed = left.select("*", spread.alias("_route"))
-    side = right.select("*", F.lit(0).cast("long").alias("_route_0"))
+    # always 0, but no constant: the optimizer would turn that into a filter and drop the key
+    side = right.select("*", F.pmod(F.xxhash64(*[right[b] for _, b in keys]), F.lit(1)).alias("_route_0"))
     on = [routed[a] == side[b] for a, b in keys] + [routed["_route"] == side["_route_0"]]
     return routed.join(side, on, "left").drop("_route", "_route_0")
