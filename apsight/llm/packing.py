@@ -44,6 +44,9 @@ class OpenWindows:
 
     def place(self, length: int, item) -> tuple[int, int, list] | None:
         """Put an item into a window; the window that had to be emitted for it, or None."""
+        if length == self.size:  # fills a window of its own: no open one is in its way
+            self.made += 1
+            return self.size, self.made - 1, [(0, item)]
         out = None
         # fullest window with room: the last one whose fill is at most size - length
         at = bisect.bisect_right(self.order, (self.size - length, 1 << 62)) - 1

@@ -7,7 +7,8 @@ piece's ids are those that the library gives it alone, and are kept in a
 bounded cache. A piece of plain letters, with punctuation or a line break
 behind, is cut there too (letters and punctuation never share a pre-token) and
 its letters go straight to the library's merge model. Whether that shortcut
-holds for a vocabulary is tested when it is loaded; if not, it is not used.
+holds for a vocabulary is tested when it is loaded; if not, it is not used. A
+text that holds the content of an added token goes to the library whole.
 """
 
 from __future__ import annotations
@@ -16,22 +17,20 @@ import itertools
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from apsight.llm.common import TwoGenerations
-
 _LOOSE = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
 #: ASCII punctuation without the apostrophe, which may begin a contraction.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD_AND_SIGNS = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[" + re.escape(_SIGNS) + "]*)$"
 _PROBES = ["Straße", "Éa", "the", "ÿÀz", "Xyzzyq", "a", "I"]
-#: Pieces kept per generation and worker (about 200 bytes each).
-CACHE_PIECES = 250_000
+#: Pieces that a worker keeps (about 200 bytes each); at a batch that finds more, it begins anew.
+CACHE_PIECES = 800_000
 #: Code points that are encoded together.
 BATCH_CHARS = 1 << 21
 #: Longer pieces are not kept.
@@ -50,6 +49,18 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) <= "ÿ")
 
 
+class Kept(dict):
+    """Values by key, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class PieceEncoder:
     """``encode(text)`` -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -60,11 +71,14 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None  # a normaliser may fold case
+        start = os.path.commonprefix(added)
+        self.added_start = start if start == start.lower() == start.upper() else ""  # what stands in a text that holds one
         self.model = self.tokenizer.model
         self.symbols = str.maketrans(dict(enumerate(_byte_symbols())))
-        self.spaced = TwoGenerations(self._spaced_piece, CACHE_PIECES)  # pieces behind a space, keys without it
-        self.bare = TwoGenerations(self._bare_piece, CACHE_PIECES // 10)  # pieces without a space
+        self.spaced = Kept(self._spaced_piece)  # pieces behind a space, keys without it
+        self.bare = Kept(self._bare_piece)  # pieces without a space
         self.direct = next((f for f in (self._after_space, self._lowered) if all(f(p) == self._library(f" {p}") for p in _PROBES)), None)
 
     @classmethod
@@ -110,8 +124,13 @@ class PieceEncoder:
         Arrow numbers the distinct pieces of the batch and takes punctuation off
         plain words, so that Python sees each word of the batch once.
         """
-        loose = {i: t for i, t in enumerate(texts) if _LOOSE.search(t)}
-        parts = pc.split_pattern(pa.array(["" if i in loose else t for i, t in enumerate(texts)], pa.large_string()), " ")
+        if len(self.spaced) + len(self.bare) > CACHE_PIECES:
+            self.spaced.clear()
+            self.bare.clear()
+        whole_texts = {i: t for i, t in enumerate(texts) if self._holds_added(t)}
+        loose = {i: t for i, t in enumerate(texts) if i not in whole_texts and _LOOSE.search(t)}
+        apart = loose.keys() | whole_texts.keys()
+        parts = pc.split_pattern(pa.array(["" if i in apart else t for i, t in enumerate(texts)], pa.large_string()), " ")
         begin = parts.offsets.to_numpy()  # every text has a first piece, maybe empty
         coded = parts.flatten().dictionary_encode()
         code = coded.indices.to_numpy().astype(np.int64)
@@ -139,8 +158,13 @@ class PieceEncoder:
         for i, text in loose.items():
             head, *rest = _CUT.split(text)
             out[i] = (self._library(head) if head else b"") + b"".join(map(self._ids, rest))
+        for i, text in whole_texts.items():
+            out[i] = self._library(text)
         return out
 
+    def _holds_added(self, text: str) -> bool:
+        return self.added is not None and self.added_start in text and self.added.search(text) is not None
+
     def _look_up(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces behind a space; plain ASCII words that are new go straight to the merge model."""
         cache, tokenize = self.spaced, self.model.tokenize
@@ -150,13 +174,10 @@ class PieceEncoder:
         for i, ids in enumerate(found):
             if ids is None:
                 piece = pieces[i]
-                if self.direct and len(piece) < CACHE_CHARS and piece.isascii() and piece.isalpha() and piece not in cache.old:
-                    tokens = tokenize(piece.lower() if lower else mark + piece)
-                    ids = array("I", [t.id for t in tokens]).tobytes()
-                    cache.keep(piece, ids)
+                if self.direct and len(piece) < CACHE_CHARS and piece.isascii() and piece.isalpha():
+                    found[i] = cache[piece] = array("I", [t.id for t in tokenize(piece.lower() if lower else mark + piece)]).tobytes()
                 else:
-                    ids = self._ids(piece)
-                found[i] = ids
+                    found[i] = self._ids(piece)
         return found
 
     def _ids(self, piece: str) -> bytes:

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from apsight.llm import bpe, packing, queries, token_files
 from apsight.llm.pieces import PieceEncoder
@@ -16,10 +17,24 @@ ODD = ["'", "s", "re", "ll", "a", "Z", "1", "２", " ", "  ", "\n", "\t", "\u00a
 
 @pytest.mark.parametrize("path", [BYTE, WORDS])
 def test_pieces_equal_the_library(path, texts):
-    rng, encode = random.Random(1), PieceEncoder(path)
+    rng, encode, library = random.Random(1), PieceEncoder(path), Tokenizer.from_file(path)
     some = ["".join(rng.choices(ODD, k=rng.randint(0, 30))) for _ in range(1500)] + list(texts.values())
+    added = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "endoftext|>"]
+    some += [t for a in added for t in (a, f"{a} b", f"a {a} b", f"a {a}", f"a{a}b", f" {a} ", f"a  {a}\n{a}", f"x {a}{a}, y. The end", f"<{a}>")]
     for text, got in zip(some, encode.batch(some), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    for text in some[-45:]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pieces_begin_anew(monkeypatch, texts):
+    """A full cache is emptied between batches; the ids are the same."""
+    from apsight.llm import pieces
+
+    monkeypatch.setattr(pieces, "CACHE_PIECES", 50)
+    encode, library = PieceEncoder(BYTE), Tokenizer.from_file(BYTE)
+    for text in list(texts.values())[:60]:
+        assert np.frombuffer(encode(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("values", [[], [7], [0] * 500, [2**63, 0, 5, 2**64 - 1, 2**60, 1], list(range(5000)), [1, 2**61] * 40])
@@ -42,7 +57,7 @@ def test_random_words_round_trip_and_are_dense():
 
 
 def test_token_files_query(spark, texts):
-    lib = PieceEncoder(BYTE).tokenizer
+    lib = Tokenizer.from_file(BYTE)
     at = 0
     got = {r.doc_id: r for r in queries.op3_token_files(spark, "/root/testdata/sf0.001").collect()}
     for doc_id in sorted(texts):
@@ -115,7 +130,7 @@ def _check_packed(pieces, lengths, size):
 
 
 def test_packing_query(spark, small, texts):
-    lib = PieceEncoder(WORDS).tokenizer
+    lib = Tokenizer.from_file(WORDS)
     ids = {d: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts.items()}
     rows = packing.pack_documents(small, WORDS).collect()
     by_seq = _check_packed(rows, {d: len(i) for d, i in ids.items()}, 2048)
@@ -144,3 +159,47 @@ def test_open_windows_are_bounded():
         out += [x for _, x in done[2]] if done else []
     out += [x for w in windows.drain() for _, x in w[2]]
     assert sorted(out) == list(range(2000))
+
+
+def test_full_pieces_take_no_slot():
+    windows = packing.OpenWindows(2048, 64)
+    assert not any(windows.place(1500, i) for i in range(64))
+    assert windows.place(2048, "full") == (2048, 64, [(0, "full")]) and len(windows.order) == 64
+
+
+def test_packing_query_columns(spark, texts):
+    """The registered query: digests of each piece, sequences without gaps, padding."""
+    lib = Tokenizer.from_file(WORDS)
+    ids = {d: np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
+    found, pieces = defaultdict(list), defaultdict(list)
+    for r in queries.op7_packing(spark, "/root/testdata/sf0.001").collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes())
+        found[r.doc_id].append((r.start, r.length))
+        pieces[r.sequence_id].append(r)
+    assert found.keys() == ids.keys()
+    for doc_id, parts in found.items():
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == len(ids[doc_id])
+    for rows in pieces.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        power = at & (at - 1) == 0
+        assert {(r.sequence_tokens, r.padded_to) for r in rows} == {(at, at if power else 2048)} and at <= 2048
+
+
+def test_byte_bpe_query(spark, texts):
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.BytePairs(RANKS).ranks, special_tokens={})
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op5_byte_bpe(spark, "/root/testdata/sf0.001").collect()}
+    for doc_id, text in texts.items():
+        ids = whole.encode_ordinary(text or "")
+        assert got[doc_id] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
