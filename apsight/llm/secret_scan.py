@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -44,7 +46,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")  # a maximal run: what leftmost matching finds
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,.-]*?)-----END \1-----")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s\\:,.-]*")
 _BREAK = r"""(?:\\[rn]|\\(?=\s)|["']\s*[+.,]?\s*["']|[\s>#|*])++"""  # between the lines of a wrapped encoding
 _WRAP, _LINE_END = re.compile(_BREAK), re.compile(r"""[\n\r\\"']""")
 _DIGITS = {64: re.compile(r"[A-Za-z0-9+/_-]+"), 16: re.compile(r"[0-9a-fA-F]+")}
@@ -54,6 +57,9 @@ _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK}[A
 _ENCODED_PEM = ("UFJJVkFURSBLRVktLS0tL", "BSSVZBVEUgS0VZLS0tLS", "QUklWQVRFIEtFWS0tLS0t")  # PRIVATE KEY----- at the three alignments
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]{3,}+)\.([A-Za-z0-9_-]*+))")
 _OBJECT = re.compile("(?=e[w-z0-9_-]|I[A-P]|C[Q-Za-v]|D[Q-Za-f]|77)")  # a brace, white space or byte order mark in base64
+_OPEN = re.compile(rb"(?:\xef\xbb\xbf)?[ \t\n\r]*(?:\{[ \t\n\r]*(?:\"|$)|$)")  # an object with a member, as far as can be seen
+_OPEN_START = re.compile(r"(?:\xef\xbb\xbf)?[ \t\n\r]*")
+_PIECES = re.compile(r'"(?:[^"\\]|\\.)*+"?|[{}]', re.DOTALL)
 _ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # password-based schemes of PKCS #5 and #12
 _KEY_BAGS = (bytes.fromhex("2a864886f70d010c0a0101"), bytes.fromhex("2a864886f70d010c0a0102"))
 _ENCRYPTED = re.compile(r"(?:\s|\\[rn])*Proc-Type:\s*4,ENCRYPTED(?:\s|\\[rn])+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,32}(?:\s|\\[rn])+")
@@ -215,6 +221,9 @@ def key_end(text: str, at: int, base: int) -> int | None:
     """Where the encoded key that begins at ``at`` ends, its padding included; None if there is none."""
     head = decoded(digits(text, at, base, 24)[0], base)
     if _OPENSSH.startswith(head[:len(_OPENSSH)]) and head:
+        first = decoded(digits(text, at, base, 2 * len(_OPENSSH) + 8)[0], base)[len(_OPENSSH):][:4]
+        if len(first) < 4 or int.from_bytes(first) > len(text) - at:
+            return None  # the first name alone would not fit
         data = decoded(digits(text, at, base)[0], base)
         size = openssh_size(data)
     else:
@@ -268,20 +277,21 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
 def confirmed_spans(text: str) -> list[Span]:
     found: list[Span] = []
     if "PRIVATE KEY-----" in text:
-        for m in _PEM.finditer(text):
-            lines = [x for x in re.split(r"(?:\s|\\[rn])+", m[2]) if x]
+        for a, b, body in blocks(text):
+            lines = [x for x in re.split(r"(?:\s|\\[rn])+", body) if x]
             data = unbase64("".join(x for x in lines if ":" not in x and "," not in x))
             if is_key(data):
-                found.append(("pem", *m.span()))
-            elif data is None or "ENCRYPTED" in m[2]:
-                if (h := _ENCRYPTED.match(m[2])) and (data := unbase64(re.sub(r"\s|\\[rn]", "", m[2][h.end():]))) and len(data) % 8 == 0:
-                    found.append(("pem", *m.span()))
-    taken = [(a, b) for _, a, b in found]
+                found.append(("pem", a, b))
+            elif data is None or "ENCRYPTED" in body:
+                if (h := _ENCRYPTED.match(body)) and (data := unbase64(re.sub(r"\s|\\[rn]", "", body[h.end():]))) and len(data) % 8 == 0:
+                    found.append(("pem", a, b))
+    taken = [(a, b) for _, a, b in found]  # ascending, apart from each other
 
     def add(a: int, b: int) -> None:
-        if not any(x < b and a < y for x, y in taken):
+        at = bisect.bisect_left(taken, (a, b))
+        if not (at and a < taken[at - 1][1] or at < len(taken) and taken[at][0] < b):
             found.append(("der", a, b))
-            taken.append((a, b))
+            taken.insert(at, (a, b))
 
     for m in _BASE64.finditer(text):
         for a, b in encoded_blocks(text, *m.span()):
@@ -293,13 +303,67 @@ def confirmed_spans(text: str) -> list[Span]:
                 add(m.start(), end)
                 done = end
     for m in _TOKEN.finditer(text):
-        for i in sorted({0, *(x.start() for x in _OBJECT.finditer(m[1]))}):
-            if is_signed_token(m[1][i:], m[2], m[3]):
-                found.append(("jwt", m.start() + i, m.end(3)))
-                break
+        at = token_start(m[1], m[2], m[3])
+        if at is not None:
+            found.append(("jwt", m.start() + at, m.end(3)))
     return found
 
 
+def blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of each private key block: a begin mark, its end mark next, and nothing else between."""
+    begin = None
+    for m in _MARK.finditer(text):
+        if m[1] == "END" and begin and begin[2] == m[2] and _BODY.fullmatch(text, begin.end(), m.start()):
+            yield begin.start(), m.end(), text[begin.end():m.start()]
+        begin = m if m[1] == "BEGIN" else None
+
+
+def token_start(head: str, payload: str, signature: str) -> int | None:
+    """The first place in ``head`` from which it is the header of a signed token.
+
+    The head is decoded once for each of the four alignments. A header ends with
+    the last brace there, so it begins at the brace that matches: one pass finds
+    it, a second one those that the first took for text within quotes.
+    """
+    starts = [i for i in itertools.chain([0], (x.start() for x in _OBJECT.finditer(head, 1))) if _OPEN.match(decoded(head[i:i + 48], 64))]
+    found = []
+    for r in range(4):
+        own = [i for i in starts if i % 4 == r]
+        if not own:
+            continue
+        data = (unbase64(head[r:]) or b"").decode("latin-1").rstrip(" \t\n\r")
+        if not data.endswith("}"):
+            continue
+        braces = {i: _OPEN_START.match(data, i // 4 * 3).end() for i in own}
+        first, quoted = last_object(data, braces[own[0]])
+        within = iter(quoted)
+        span = next(within, None)
+        other = None
+        for i in own:
+            while span and span[1] <= braces[i]:
+                span = next(within, None)
+            if span and span[0] < braces[i]:
+                other, _ = last_object(data, braces[i])
+                break
+        found += [i for i in own if braces[i] in (first, other)]
+    return next((i for i in sorted(found) if is_signed_token(head[i:], payload, signature)), None)
+
+
+def last_object(data: str, at: int) -> tuple[int | None, list[tuple[int, int]]]:
+    """Read from ``at`` on: where the brace stands that the last character closes, and the spans of quoted texts."""
+    opened, quoted, start = [], [], None
+    for m in _PIECES.finditer(data, at):
+        start = None
+        if m[0] == "{":
+            opened.append(m.start())
+        elif m[0] == "}":
+            brace = opened.pop() if opened else None
+            start = brace if m.end() == len(data) else None
+        else:
+            quoted.append(m.span())
+    return start, quoted
+
+
 def by_place(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
