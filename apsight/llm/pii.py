@@ -21,6 +21,8 @@ none, and training then uses the variants alone.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -32,6 +34,8 @@ from pyspark.sql import types as T
 from apsight.llm.common import map_documents
 from apsight.llm.recurrent import F32, LSTM, Adam, Bidirectional
 
+#: Code points of the widest window that a span is decoded in.
+WIDEST = 1 << 14
 KINDS = ("email", "ip", "card", "phone")
 NONE = 0  # tags: 2k+1 begins kind k, 2k+2 continues it
 TAGS = 2 * len(KINDS) + 1
@@ -250,30 +254,55 @@ class Model:
         return [int(s) * step for s in starts if 0 <= s <= last]
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
-        """Reconciled spans of each text, with their scores."""
+        """Reconciled spans of each text, with their scores.
+
+        A span that an inner edge of a window cuts is left to the neighbouring
+        window. If none saw it whole, it is decoded again amid twice the text,
+        and so on until it stands free of the edges, up to WIDEST: the network
+        reports nothing longer.
+        """
         todo = [(i, s) for i, t in enumerate(texts) for s in self.windows(t)]
         found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
-        for lo in range(0, len(todo), TOGETHER):
-            some = todo[lo:lo + TOGETHER]
-            pieces = [texts[i][s:s + WINDOW] for i, s in some]
-            steps = symbols_of("".join(p.ljust(WINDOW) for p in pieces)).reshape(-1, WINDOW).T
-            scores = self.net.scores(np.ascontiguousarray(steps))
-            paths = best_path(scores, self.moves)
-            for w in np.flatnonzero((paths != NONE).any(axis=0)).tolist():
-                i, s = some[w]
-                path = paths[:, w]
-                for a in np.flatnonzero(path % 2 == 1).tolist():
-                    inside = int(path[a]) + 1
-                    b = a + 1
-                    while b < WINDOW and path[b] == inside:
-                        b += 1
-                    if (a == 0 and s > 0) or (b == WINDOW and s + WINDOW < len(texts[i])):
-                        continue  # cut by the window: its neighbour sees it whole
-                    own = scores[np.arange(a, b), path[a:b], w] - scores[a:b, NONE, w]
-                    moved = sum(float(self.moves[path[j - 1], path[j]] - self.moves[NONE, NONE]) for j in range(max(a, 1), b))
-                    found[i].append((KINDS[inside // 2 - 1], s + a, min(s + b, len(texts[i])), float(own.sum()) + moved))
+        width = WINDOW
+        while todo and width <= WIDEST:
+            cut: list[list[tuple[int, int]]] = [[] for _ in texts]
+            together = max(1, TOGETHER * WINDOW // width)
+            for lo in range(0, len(todo), together):
+                some = todo[lo:lo + together]
+                for (i, s), spans in zip(some, self._decoded([texts[i][s:s + width] for i, s in some], width), strict=True):
+                    for kind, a, b, score in spans:
+                        if a == 0 and s > 0 or b == width and s + width < len(texts[i]):
+                            cut[i].append((s + a, s + b))
+                        else:
+                            found[i].append((kind, s + a, min(s + b, len(texts[i])), score))
+            width *= 2
+            todo = []
+            for i, parts in enumerate(cut):
+                whole = sorted((a, b) for _, a, b, _ in found[i])
+                starts, ends = [a for a, _ in whole], list(itertools.accumulate((b for _, b in whole), max))
+                unseen = [(a, b) for a, b in parts if not ((n := bisect.bisect_left(starts, b)) and ends[n - 1] > a)]
+                grid = width // 4  # so that a round decodes each place a few times at most
+                todo += [(i, s) for s in sorted({max(0, ((a + b - width) // 2 + grid // 2) // grid * grid) for a, b in unseen})]
         return [reconcile(f) for f in found]
 
+    def _decoded(self, pieces: list[str], width: int) -> list[list[tuple[str, int, int, float]]]:
+        """(kind, start, end, score) of the tagged stretches of each piece, filled up to ``width``."""
+        steps = symbols_of("".join(p.ljust(width) for p in pieces)).reshape(-1, width).T
+        scores = self.net.scores(np.ascontiguousarray(steps))
+        paths = best_path(scores, self.moves)
+        out: list[list[tuple[str, int, int, float]]] = [[] for _ in pieces]
+        for w in np.flatnonzero((paths != NONE).any(axis=0)).tolist():
+            path = paths[:, w]
+            for a in np.flatnonzero(path % 2 == 1).tolist():
+                inside = int(path[a]) + 1
+                b = a + 1
+                while b < width and path[b] == inside:
+                    b += 1
+                own = scores[np.arange(a, b), path[a:b], w] - scores[a:b, NONE, w]
+                moved = sum(float(self.moves[path[j - 1], path[j]] - self.moves[NONE, NONE]) for j in range(max(a, 1), b))
+                out[w].append((KINDS[inside // 2 - 1], a, b, float(own.sum()) + moved))
+        return out
+
 
 def reconcile(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
     """The non-overlapping spans of highest total score; what two windows both found counts once, at its better score."""
@@ -285,7 +314,7 @@ def reconcile(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     ends = [s[2] for s in order]
     totals, choice = [0.0], []
     for j, span in enumerate(order):
-        before = int(np.searchsorted(ends[:j], span[1], side="right"))
+        before = bisect.bisect_right(ends, span[1], 0, j)
         take = totals[before] + best[span]
         choice.append((take > totals[-1], before))
         totals.append(max(totals[-1], take))
@@ -338,7 +367,13 @@ def find(texts: list[str], model: Model) -> list[list[Span]]:
     out = []
     for text, added in zip(texts, model.spans(texts), strict=True):
         base = base_spans(text)
-        more = [(k, a, b) for k, a, b, _ in added if passes(k, text[a:b]) and not any(a < y and x < b for _, x, y in base)]
+        taken = sorted((x, y) for _, x, y in base)
+        starts, ends = [x for x, _ in taken], list(itertools.accumulate((y for _, y in taken), max))
+        more = []
+        for k, a, b, _ in added:
+            before = bisect.bisect_left(starts, b)  # base spans that begin before this one ends
+            if not (before and ends[before - 1] > a) and passes(k, text[a:b]):
+                more.append((k, a, b))
         out.append(by_place(base + more))
     return out
 
