@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from apsight.llm.common import held_out, map_documents, ship
 from apsight.llm.recurrent import GRU, Adam, Bidirectional
 
+#: Languages that are learned, at most; more raise.
+MOST_LANGS = 1000
 #: Bounds of the training sample: documents of each language, code points of each.
 PER_LANG, STRETCH = 500, 1024
 #: Parts of the hash range from which the sample is drawn.
@@ -110,7 +112,9 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, stretch: int = STRE
     """(language, stretch of text) of the sample; never of held-out documents."""
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
-    counts = {r.lang: r["count"] for r in able.groupBy("lang").count().collect()}  # one row a language
+    counts = {r.lang: r["count"] for r in able.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages to learn")
     # about twice as many as needed by a share of the hash range, so that no task ranks a language
     shares = [(F.col("lang") == lang) & (place < min(PLACES, max(1, 2 * per_lang * PLACES // n))) for lang, n in counts.items()]
     if not shares:
@@ -122,7 +126,8 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, stretch: int = STRE
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - stretch, F.lit(1)).cast("long")) + 1
     part = F.substring(F.col("text"), place.cast("int"), F.lit(stretch))
     rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return [(r.lang, r.part) for r in rows.select("lang", part.alias("part")).collect() if any(map(str.isalpha, r.part))]
+    one = rows.select("lang", "doc_id", part.alias("part")).groupBy("lang", "doc_id").agg(F.min("part").alias("part"))  # however often an id repeats
+    return [(r.lang, r.part) for r in one.collect() if any(map(str.isalpha, r.part))]
 
 
 def _sized(texts: Iterator, size: int = 1 << 19) -> Iterator[list]:
@@ -150,7 +155,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose language is known with a score of ``least`` or more, with all their columns.
+
+    If there was nothing to learn from (no usable label), no language is known
+    and every row with a letter stays: a text is not dropped for want of labels.
+    """
     ship(docs.sparkSession)
     model, at = model or train(training_rows(docs)), docs.columns.index("text")
 
@@ -159,6 +168,10 @@ def keep_identified(docs: DataFrame, least: float = 0.4, model: Model | None = N
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = model.predict(part.column(at).to_pylist())
-                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+                if model.langs:
+                    stays = [lang != UNKNOWN and score >= least for lang, score in found]
+                else:
+                    stays = [any(map(str.isalpha, t or "")) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -279,3 +279,46 @@ def test_long_texts_take_linear_time():
         began = time.process_time()
         assert secret_scan.find(text) == []
         assert time.process_time() - began < 8, text[:40]
+
+
+def test_reconcile_and_find_take_linear_time():
+    import time
+
+    began = time.process_time()
+    spans = [("ip", 7 * i, 7 * i + 9, 1.0 + i % 3) for i in range(100_000)]
+    kept = pii.reconcile(spans)
+    assert all(a[2] <= b[1] for a, b in zip(kept, kept[1:]))
+
+    class Every:  # stands for the network: proposes what the patterns found, one place on
+        def spans(self, texts):
+            return [[(k, a + 1, b + 1, 1.0) for k, a, b in pii.base_spans(t)] for t in texts]
+
+    text = "a.b@c.org 10.1.2.3 " * 30_000
+    assert len(pii.find([text], Every())[0]) == 60_000
+    assert time.process_time() - began < 15
+
+
+def test_spans_cut_by_every_window_are_decoded_again():
+    """A stub network that tags capital letters: stretches of any length up to WIDEST are found whole, once."""
+    model = pii.Model(None, None)
+
+    def decoded(pieces, width):
+        return [[("email", m.start(), m.end(), 1.0) for m in re.finditer("[A-Z]+", p.ljust(width))] for p in pieces]
+
+    model._decoded = decoded
+    for n in (3, 40, 60, 95, 96, 97, 300, 5000):
+        for before in (0, 10, 47, 48, 50, 1000):
+            text = "a" * before + "X" * n + "b" * 500
+            model.windows = lambda t: list(range(0, len(t) - 48, 48))
+            assert [s[:3] for s in model.spans([text, "no"])[0]] == [("email", before, before + n)], (n, before)
+
+
+def test_language_stage_keeps_texts_without_labels(spark):
+    df = spark.createDataFrame([(i, f"clean text number {i}", None) for i in range(20)] + [(99, "123 456", None), (98, None, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.keep_identified(df).collect()} == set(range(20))
+
+
+def test_language_sample_takes_an_id_once(spark):
+    one, two = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    df = spark.createDataFrame([(one, f"some words {i}", "en") for i in range(300)] + [(two, "andere Worte", "de")], "doc_id long, text string, lang string")
+    assert len(langid.training_rows(df)) == 2
