@@ -1,11 +1,12 @@
 """Profiling of enriched sightings: filters, distributions, cross-tabs,
 frequent names, coverage (A1-A9, W1-W2, K1-K2, P9, J4).
 
-The reference scans its file once per result table; here every per-column
-distribution comes from one GROUPING SETS aggregate (one scan, one Expand,
-partial aggregation before the shuffle) and shares are windows over the
-*aggregated* rows, partitioned by grouping set. Cross-tab shares join the pair
-counts to their marginals, so no task gathers the pairs of a hot value.
+The reference scans its file once per result table; here ``Cube`` counts all
+columns, all pairs, the names and the total as grouping sets of one aggregate
+(one scan, one Expand, partial aggregation before the shuffle). Its rows are
+checkpointed and the tables are cut out of them: a cross-tab's marginals are the
+single columns' rows, joined to the pairs, so no task gathers the pairs of a hot
+value, and shares need no window.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apsight.session import ensure_checkpoint_dir
+
 # The profiled columns and the cross-tab pairs of the reference.
 PROFILE_COLUMNS = ("class", "type", "addresstype", "vendor", "vendor_src", "mac_flags",
                    "add_state", "add_county", "add_town")
@@ -38,27 +41,61 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def distributions(df: DataFrame, columns=PROFILE_COLUMNS, total: int | None = None) -> DataFrame:
-    """Long table ``(column, value, count, proportion)`` for every column.
+class Cube:
+    """Counts of all result tables of a profile, from one pass over ``df``.
 
-    ``value`` is the text form; a real null value is one group of its own
-    (grouping() tells it apart from "not grouped"). Each column's counts add up
-    to the row count, so with a known ``total`` the share is a plain division;
-    otherwise it is a window over that column's aggregated rows.
+    ``frame`` has the grouped columns, ``_set`` (grouping id), ``count`` and
+    ``_yes`` (rows whose ``type`` is 'yes'). A real null is a group of its own:
+    the grouping id tells it apart from a column that is not grouped.
     """
-    cols = present(df, columns)
-    agg = df.groupingSets([[c] for c in cols], *cols).agg(
-        F.count(F.lit(1)).alias("count"), *[F.grouping(c).alias(f"_g_{c}") for c in cols])
-    which: Column = reduce(lambda acc, c: acc.when(F.col(f"_g_{c}") == 0, F.lit(c)),
-                           cols[1:], F.when(F.col(f"_g_{cols[0]}") == 0, F.lit(cols[0])))
-    value: Column = reduce(lambda acc, c: acc.when(F.col(f"_g_{c}") == 0, F.col(c).cast("string")),
-                           cols[1:], F.when(F.col(f"_g_{cols[0]}") == 0, F.col(cols[0]).cast("string")))
-    long = agg.select(which.alias("column"), value.alias("value"), "count")
-    if total is not None:
-        return long.select("column", "value", "count", (F.col("count") / F.lit(total)).alias("proportion"))
-    w = Window.partitionBy("column")
-    return long.select("column", "value", "count",
-                       (F.col("count") / F.sum("count").over(w)).alias("proportion"))
+
+    def __init__(self, df: DataFrame, columns=PROFILE_COLUMNS, pairs=CROSS_TABS, name: str = "name"):
+        ensure_checkpoint_dir(df.sparkSession)
+        self.columns = present(df, columns)
+        self.pairs = [p for p in pairs if len(present(df, p)) == 2]
+        self.name = name if name in df.columns else None
+        sides = [c for p in self.pairs for c in p]
+        self.all = list(dict.fromkeys([*self.columns, *sides, *([name] if self.name else [])]))
+        sets = [[c] for c in self.all] + [list(p) for p in self.pairs] + [[]]
+        yes = F.count_if(F.col("type") == "yes") if "type" in df.columns else F.lit(0).cast("long")
+        self.counts = df.groupingSets(sets, *self.all).agg(  # the one pass
+            F.count(F.lit(1)).alias("count"), yes.alias("_yes"), F.grouping_id(*self.all).alias("_set"))
+        self.frame = self.counts.checkpoint(eager=True)
+        first = self.rows([]).select("count").first()
+        self.total = first["count"] if first else 0
+
+    def rows(self, grouped: list[str]) -> DataFrame:
+        """The rows of one grouping set."""
+        last = len(self.all) - 1
+        return self.frame.where(F.col("_set") == sum(1 << (last - i) for i, c in enumerate(self.all) if c not in grouped))
+
+    def distributions(self) -> DataFrame:
+        """Long table ``(column, value, count, proportion)`` for every column; ``value`` is the text form."""
+        last = len(self.all) - 1
+        ids = {c: sum(1 << (last - i) for i, o in enumerate(self.all) if o != c) for c in self.columns}
+        own = self.frame.where(F.col("_set").isin(list(ids.values())))
+        pick = lambda f: reduce(lambda acc, c: acc.when(F.col("_set") == ids[c], f(c)), self.columns[1:],
+                                F.when(F.col("_set") == ids[self.columns[0]], f(self.columns[0])))
+        return own.select(pick(F.lit).alias("column"), pick(lambda c: F.col(c).cast("string")).alias("value"), "count",
+                          (F.col("count") / F.lit(self.total)).alias("proportion"))
+
+    def yes_share(self, cls: str = "class") -> DataFrame:
+        """Per class: total, number of ``type == 'yes'`` rows, and their share (see ``yes_share``)."""
+        return _yes_columns(self.rows([cls]), cls, "count", "_yes")
+
+    def crosstab(self, left: str, right: str, limit: int | None = 5000) -> DataFrame:
+        """Pair counts with shares of the total and within each side, top ``limit`` (see ``crosstab``)."""
+        return _crosstab_shares(self.rows([left, right]).select(left, right, "count"), self.rows([left]).select(F.col(left).alias("_left_value"), F.col("count").alias("_in_left")),
+                                self.rows([right]).select(F.col(right).alias("_right_value"), F.col("count").alias("_in_right")), left, right, F.lit(self.total), limit)
+
+    def frequent_values(self, min_count: int = 5) -> DataFrame:
+        """Names that occur more than ``min_count`` times (null is a value here)."""
+        return self.rows([self.name]).where(F.col("count") > min_count).select(self.name, "count")
+
+
+def distributions(df: DataFrame, columns=PROFILE_COLUMNS) -> DataFrame:
+    """Long table ``(column, value, count, proportion)`` for every column of ``df``."""
+    return Cube(df, columns, (), "").distributions()
 
 
 def yes_share(df: DataFrame, cls: str = "class", typ: str = "type") -> DataFrame:
@@ -67,12 +104,14 @@ def yes_share(df: DataFrame, cls: str = "class", typ: str = "type") -> DataFrame
     Same rows as totals LEFT JOIN yes-counts on class: a null class matches
     nothing (yes_count 0), and the share is null, not 0, where no 'yes' exists.
     """
-    g = df.groupBy(cls).agg(F.count(F.lit(1)).alias("total_in_class"),
-                            F.count_if(F.col(typ) == "yes").alias("_yes"))
-    yes = F.when(F.col(cls).isNull(), F.lit(0)).otherwise(F.col("_yes"))
-    return g.select(cls, "total_in_class", yes.cast("long").alias("yes_count"),
-                    F.when(F.col(cls).isNotNull() & (F.col("_yes") > 0),
-                           F.col("_yes") / F.col("total_in_class")).alias("yes_proportion"))
+    g = df.groupBy(cls).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col(typ) == "yes").alias("_yes"))
+    return _yes_columns(g, cls, "count", "_yes")
+
+
+def _yes_columns(g: DataFrame, cls: str, total: str, yes_of: str) -> DataFrame:
+    yes = F.when(F.col(cls).isNull(), F.lit(0)).otherwise(F.col(yes_of))
+    return g.select(cls, F.col(total).alias("total_in_class"), yes.cast("long").alias("yes_count"),
+                    F.when(F.col(cls).isNotNull() & (F.col(yes_of) > 0), F.col(yes_of) / F.col(total)).alias("yes_proportion"))
 
 
 def crosstab(df: DataFrame, left: str, right: str, total: int | None = None,
@@ -89,12 +128,15 @@ def crosstab(df: DataFrame, left: str, right: str, total: int | None = None,
     tot = F.lit(total) if total is not None else g.agg(F.sum("count")).scalar()
     by_left = g.groupBy(F.col(left).alias("_left_value")).agg(F.sum("count").alias("_in_left"))
     by_right = g.groupBy(F.col(right).alias("_right_value")).agg(F.sum("count").alias("_in_right"))
-    both = (g.join(by_left, F.col(left).eqNullSafe(F.col("_left_value")))
-            .join(by_right, F.col(right).eqNullSafe(F.col("_right_value"))))
-    out = both.select(left, right, "count",
-                      (F.col("count") / tot).alias("proportion_of_total"),
-                      (F.col("count") / F.col("_in_left")).alias(f"proportion_within_{left}"),
-                      (F.col("count") / F.col("_in_right")).alias(f"proportion_within_{right}"))
+    return _crosstab_shares(g, by_left, by_right, left, right, tot, limit)
+
+
+def _crosstab_shares(pairs: DataFrame, by_left: DataFrame, by_right: DataFrame, left: str, right: str, total: Column, limit: int | None) -> DataFrame:
+    both = (pairs.join(by_left, pairs[left].eqNullSafe(F.col("_left_value")))
+            .join(by_right, pairs[right].eqNullSafe(F.col("_right_value"))))
+    out = both.select(pairs[left], pairs[right], pairs["count"], (pairs["count"] / total).alias("proportion_of_total"),
+                      (pairs["count"] / F.col("_in_left")).alias(f"proportion_within_{left}"),
+                      (pairs["count"] / F.col("_in_right")).alias(f"proportion_within_{right}"))
     if limit is not None:
         out = out.orderBy(F.desc("count"), F.asc_nulls_first(left), F.asc_nulls_first(right)).limit(limit)
     return out

@@ -18,10 +18,13 @@ from pyspark.sql import types as T
 
 from apsight.functions.hashing import HASH_SPACE, hash32
 from apsight.operators.joins import bounded_broadcast
+from apsight.operators.ranks import global_rank
 
 BUCKETS = 4096
 FINAL_RANK_ROWS = 200_000
 MAX_GROUPS = 10_000
+#: Largest groups that are assigned to folds one by one on the driver; all others are dealt out by rank.
+HEAVY_GROUPS = 10_000
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
@@ -234,16 +237,14 @@ def shuffled_group_folds(df: DataFrame, group: str, k: int = 5, seed=42) -> Data
     """Distinct groups in hash order cut into k near-equal lists (first
     ``n % k`` lists one longer). Null is a group. Returns (group, fold 0..k-1).
 
-    The window runs over one row per group (a bounded list), never over rows.
+    Groups are ranked by a range shuffle: no window holds them all.
     """
-    groups = df.select(group).distinct()
     h = hash32(F.coalesce(F.col(group).cast("string"), F.lit("<null>")), f"groups{seed}")
-    ranked = groups.select(group, (F.row_number().over(Window.orderBy(h, F.col(group))) - 1).alias("_i"),
-                           F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
-    q = (F.col("_n") / k).cast("long")
-    r = F.col("_n") % k
-    fold = F.when(F.col("_i") < r * (q + 1), (F.col("_i") / (q + 1)).cast("long")) \
-        .otherwise(r + ((F.col("_i") - r * (q + 1)) / q).cast("long"))
+    ranked, n = global_rank(df.select(group).distinct(), [h, F.col(group)], "_rank")
+    q, r = divmod(n, k)
+    i = F.col("_rank") - 1
+    late = (i - r * (q + 1)) / q if q else F.lit(0)
+    fold = F.when(i < r * (q + 1), (i / (q + 1)).cast("long")).otherwise(r + late.cast("long"))
     return ranked.select(group, fold.cast("int").alias("fold"))
 
 
@@ -254,60 +255,87 @@ def assign_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
     return j.drop("_fg")
 
 
-def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
-    """Stratified group k-fold, deterministic greedy (D2): k = min(k, #groups),
-    fewer than 3 groups is an error. Only the (group x class) count matrix is
-    collected. Groups go, in order of descending spread of their class counts
-    (tie: name), to the fold that minimises the mean over classes of the
-    standard deviation of per-fold class shares; ties: fewer rows, lower fold.
-    Returns (group, fold)."""
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int = 5, heavy: int = HEAVY_GROUPS) -> DataFrame:
+    """Stratified group k-fold, deterministic (D2): k = min(k, #groups), fewer
+    than 3 groups is an error. Returns (group, fold).
+
+    The ``heavy`` largest groups are assigned greedily on the driver: in order of
+    descending spread of their class counts (tie: name), each to the fold that
+    minimises the mean over classes of the standard deviation of per-fold class
+    shares; ties: fewer rows, lower fold. All further groups are no larger: they
+    are dealt out to the folds in order of their class counts, so groups of equal
+    counts spread evenly, by one distributed rank.
+    """
     import numpy as np
 
-    rows = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).collect()
-    groups = sorted({r[group] for r in rows}, key=lambda g: (g is None, g))
-    classes = sorted({r[label] for r in rows}, key=lambda c: (c is None, c))
-    if len(groups) < 3:
+    counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(label).agg(F.sum("_n").alias("_n")).limit(MAX_GROUPS + 1).collect()  # a row a class
+    if len(totals) > MAX_GROUPS:
+        raise ValueError("too many classes for stratified folds")
+    vectors = counts.groupBy(group).agg(F.sum("_n").alias("_total"), F.sort_array(F.collect_list(F.struct(label, "_n"))).alias("_counts"))
+    ranked, n_groups = global_rank(vectors, [F.desc("_total"), F.asc(group)], "_rank")
+    if n_groups < 3:
         raise ValueError("need at least 3 groups for group folds")
-    k = min(k, len(groups))
-    gi = {g: i for i, g in enumerate(groups)}
+    k = min(k, n_groups)
+    classes = sorted((r[label] for r in totals), key=lambda c: (c is None, c))
     ci = {c: i for i, c in enumerate(classes)}
+    class_tot = np.zeros(len(classes))
+    for r in totals:
+        class_tot[ci[r[label]]] = r["_n"]
+    rows = ranked.where(F.col("_rank") <= heavy).collect()
+    groups = sorted((r[group] for r in rows), key=lambda g: (g is None, g))
+    gi = {g: i for i, g in enumerate(groups)}
     m = np.zeros((len(groups), len(classes)))
     for r in rows:
-        m[gi[r[group]], ci[r[label]]] += r["n"]
-    class_tot = m.sum(axis=0)
-    order = sorted(range(len(groups)), key=lambda i: (-float(np.std(m[i])), str(groups[i])))
+        for c in r["_counts"]:
+            m[gi[r[group]], ci[c[label]]] += c["_n"]
     fold_counts = np.zeros((k, len(classes)))
     assign = {}
-    for i in order:
+    for i in sorted(range(len(groups)), key=lambda i: (-float(np.std(m[i])), str(groups[i]))):
         best = None
         for f in range(k):
             fold_counts[f] += m[i]
             shares = fold_counts / np.where(class_tot > 0, class_tot, 1)
-            score = float(np.mean(np.std(shares, axis=0)))
+            cand = (float(np.mean(np.std(shares, axis=0))), float(fold_counts[f].sum()), f)
             fold_counts[f] -= m[i]
-            cand = (score, float(fold_counts[f].sum()), f)
             if best is None or cand < best:
                 best = cand
         fold_counts[best[2]] += m[i]
         assign[groups[i]] = best[2]
-    gtype = dict((f.name, f.dataType) for f in df.schema.fields)[group]
-    return df.sparkSession.createDataFrame(
-        [(g, f) for g, f in assign.items()],
-        T.StructType([T.StructField(group, gtype), T.StructField("fold", T.IntegerType())]))
+    light = ranked.where(F.col("_rank") > heavy).select(group, "_counts")
+    return _with_light(df, group, assign, light if n_groups > heavy else None, [F.col("_counts"), F.asc(group)], fold_counts.sum(axis=1).tolist())
+
 
+def group_kfold(df: DataFrame, group: str, k: int = 5, heavy: int = HEAVY_GROUPS) -> DataFrame:
+    """Group k-fold without classes. Returns (group, fold).
 
-def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Group k-fold without classes: largest groups first, each to the fold with
-    the fewest rows so far (tie: lower fold). Returns (group, fold)."""
-    rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()
-    if len(rows) < k:
+    The ``heavy`` largest groups go, largest first, each to the fold with the
+    fewest rows so far (tie: lower fold). All further groups are no larger and
+    are dealt out in order of size, forwards and backwards in turn, by one
+    distributed rank.
+    """
+    sizes_of = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    ranked, n_groups = global_rank(sizes_of, [F.desc("_n"), F.coalesce(F.col(group).cast("string"), F.lit("None"))], "_rank")
+    if n_groups < k:
         raise ValueError("fewer groups than folds")
-    sizes = [0] * k
-    assign = []
-    for r in sorted(rows, key=lambda r: (-r["n"], str(r[group]))):
+    sizes, assign = [0] * k, {}
+    for r in sorted(ranked.where(F.col("_rank") <= heavy).collect(), key=lambda r: r["_rank"]):
         f = min(range(k), key=lambda i: (sizes[i], i))
-        sizes[f] += r["n"]
-        assign.append((r[group], f))
-    gtype = dict((f.name, f.dataType) for f in df.schema.fields)[group]
-    return df.sparkSession.createDataFrame(
-        assign, T.StructType([T.StructField(group, gtype), T.StructField("fold", T.IntegerType())]))
+        sizes[f] += r["_n"]
+        assign[r[group]] = f
+    light = ranked.where(F.col("_rank") > heavy).select(group, "_n")
+    return _with_light(df, group, assign, light if n_groups > heavy else None, [F.desc("_n"), F.asc(group)], sizes)
+
+
+def _with_light(df: DataFrame, group: str, assign: dict, light: DataFrame | None, order: list[Column], sizes: list) -> DataFrame:
+    """The assigned groups, and the light ones dealt to the folds in ``order``, emptiest fold first, back and forth."""
+    schema = T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("fold", T.IntegerType())])
+    heavy = df.sparkSession.createDataFrame(list(assign.items()), schema)
+    if light is None:
+        return heavy
+    k = len(sizes)
+    folds = F.array(*[F.lit(f) for f in sorted(range(k), key=lambda f: (sizes[f], f))])
+    dealt, _ = global_rank(light, order, "_deal")
+    lap, seat = F.floor((F.col("_deal") - 1) / k), (F.col("_deal") - 1) % k
+    at = F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int")
+    return heavy.unionByName(dealt.select(group, F.get(folds, at).alias("fold")))

@@ -1034,13 +1034,13 @@ select line_no, line from (
 select upper(split_part(line, chr(9), 1)) as prefix, arg_max(substr(line, instr(line, chr(9)) + 1), line_no) as vendor
 from lines where instr(line, chr(9)) > 0 group by 1""")
 def q_oui_registry_scan(spark, sf_dir):
-    """Registry lines written as one text file in line order, read with the S2
+    """Registry lines written as text files in line order, read with the S2
     reader; the result is the prefix -> vendor map after 'later line wins'."""
     from apsight.sources import readers
     fx = Fixtures(spark, sf_dir)
     lines = spark.sql(_REG_LINES.replace("from oui", "from {oui}").replace("chr(9)", "char(9)"), oui=fx.oui)
     path = _scratch(spark, "oui-registry")
-    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+    lines.orderBy("line_no").select("line").write.mode("overwrite").text(path)  # range-sorted files, in order by name
     reg = readers.read_oui_registry(spark, path)
     return reg.groupBy("prefix").agg(F.max_by("vendor", "line_no").alias("vendor"))
 
@@ -1103,9 +1103,17 @@ def q_results_sink(spark, sf_dir):
     return spark.read.parquet(path).select("table", "column", "value", "count", "proportion")
 
 
-@query("group_kfold")
+@query("group_kfold", O.with_ml().replace("with ", "with recursive ", 1) + """
+, sized as (select add_state, count(*) as n, row_number() over (order by count(*) desc, coalesce(add_state, 'None')) as i from mlf group by 1)
+, steps as (
+  select cast(0 as bigint) as i, [0, 0, 0, 0, 0]::bigint[] as sizes, cast(null as varchar) as add_state, cast(-1 as integer) as fold
+  union all
+  select s.i, [case when j = list_position(p.sizes, list_min(p.sizes)) then p.sizes[j] + s.n else p.sizes[j] end for j in [1, 2, 3, 4, 5]],
+    s.add_state, cast(list_position(p.sizes, list_min(p.sizes)) - 1 as integer)
+  from steps p join sized s on s.i = p.i + 1)
+select add_state, fold from steps where i > 0""")
 def q_group_kfold(spark, sf_dir):
-    """Group k-fold (largest groups first to the emptiest fold); rows only."""
+    """Group k-fold (largest groups first to the emptiest fold)."""
     from apsight.operators import splits
     return splits.group_kfold(ml_rows(Fixtures(spark, sf_dir)), "add_state", 5)
 
@@ -1133,3 +1141,78 @@ def q_experiment_tuned(spark, sf_dir):
     cfg = X.ExperimentConfig(models=("sgd", "sgd_fixed"), split_modes=("random", "state"),
                              threshold_mode="best_f1")
     return X.run_experiment(Fixtures(spark, sf_dir).ml, cfg, run_id="tuned")
+
+
+# ---------------------------------------------- entry 1 fed to entry 2, and sorted tables (A2-A5, K1, K3)
+
+CROSSTAB_TOP = 20  # so that the top-N rule binds at every scale
+
+
+def _sorted_part(name: str, columns: str, source: str, order: str) -> str:
+    return f"select '{name}' as \"table\", row_number() over (order by {order}) as row_no, {columns} from ({source})"
+
+
+def _profile_oracle() -> str:
+    dist = " union all ".join(
+        f"select '{c}' as \"column\", cast(\"{c}\" as varchar) as value, count(*) as count, count(*) / sum(count(*)) over () as proportion from us group by \"{c}\""
+        for c in profile.PROFILE_COLUMNS)
+    yes = """select class as value, count(*) as count, cast(case when class is null then 0 else count(*) filter (where type = 'yes') end as bigint) as yes_count,
+      case when class is not null and count(*) filter (where type = 'yes') > 0 then count(*) filter (where type = 'yes') / count(*) end as yes_proportion
+      from us group by class"""
+    names = "select name as value, count(*) as count from us group by name having count(*) > 5"
+    none = "cast(null as varchar)"
+    parts = [
+        _sorted_part("distribution", f"\"column\", value, {none} as right_value, count, proportion, cast(null as bigint) as yes_count", dist,
+                     "\"column\", count desc, value nulls first"),
+        _sorted_part("yes_per_class", f"'class' as \"column\", value, {none} as right_value, count, yes_proportion, yes_count", yes,
+                     "yes_count desc, value nulls first"),
+        _sorted_part("frequent_names", f"'name' as \"column\", value, {none} as right_value, count, cast(null as double), cast(null as bigint)", names,
+                     "count desc, value nulls first")]
+    for a, b in profile.CROSS_TABS:
+        src = f"""select cast({a} as varchar) as lv, cast({b} as varchar) as rv, count(*) as count, count(*) / (select count(*) from us) as proportion
+          from us group by {a}, {b} order by count desc, lv nulls first, rv nulls first limit {CROSSTAB_TOP}"""
+        parts.append(_sorted_part(f"cross_{a}_x_{b}", f"{none} as \"column\", lv, rv, count, proportion, cast(null as bigint)", src,
+                                  "count desc, lv nulls first, rv nulls first"))
+    return _geo_oracle(""", us as (select vendor, mac_flags, vendor_src,""" + _JSON_SELECT + """
+from tag where reason is null and lower(json_extract_string(body, '$.address.country_code')) = 'us')
+""").replace("\n, us as", ", us as") + "\nunion all\n".join(parts)
+
+
+@query("profile_sorted_tables", _profile_oracle())
+def q_profile_sorted_tables(spark, sf_dir):
+    """Enriched sightings (entry 1) profiled over all nine columns (entry 2) in one pass; every table written in
+    its order and read back with its row numbers."""
+    from apsight.operators import geocode
+    from apsight.plans import profiling
+    from apsight.sources import sinks
+    path = _scratch(spark, "sorted-profile")
+    names = profiling.sorted_profile(geocode.integrated_rows(tagged(Fixtures(spark, sf_dir))), path, crosstab_limit=CROSSTAB_TOP)
+    kinds = {"column": "string", "value": "string", "left_value": "string", "right_value": "string", "count": "long",
+             "proportion": "double", "yes_count": "long", "yes_proportion": "double"}
+    out = None
+    for name in names:
+        t = sinks.read_sorted(spark, path, name)
+        col = lambda c, t=t: F.col(c) if c in t.columns else F.lit(None).cast(kinds[c])
+        part = t.select(F.lit(name).alias("table"), "row_no", col("column").alias("column"), F.coalesce(col("value"), col("left_value")).alias("value"),
+                        col("right_value").alias("right_value"), "count", F.coalesce(col("proportion"), col("yes_proportion")).alias("proportion"),
+                        col("yes_count").alias("yes_count"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("sorted_metrics", _runs_oracle() + """
+select run_id, model, fold, accuracy, macro_f1, row_number() over (order by run_id, model, fold) as row_no,
+  row_number() over (order by macro_f1 desc, run_id, model, fold) as place from runs""")
+def q_sorted_metrics(spark, sf_dir):
+    """K3: the metric rows of both runs, appended per run (S11), sorted by several keys, written in that order and
+    read back; ``place`` is the ranking by macro F1."""
+    from apsight.operators.ranks import global_rank
+    from apsight.sources import sinks
+    fx = Fixtures(spark, sf_dir)
+    path, sorted_path = _scratch(spark, "metrics"), _scratch(spark, "sorted-metrics")
+    for run_id, t in RUNS:
+        sinks.append_run(fold_metrics(fx, t), path, run_id)
+    keys = [F.asc(c) for c in ("run_id", "model", "fold")]
+    table, _ = global_rank(spark.read.parquet(path), [F.desc("macro_f1"), *keys], "place")
+    sinks.write_sorted({"metrics": (table, keys)}, sorted_path)
+    return sinks.read_sorted(spark, sorted_path, "metrics").select("run_id", "model", "fold", "accuracy", "macro_f1", "row_no", "place")

@@ -28,12 +28,14 @@ def read_oui_registry(spark: SparkSession, path: str) -> DataFrame:
     """OUI registry text: ``prefix<TAB>vendor`` per line -> (prefix, vendor, line_no).
 
     Lines without a tab are skipped; the line is stripped and split once; the
-    prefix is upper-cased. ``line_no`` orders duplicates (later wins): it comes
-    from ``monotonically_increasing_id`` and follows file order for a registry
-    read as one split (a registry is a few MB). Pass a table with an explicit
-    ``line_no`` for multi-file registries.
+    prefix is upper-cased. ``line_no`` orders duplicates (later wins) over any
+    number of files and splits: (file path, start of the split in the file,
+    place in the split), compared in that order. A split is read by one task
+    from its first line on, so ids given in the scan ascend within it.
     """
-    raw = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("line_no"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                     F.monotonically_increasing_id().alias("place"))
+    raw = spark.read.text(path).select(F.col("value"), place.alias("line_no"))
     raw = raw.where(F.col("value").contains("\t"))
     stripped = F.regexp_replace("value", _STRIP, "")
     parts = F.split(stripped, "\t", 2)

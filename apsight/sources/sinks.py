@@ -4,10 +4,11 @@ files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apsight import schemas
+from apsight.operators.ranks import global_rank
 
 
 def write_integrated(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -47,6 +48,24 @@ def write_results(tables: dict[str, DataFrame], path: str, fmt: str = "parquet")
     out.write.mode("overwrite").partitionBy("table").parquet(path)
 
 
+def write_sorted(tables: dict[str, tuple[DataFrame, list]], path: str, fmt: str = "parquet") -> None:
+    """Result tables in their order (K1, K3): each (frame, order) gets ``row_no``, its global rank, and is
+    written range-sorted under ``path/table=<name>``; ``read_sorted`` gives the rows back with their order.
+    ``fmt="tsv"`` writes headed tab-separated files instead, in order by file name."""
+    for name, (df, order) in tables.items():
+        ranked, _ = global_rank(df, order, "row_no")
+        out = ranked.repartitionByRange("row_no").sortWithinPartitions("row_no").write.mode("overwrite")
+        if fmt == "tsv":
+            out.option("sep", "\t").option("header", True).option("nullValue", "").csv(f"{path}/{name}")
+        else:
+            out.parquet(f"{path}/table={name}")
+
+
+def read_sorted(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of ``write_sorted`` in its order."""
+    return spark.read.parquet(f"{path}/table={name}").orderBy("row_no")
+
+
 def append_run(df: DataFrame, path: str, run_id: str) -> None:
     """Append one run's rows (metrics / confusion / report) under ``run_id``.
 

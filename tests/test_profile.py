@@ -52,9 +52,11 @@ def test_distributions_single_scan(rows, spark, tmp_path):
     p = str(tmp_path / "t.parquet")
     rows.write.parquet(p)
     df = spark.read.parquet(p)
-    plan = profile.distributions(df, ["class", "type", "name"])._jdf.queryExecution().executedPlan().toString()
+    cube = profile.Cube(df, ["class", "type", "name"])
+    plan = cube.counts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     assert "Expand" in plan
+    assert "FileScan" not in cube.distributions()._jdf.queryExecution().executedPlan().toString()
 
 
 def test_crosstab_limit_tie_break(spark):
