@@ -105,7 +105,7 @@ def cross_fit_fold(df: DataFrame, key: str, k: int = 5, seed=42, out: str = "cf_
     return df.withColumn(out, F.pmod(hash32(F.col(key), f"cf{seed}"), F.lit(k)).cast("int"))
 
 
-def _smoothed(n, s, n_all, s_all):
+def smoothed(n, s, n_all, s_all):
     """lambda * mean_c + (1 - lambda) * mean with lambda = n*tau2 / (var_c + n*tau2),
     tau2 and var_c population variances of a 0/1 target (p * (1 - p))."""
     mean_c = s / n
@@ -135,7 +135,7 @@ def target_encoding_table(train: DataFrame, col: str, y, prefix: str = "te") ->
         F.count(F.lit(1)).alias("_n"), *[F.sum(c.cast("long")).alias(f"_s{i}") for i, c in enumerate(tg.values())])
     tot = per.agg(F.sum("_n").alias("_N"), *[F.sum(f"_s{i}").alias(f"_S{i}") for i in range(len(tg))]).first()
     n_all = F.lit(tot["_N"])
-    table = per.select("_tv", *[_smoothed(F.col("_n"), F.col(f"_s{i}"), n_all, F.lit(tot[f"_S{i}"])).alias(prefix + k)
+    table = per.select("_tv", *[smoothed(F.col("_n"), F.col(f"_s{i}"), n_all, F.lit(tot[f"_S{i}"])).alias(prefix + k)
                                 for i, k in enumerate(tg)])
     means = {prefix + k: (tot[f"_S{i}"] / tot["_N"] if tot["_N"] else None) for i, k in enumerate(tg)}
     return table, means
@@ -169,7 +169,7 @@ def crossfit_table(stats: DataFrame, col: str, y, prefix: str = "te", fold: str
     fold_tot = fold_tot.select("_tf", (F.sum("_nf").over(allw) - F.col("_nf")).alias("_tot_n"),
                                *[(F.sum(f"_sf{i}").over(allw) - F.col(f"_sf{i}")).alias(f"_tot_s{i}") for i in range(k)])
     return t.join(fold_tot, "_tf").select(
-        "_tv", "_tf", *[_smoothed(F.col("_n"), F.col(f"_s{i}"), F.col("_tot_n"), F.col(f"_tot_s{i}")).alias(prefix + name)
+        "_tv", "_tf", *[smoothed(F.col("_n"), F.col(f"_s{i}"), F.col("_tot_n"), F.col(f"_tot_s{i}")).alias(prefix + name)
                         for i, name in enumerate(tg)])
 
 

@@ -984,8 +984,10 @@ QUERIES["model_isotonic"] = _model_query("sgd_cal")
 
 @query("weight_sweep")
 def q_weight_sweep(spark, sf_dir):
+    """Three models x four class-weight options, 12 rows. Boosting runs 20 of its 300 rounds here (a parameter)."""
     from apsight.plans import experiment as X
-    return X.weight_sweep(Fixtures(spark, sf_dir).ml, ("sgd",))
+    cfg = X.ExperimentConfig(model_params={"xgb": {"maxIter": 20}})
+    return X.weight_sweep(Fixtures(spark, sf_dir).ml, X.SWEEP_MODELS, cfg)
 
 
 @query("experiment_metrics")
