@@ -62,6 +62,7 @@ def json_fields(j: F.Column) -> list[F.Column]:
             text = F.when(number == F.floor(number), number)
         return text.try_cast(kind)
 
+    # fixed values: the names of the response body and of the integrated table
     top = [typed(n).alias(n) for n in ("place_id", "osm_type", "osm_id", "class", "type", "place_rank",
                                               "importance", "addresstype", "name", "display_name")]
     addr = [a.getField(src).alias(dst) for src, dst in (

@@ -7,6 +7,7 @@ S, L, I, D = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
 # Raw sightings TSV, positional. Every column is read as text; the epoch and the
 # point are parsed with try_cast so a bad row goes to the dead letter instead
 # of failing the job.
+# Fixed values in this module: the column names of the files and of the response bodies.
 RAW_SIGHTINGS = T.StructType([
     T.StructField("epochtime", S), T.StructField("bssid", S), T.StructField("latlong", S),
     T.StructField("c3", S), T.StructField("c4", S), T.StructField("altitude", S),
