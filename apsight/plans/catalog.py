@@ -982,6 +982,40 @@ QUERIES["model_linear_svc_calibrated"] = _model_query("lsvc")
 QUERIES["model_isotonic"] = _model_query("sgd_cal")
 
 
+def encoded_split(spark, sf_dir):
+    """(training, test) rows of the binary target's random split, encoded, and the experiment's settings."""
+    from apsight.plans import experiment as X, folds
+    cfg = X.ExperimentConfig(split_modes=("random",))
+    d, classes = X.prepare(Fixtures(spark, sf_dir).ml, cfg)
+    enc = folds.encode_runs(folds.runs(d.checkpoint(eager=True), cfg).checkpoint(eager=True), cfg, classes, ("full",))
+    rows = lambda role: enc.where(F.col("role") == role).drop("run", "variant", "role")
+    return rows("train"), rows("test"), cfg
+
+
+@query("sgd_rounds")
+def q_sgd_rounds(spark, sf_dir):
+    """L2: the loss of every round on the rows learned from and held back, and the round whose coefficients stay."""
+    from apsight.plans.models import fit_model
+    train, _, cfg = encoded_split(spark, sf_dir)
+    rounds = fit_model("sgd", train, 2, cfg.seed, key=cfg.key).models[0].history()
+    least = min((b, i) for i, _, b in rounds)[1] if rounds else None
+    return spark.createDataFrame([(i, a, b, i == least) for i, a, b in rounds], "round int, train_loss double, held_loss double, kept boolean")
+
+
+@query("saved_model_scores", O.with_ml() + f"""
+select row_id, cast(label_sensitive_binary as integer) as y, true as same
+from ({_STRAT_ORACLE}) where is_test and label_sensitive_binary is not null""")
+def q_saved_model_scores(spark, sf_dir):
+    """A calibrated model saved with its calibrators and loaded again scores every test row the same."""
+    from apsight.plans.models import Fitted, fit_model
+    train, test, cfg = encoded_split(spark, sf_dir)
+    fitted = fit_model("sgd_cal", train, 2, cfg.seed, key=cfg.key)
+    path = _scratch(spark, "model")
+    fitted.save(path)
+    both = Fitted.load(path).score(fitted.score(test).select(*test.columns, F.col("score").alias("before")))
+    return both.select(cfg.key, F.col("label").cast("int").alias("y"), F.col("score").eqNullSafe(F.col("before")).alias("same"))
+
+
 @query("weight_sweep")
 def q_weight_sweep(spark, sf_dir):
     """Three models x four class-weight options, 12 rows. Boosting runs 20 of its 300 rounds here (a parameter)."""

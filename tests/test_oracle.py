@@ -10,7 +10,7 @@ from paths import SF_SMALL
 
 ORACLES = E.oracle_sql()
 SKIP_SLOW = {"model_logreg", "model_dtree", "model_rf", "model_gbt", "model_linear_svc_calibrated", "experiment_tuned",
-             "model_isotonic", "weight_sweep", "experiment_metrics"}
+             "model_isotonic", "weight_sweep", "experiment_metrics", "sgd_rounds"}
 
 
 def _norm(v):
