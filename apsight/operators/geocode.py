@@ -50,6 +50,14 @@ def parse_body(body) -> F.Column:
     return F.from_json(body, schemas.GEOCODE_BODY, _JSON_OPTS)
 
 
+def with_parsed(responses: DataFrame, out: str = "_j") -> DataFrame:
+    """Responses with their parsed bodies, each body parsed once. A table may lie in one row group, which one task
+    would read and parse alone: the rows are dealt out first."""
+    tasks = responses.sparkSession.sparkContext.defaultParallelism
+    shared = responses.repartition(max(tasks, int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return shared.withColumn(out, parse_body(F.col("body")))
+
+
 def json_fields(j: F.Column) -> list[F.Column]:
     """The 10 top-level and 9 address fields, named as in the integrated table."""
     a = j.getField("address")

@@ -257,8 +257,8 @@ select lat, lon, status, (status = 200 and coalesce(body, '') <> '' and not json
 from geocode_responses""")
 def q_geocode_json_fields(spark, sf_dir):
     from apsight.operators import geocode
-    r = Fixtures(spark, sf_dir).geocode_responses
-    j = geocode.parse_body(F.col("body"))
+    r = geocode.with_parsed(Fixtures(spark, sf_dir).geocode_responses)
+    j = F.col("_j")
     return r.select("lat", "lon", "status",
                     ((F.col("status") == 200) & (F.coalesce("body", F.lit("")) != "")
                      & j.getField("_corrupt_record").isNotNull()).alias("bad_json"),

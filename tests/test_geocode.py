@@ -74,3 +74,11 @@ def test_raw_reader_comments_quotes_and_short_rows(spark, tmp_path):
     assert rows[1]["altitude"] is None   # short row: missing columns are null
     parsed = geocode.parse_sightings(read_raw_sightings(spark, str(p))).orderBy("epochtime").collect()
     assert (parsed[0]["lat"], parsed[0]["lon"]) == (1.5, 2.5)
+
+
+def test_bodies_are_parsed_once(spark):
+    """geocode_json_fields: one parse a body (it stood once in every output column), rows of one partition dealt out."""
+    from apsight.plans import catalog
+    from paths import SF_SMALL
+    plan = catalog.QUERIES["geocode_json_fields"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "Repartition" in plan
