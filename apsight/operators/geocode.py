@@ -80,15 +80,16 @@ def json_fields(j: F.Column) -> list[F.Column]:
     return top + addr
 
 
-def enrich(raw: DataFrame, registry: DataFrame, responses: DataFrame) -> DataFrame:
-    """Tagged enrichment: integrated columns + raw columns + error_code + reason.
+def enrich(raw: DataFrame, registry: DataFrame, responses: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """Tagged enrichment: integrated columns + raw columns + error_code + reason. ``points``: the deduplicated responses,
+    where they are kept for several plans.
 
     The planner chooses both joins by the measured size of the build side; in a
     shuffle join AQE splits a hot point on the sighting side, and rows without a
     point are spread (``left_join_spread``).
     """
     with_vendor = vendor_lookup(parse_sightings(raw), registry)
-    resp = dedupe_responses(responses)
+    resp = dedupe_responses(responses) if points is None else points
     j = left_join_spread(with_vendor, resp, [("lat", "_rlat"), ("lon", "_rlon")])
     bad_row = F.col("_epoch").isNull() | F.col("lat").isNull() | F.col("lon").isNull() | F.col("bad_bssid")
     reason = (F.when(bad_row, F.lit("bad_row")).when(F.col("_rlat").isNull(), F.lit("no_response")).otherwise(F.col("_fault")))
