@@ -92,3 +92,14 @@ def test_sweep_metrics_from_scores(spark):
         s, k = metrics.summary(conf, "y", "p").first(), metrics.rank_metrics(one, "y", "score").first()
         assert (r.n_test, r.pr_auc, r.roc_auc) == (300, k.pr_auc, k.roc_auc)
         assert (r.accuracy, r.macro_f1, r.weighted_f1) == pytest.approx((s.accuracy, s.macro_f1, s.weighted_f1))
+
+
+def test_state_folds_learn_from_all_rows_unless_capped(spark, monkeypatch):
+    first_n, salts = splits.mark_first_n, []
+    monkeypatch.setattr(splits, "mark_first_n", lambda df, by, key, salt, *a: salts.append(salt) or first_n(df, by, key, salt, *a))
+    cfg, d, _, x = _frames(spark, split_modes=("state",))
+    assert cfg.train_cap is None and not salts   # 5 million rows a fold before
+    assert {r["count"] for r in x.groupBy("run").count().collect()} == {d.count()}
+    _, _, _, capped = _frames(spark, split_modes=("state",), train_cap=100)
+    assert {r["count"] for r in capped.where("role = 'train'").groupBy("run").count().collect()} == {100}
+    assert capped.where("role = 'test'").count() == d.count()
